@@ -39,8 +39,10 @@ def window_where(w: CrisisWindow, col: str = "date") -> str:
 
 
 def double_round(sql: str) -> str:
-    """Rewrite every ``round(x, 6)`` of an oracle text into ``round(round(x, 9), 6)``,
-    the same two-step rounding the Spark side applies (``functions.exprs.r6``)."""
+    """Rewrite every ``round(x, 6)`` of an oracle text into the two-step decimal
+    rounding the Spark side applies (``functions.exprs.r6``): to 9 places, then
+    HALF_UP to 6 on the decimal value (DuckDB's ``round`` on a double scales in binary
+    and can round a decimal tie the other way)."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -65,7 +67,7 @@ def double_round(sql: str) -> str:
         stripped = inner.rstrip()
         if stripped.endswith(", 6"):
             arg = double_round(stripped[:-3])
-            out.append(f"round(round({arg}, 9), 6)")
+            out.append(f"CAST(round(CAST({arg} AS DECIMAL(38, 9)), 6) AS DOUBLE)")
         else:
             out.append("round(" + double_round(inner) + ")")
         i = k + 1
