@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["q_shock", "q_features", "q_io", "q_clean", "q_kpis"]
+MODULES = ["q_shock", "q_features", "q_io", "q_clean", "q_kpis", "q_travel"]
 
 
 def load_all() -> dict[str, tuple[Query, str | None]]:
