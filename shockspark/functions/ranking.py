@@ -39,7 +39,7 @@ def with_rank(df: DataFrame, value_col: str, rank_col: str, descending: bool = T
     """``RANK()`` (ties share the lowest rank) by ``value_col``; NULL values get a NULL
     rank.  Distributed equivalent of ``rank().over(Window.orderBy(v))``."""
     pos = value_positions(df, value_col, descending).select(
-        value_col, (F.col("_before") + 1).cast("int").alias(rank_col))
+        value_col, (F.col("_before") + 1).cast("bigint").alias(rank_col))
     return df.join(pos, value_col, "left")
 
 

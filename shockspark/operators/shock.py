@@ -196,7 +196,7 @@ def add_rank_desc(df: DataFrame, value_col: str, rank_col: str, partition=()) ->
     if not partition:
         return with_rank(df, value_col, rank_col, descending=True).select(*cols, rank_col)
     w = Window.partitionBy(*partition).orderBy(F.col(value_col).desc_nulls_last())
-    return df.withColumn(rank_col, F.when(F.col(value_col).isNotNull(), F.rank().over(w)))
+    return df.withColumn(rank_col, F.when(F.col(value_col).isNotNull(), F.rank().over(w).cast("bigint")))
 
 
 def rank_by_resilience(shock: DataFrame, min_pre_bookings: float = 10, partition=()) -> DataFrame:
@@ -420,7 +420,7 @@ def top_post_bookings(shock: DataFrame, n: int = 10) -> DataFrame:
     top = shock.filter(F.col("post_bookings").isNotNull()).orderBy(
         F.col("post_bookings").desc(), "destination_id").limit(n)
     w = Window.orderBy(F.col("post_bookings").desc(), "destination_id")
-    return top.select(F.row_number().over(w).alias("position"), "destination_id", "post_bookings",
+    return top.select(F.row_number().over(w).cast("bigint").alias("position"), "destination_id", "post_bookings",
                       "booking_change_pct")
 
 
