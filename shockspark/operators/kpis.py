@@ -388,3 +388,44 @@ def source_market_concentration(fact: DataFrame) -> DataFrame:
                                            F.count(F.lit(1)).alias("markets"))
     return tot.select("destination_id", "markets",
                       F.when(F.col("t") > 0, F.col("b2") / (F.col("t") * F.col("t"))).alias("hhi"))
+
+
+# Traffic-light thresholds in percent (documented KPI card colours).
+LIGHTS = {"bookings": (-10.0, 0.0), "search_demand": (-10.0, 0.0), "room_nights": (-10.0, 0.0)}
+RED_ABOVE = {"cancellations": 20.0}
+RED_BELOW = {"adr": -5.0, "revpar": -10.0}
+
+
+def baseline_changes(fact: DataFrame, window) -> DataFrame:
+    """X7 / X14 input: per destination, percent change post vs pre window of bookings,
+    cancellations, searches, ADR, room nights and RevPAR (one conditional aggregate)."""
+    pre, post = window.is_pre("date"), window.is_post("date")
+    revpar = F.col("adr") * F.coalesce(F.col("occupancy_rate"), F.lit(DEFAULT_OCCUPANCY))
+    sums = ["bookings", "cancellations", "search_demand", "room_nights"]
+    aggs = []
+    for c in sums:
+        aggs += [F.sum(F.when(pre, F.col(c))).cast("double").alias(f"_pre_{c}"),
+                 F.sum(F.when(post, F.col(c))).cast("double").alias(f"_post_{c}")]
+    aggs += [F.avg(F.when(pre, F.col("adr"))).alias("_pre_adr"), F.avg(F.when(post, F.col("adr"))).alias("_post_adr"),
+             F.avg(F.when(pre, revpar)).alias("_pre_revpar"), F.avg(F.when(post, revpar)).alias("_post_revpar")]
+    g = fact.filter(window.in_window("date")).groupBy("destination_id").agg(*aggs)
+    names = sums + ["adr", "revpar"]
+    return g.select("destination_id", *[
+        (safe_div(F.col(f"_post_{c}") - F.col(f"_pre_{c}"), f"_pre_{c}") * 100).alias(f"{c}_change_pct")
+        for c in names])
+
+
+def traffic_lights(changes: DataFrame) -> DataFrame:
+    """X15 (documented extra): red / amber / green class of each change."""
+    out = [F.col("destination_id")]
+    for c, (red, green) in LIGHTS.items():
+        x = F.col(f"{c}_change_pct")
+        out.append(F.when(x.isNull(), "none").when(x < red, "red").when(x > green, "green").otherwise("amber")
+                   .alias(f"{c}_light"))
+    for c, lim in RED_ABOVE.items():
+        x = F.col(f"{c}_change_pct")
+        out.append(F.when(x.isNull(), "none").when(x > lim, "red").otherwise("green").alias(f"{c}_light"))
+    for c, lim in RED_BELOW.items():
+        x = F.col(f"{c}_change_pct")
+        out.append(F.when(x.isNull(), "none").when(x < lim, "red").otherwise("green").alias(f"{c}_light"))
+    return changes.select(*out)

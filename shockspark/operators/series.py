@@ -50,7 +50,10 @@ def densify(series: DataFrame, keys=("destination_id",)) -> DataFrame:
     j = cal.join(series.select(*sk, "date", "value"), sk + ["date"], "left")
     w = Window.partitionBy(*sk).orderBy("date")
     ff = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bf = F.first("value", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Back-fill as a growing frame over descending dates: an "unbounded following"
+    # frame is re-evaluated for every row (quadratic), a growing frame is linear.
+    w_rev = Window.partitionBy(*sk).orderBy(F.col("date").desc())
+    bf = F.last("value", ignorenulls=True).over(w_rev.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     value = F.when(F.col("how") == "mean", F.coalesce(F.col("value"), ff, bf, F.lit(0.0))) \
         .otherwise(F.coalesce(F.col("value"), F.lit(0.0)))
     return j.select(*sk, "date", value.alias("value"), F.datediff("date", "_lo").alias("t"))
