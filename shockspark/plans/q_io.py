@@ -78,7 +78,9 @@ SELECT {cols('arrival_date', 'hotel', 'is_canceled', 'lead_time', 'stays_in_week
 def p1_clean_hotel_bookings(spark, sf_dir):
     """Cleaning with exact median fill and p99 clip.  The test data lies in
     1995-2001, so the year window is [1995, 2030] instead of the default [2015, 2030]."""
-    b = L.load_hotel_bookings(spark, hotel_csv(spark, sf_dir))
+    # The exact median / p99 read their input several times: cut the CSV-parse
+    # lineage once (reliable checkpoint in the shared checkpoint folder).
+    b = L.load_hotel_bookings(spark, hotel_csv(spark, sf_dir)).checkpoint(eager=True)
     c = CL.clean_hotel_bookings(b, 1995, 2030)
     return c.select("arrival_date", "hotel", "is_canceled", "lead_time", "stays_in_weekend_nights",
                     "stays_in_week_nights", "country", "adr")

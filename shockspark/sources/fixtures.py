@@ -26,7 +26,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockspark.functions.broadcast import bounded_broadcast
 from shockspark.schemas import CRISIS_EVENTS
 from shockspark.session import scratch_path
 
@@ -45,12 +44,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_DIM_CHECKED: dict[tuple, bool] = {}
+
+
+def _dimension(spark, sf_dir, name):
+    """A dimension table, broadcast when its size check passes (checked once per
+    session; nation and region have 25 and 5 rows at every scale factor)."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    df = table(spark, sf_dir, name)
+    if key not in _DIM_CHECKED:
+        _DIM_CHECKED[key] = df.limit(10_001).count() <= 10_000
+    return F.broadcast(df) if _DIM_CHECKED[key] else df
+
+
 def _nation(spark, sf_dir):
-    return bounded_broadcast(table(spark, sf_dir, "nation"), 10_000)
+    return _dimension(spark, sf_dir, "nation")
 
 
 def _region(spark, sf_dir):
-    return bounded_broadcast(table(spark, sf_dir, "region"), 10_000)
+    return _dimension(spark, sf_dir, "region")
 
 
 def _order_customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +84,7 @@ def _supplier_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("destination_id"),
         F.col("r_name").alias("region"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return sup.join(bounded_broadcast(dest, 10_000), "s_nationkey").drop("s_nationkey")
+    return sup.join(F.broadcast(dest), "s_nationkey").drop("s_nationkey")
 
 
 def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,27 +98,42 @@ def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.join(sd, j.l_suppkey == sd.s_suppkey).drop("s_suppkey")
 
 
-def reservations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reservation per line item (FIXTURES.md §2.1), plus the source columns the
-    daily aggregate needs."""
+def line_facts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one large join (line item x order x customer nation x supplier nation /
+    region) with the columns every derived fact needs; materialized once."""
     j = _line_facts(spark, sf_dir)
     return j.select(
         F.col("l_shipdate").cast("date").alias("arrival_date"),
-        "destination_id", "source_market", "region",
+        F.col("o_orderdate").cast("date").alias("order_date"),
+        "destination_id", "source_market", "region", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+def _reservations_from(lf: DataFrame) -> DataFrame:
+    return lf.select(
+        "arrival_date", "destination_id", "source_market", "region",
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_canceled"),
         (F.col("l_linenumber") % 3).cast("int").alias("stays_in_weekend_nights"),
         (F.lit(1) + F.col("l_partkey") % 5).cast("int").alias("stays_in_week_nights"),
         (F.col("l_extendedprice") / 100).alias("adr"),
         ((F.col("l_orderkey") + F.col("l_linenumber")) % 45).cast("int").alias("lead_time_days"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+        # Exact cents as a long: the sum is exact and order-independent like a
+        # DECIMAL(18,2) sum, but stays on the primitive (non-BigDecimal) path.
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"),
         (F.lit(1) + F.col("l_partkey") % 20).cast("bigint").alias("stay_len"),
     )
 
 
-def daily_metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reservations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reservation per line item (FIXTURES.md §2.1), plus the source columns the
+    daily aggregate needs."""
+    return _reservations_from(line_facts_raw(spark, sf_dir))
+
+
+def daily_metrics_raw(spark: SparkSession, sf_dir: str, lf: DataFrame | None = None) -> DataFrame:
     """Daily fact at (date, destination_id, source_market) grain (FIXTURES.md §2.2)."""
-    r = reservations_raw(spark, sf_dir)
+    r = _reservations_from(lf if lf is not None else line_facts_raw(spark, sf_dir))
     canceled = F.col("is_canceled") == 1
     n = F.count(F.lit(1))
     agg = r.groupBy(F.col("arrival_date").alias("date"), "destination_id", "source_market").agg(
@@ -114,7 +141,7 @@ def daily_metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(canceled).cast("int").alias("cancellations"),
         n.cast("int").alias("total_reservations"),
         F.sum("quantity").cast("double").alias("search_demand"),
-        (F.sum("price").cast("double") / (F.lit(100) * n)).alias("adr"),
+        (F.sum("price_cents").cast("double") / 100 / (F.lit(100) * n)).alias("adr"),
         F.sum(F.when(~canceled, F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
               .otherwise(0)).cast("double").alias("room_nights"),
         (F.sum("stay_len").cast("double") / n).alias("avg_length_of_stay"),
@@ -130,16 +157,17 @@ def daily_metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lead_time_days", "occupancy_rate")
 
 
-def fact_flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_flights_raw(spark: SparkSession, sf_dir: str, lf: DataFrame | None = None) -> DataFrame:
     """Flights fact (FIXTURES.md §2.4)."""
-    j = _line_facts(spark, sf_dir)
+    j = lf if lf is not None else line_facts_raw(spark, sf_dir)
     n = F.count(F.lit(1))
-    return j.groupBy(F.col("o_orderdate").cast("date").alias("date"),
+    return j.groupBy(F.col("order_date").alias("date"),
                      F.col("source_market").alias("origin_country"), "destination_id").agg(
         n.cast("int").alias("flights_count"),
         F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("seat_capacity"),
         ((F.lit(45) + F.min(F.col("l_partkey") % 50)).cast("double") / 100).alias("load_factor"),
-        (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / (F.lit(100) * n)).alias("avg_airfare"),
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double") / 100
+         / (F.lit(100) * n)).alias("avg_airfare"),
         F.concat(F.lit("AL"), (F.min("l_suppkey") % 10).cast("string")).alias("airline"),
     ).select("date", "origin_country", "destination_id",
              F.concat_ws("-", "origin_country", "destination_id").alias("route"),
@@ -186,9 +214,9 @@ def destinations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 _BUILDERS = {
-    "reservations": reservations_raw,
-    "daily_metrics": daily_metrics_raw,
-    "fact_flights": fact_flights_raw,
+    "line_facts": line_facts_raw,
+    "daily_metrics": lambda spark, sf_dir: daily_metrics_raw(spark, sf_dir, materialized(spark, sf_dir, "line_facts")),
+    "fact_flights": lambda spark, sf_dir: fact_flights_raw(spark, sf_dir, materialized(spark, sf_dir, "line_facts")),
     "fact_visas": fact_visas_raw,
     "destinations": destinations_raw,
 }
@@ -197,14 +225,16 @@ _MATERIALIZED: dict[tuple, str] = {}
 
 def materialized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read the derived table ``name``; build and write it first if this session has
-    not done so yet.  The files live in the shared checkpoint folder."""
+    not done so yet.  The files live in the shared checkpoint folder; the line-level
+    join is written once and the daily facts are aggregated from it."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, f"fixture-{name}")
         df = _BUILDERS[name](spark, sf_dir)
-        if "date" in df.columns:
-            df = df.sortWithinPartitions("date")  # tight row-group stats for date pushdown
+        sort_col = "arrival_date" if name == "line_facts" else "date"
+        if sort_col in df.columns:
+            df = df.sortWithinPartitions(sort_col)  # tight row-group stats for date pushdown
         df.write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
@@ -215,7 +245,7 @@ def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialized(spark, sf_dir, "reservations").drop("quantity", "price", "stay_len")
+    return _reservations_from(materialized(spark, sf_dir, "line_facts")).drop("quantity", "price_cents", "stay_len")
 
 
 def fact_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
