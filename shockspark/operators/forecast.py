@@ -296,11 +296,16 @@ def prepare(fact: DataFrame, keys=("destination_id",), test_days: int = TEST_DAY
 
 
 def forecast_pipeline(fact: DataFrame, keys=("destination_id",), models=("trend_season", "seasonal_ar"),
-                      horizon: int = HORIZON_DAYS, test_days: int = TEST_DAYS) -> dict[str, DataFrame]:
+                      horizon: int = HORIZON_DAYS, test_days: int = TEST_DAYS,
+                      materialize: bool = True) -> dict[str, DataFrame]:
     """M6: forecasts of every requested model for every (key, metric) series, stacked
     (U2), and their hold-out accuracy (M4).  The horizon starts the day after the
     train part ends, as in the reference."""
     prep = prepare(fact, keys, test_days)
+    if materialize:
+        # Every model and the accuracy read the prepared series several times: cut
+        # the lineage once (reliable checkpoint in spark.checkpoint.dir).
+        prep = prep.checkpoint(eager=True)
     train = prep.filter(~F.col("is_test"))
     test = prep.filter(F.col("is_test"))
     parts = [MODELS[m](train, keys, horizon) for m in models]

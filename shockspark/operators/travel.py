@@ -210,7 +210,12 @@ def demand_measures(flights: DataFrame, visas: DataFrame, fact: DataFrame, ctx:
     bt = booking_totals(fact, ctx)
     bd = bookings_daily(fact, ctx)
     has_w = bool(ctx.windows())
-    get = lambda df, c: df.select(c).scalar()
+    # One struct-valued scalar subquery per one-row aggregate: every measure of a fact
+    # comes from the same subquery (evaluated once), not one re-scan per column.
+    fts = ft.select(F.struct(*ft.columns).alias("s")).scalar()
+    vts = vt.select(F.struct(*vt.columns).alias("s")).scalar()
+    subs = {id(ft): fts, id(vt): vts}
+    get = lambda df, c: subs[id(df)][c]
     zero = F.lit(0.0)
     flights_prev = get(ft, "flights_prev") if has_w else zero
     issued_prev = get(vt, "issued_prev") if has_w else zero

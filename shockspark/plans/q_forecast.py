@@ -28,8 +28,16 @@ DEST = ("destination_id",)
 NATIONAL = ()
 
 
+_PREPARED: dict[tuple, object] = {}
+
+
 def _prep(spark, sf_dir, keys):
-    p = FC.prepare(fx.daily_metrics(spark, sf_dir), keys)
+    """Prepared series (densified, split), checkpointed once per session: the models
+    and the accuracy read it several times."""
+    k = (spark.sparkContext.applicationId, sf_dir, tuple(keys))
+    if k not in _PREPARED:
+        _PREPARED[k] = FC.prepare(fx.daily_metrics(spark, sf_dir), keys).checkpoint(eager=True)
+    p = _PREPARED[k]
     return p.filter(~F.col("is_test")), p.filter(F.col("is_test"))
 
 
