@@ -8,8 +8,11 @@ Scale notes
 -----------
 * ``nation`` and ``region`` are fixed-size dimensions (25 and 5 rows at every scale
   factor); they are broadcast behind a size check.
-* ``customer`` and ``supplier`` grow with the scale factor; the planner (AQE with
-  size statistics) decides between broadcast and shuffle joins for them.
+* ``customer`` and ``supplier`` grow with the scale factor; their key -> nation
+  mappings are broadcast only while a row-count check passes
+  (``MAPPING_BROADCAST_ROWS``), beyond it they are shuffle joins.  The large side is
+  never hinted; AQE may still turn a join into a broadcast at run time from measured
+  shuffle sizes.
 * ``lineitem`` x ``orders`` is the one large join; it shuffles both sides once on
   the order key.  The per-day aggregates that follow use partial (map-side)
   aggregation, so their shuffle is bounded by the number of groups, not rows.
@@ -57,6 +60,21 @@ def _dimension(spark, sf_dir, name):
     return F.broadcast(df) if _DIM_CHECKED[key] else df
 
 
+# Key -> attribute mappings (customer -> nation, supplier -> destination) are broadcast
+# while their row count is below this bound (a few dozen bytes per row, so well under
+# executor memory); beyond it they stay shuffle joins.  They grow with the scale factor
+# (1.5 M customers and 100 k suppliers per 10 GB), so the check is real.
+MAPPING_BROADCAST_ROWS = 2_000_000
+
+
+def _checked_broadcast(spark, sf_dir, name, df):
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), f"map-{name}")
+    if key not in _DIM_CHECKED:
+        n = table(spark, sf_dir, name).limit(MAPPING_BROADCAST_ROWS + 1).count()
+        _DIM_CHECKED[key] = n <= MAPPING_BROADCAST_ROWS
+    return F.broadcast(df) if _DIM_CHECKED[key] else df
+
+
 def _nation(spark, sf_dir):
     return _dimension(spark, sf_dir, "nation")
 
@@ -70,6 +88,7 @@ def _order_customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _nation(spark, sf_dir).select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("source_market"))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, "c_nationkey")
+    cust = _checked_broadcast(spark, sf_dir, "customer", cust)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     return orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey", "c_nationkey")
@@ -84,7 +103,8 @@ def _supplier_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("destination_id"),
         F.col("r_name").alias("region"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return sup.join(F.broadcast(dest), "s_nationkey").drop("s_nationkey")
+    sup = sup.join(F.broadcast(dest), "s_nationkey").drop("s_nationkey")
+    return _checked_broadcast(spark, sf_dir, "supplier", sup)
 
 
 def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +114,9 @@ def _line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_returnflag", "l_shipdate")
     oc = _order_customer_nation(spark, sf_dir).select("o_orderkey", "o_orderdate", "source_market")
     sd = _supplier_destination(spark, sf_dir)
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey).drop("o_orderkey")
+    # Both sides grow with the data: a sort-merge join on the order key (AQE splits
+    # skewed order keys); the fact side is never a broadcast build side.
+    j = li.join(oc.hint("merge"), li.l_orderkey == oc.o_orderkey).drop("o_orderkey")
     return j.join(sd, j.l_suppkey == sd.s_suppkey).drop("s_suppkey")
 
 
