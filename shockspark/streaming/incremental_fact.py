@@ -3,8 +3,8 @@
 Reservations land as Parquet files in a folder.  A streaming query aggregates them
 into the daily fact per (day, destination) with a watermark on the arrival date:
 
-* ``readStream`` (files, explicit schema) -> ``withWatermark`` -> tumbling 1-day
-  ``window`` x destination aggregate (state bounded by the watermark);
+* ``readStream`` (files, explicit schema) -> ``withWatermark`` -> aggregate per
+  (event day, destination) (state bounded by the watermark);
 * ``outputMode('update')``: every micro-batch emits the keys it changed with their
   full current value;
 * ``foreachBatch`` writes those rows to ``<out>/updates/batch_id=<id>`` with
@@ -45,13 +45,16 @@ def daily_fact_stream(spark: SparkSession, landing: str, watermark: str = "3 day
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     src = r.parquet(landing).withColumn("event_ts", F.col("arrival_date").cast("timestamp"))
     nights = F.coalesce(F.col("stays_in_weekend_nights"), F.lit(0)) + F.coalesce(F.col("stays_in_week_nights"), F.lit(0))
+    # Group on the event-time column itself (midnight of the arrival day) and the day:
+    # state is evicted once the watermark passes the day, and the day key does not
+    # depend on the session time zone (a 1-day window() is aligned in epoch time).
     agg = (src.withWatermark("event_ts", watermark)
-           .groupBy(F.window("event_ts", "1 day"), "destination_id")
+           .groupBy("event_ts", F.col("arrival_date").alias("date"), "destination_id")
            .agg(F.count_if(F.col("is_canceled") == 0).alias("bookings"),
                 F.count_if(F.col("is_canceled") == 1).alias("cancellations"),
                 F.count("is_canceled").alias("total_reservations"),
                 F.avg("adr").alias("adr"), F.sum(nights).alias("room_nights")))
-    return agg.select(F.col("window.start").cast("date").alias("date"), "destination_id", "bookings",
+    return agg.select("date", "destination_id", "bookings",
                       "cancellations", "total_reservations", "adr", "room_nights")
 
 
