@@ -9,7 +9,6 @@ test tables.
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import functions as F
@@ -323,5 +322,3 @@ def s9_indicator_json(spark, sf_dir):
     """Indicator JSON pages -> (country_code, country_name, year, arrivals)."""
     return L.load_indicator_json(spark, indicator_pages(spark, sf_dir))
 
-
-_ = json
