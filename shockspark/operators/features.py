@@ -78,8 +78,8 @@ def engineer_features(daily: DataFrame, crisis_id: int, crisis_start, baseline_d
     """Engineered columns with a global pre-crisis baseline."""
     s = _d(crisis_start)
     base = global_baseline(daily, s, baseline_days)
-    bb = base.select("baseline_bookings").scalar()
-    ba = base.select("baseline_adr").scalar()
+    b = base.select(F.struct("baseline_bookings", "baseline_adr")).scalar()  # one subquery
+    bb, ba = b["baseline_bookings"], b["baseline_adr"]
     days = F.datediff(F.col("date"), F.lit(s))
     ratio = div_if_positive(F.coalesce(F.col("search_demand"), F.lit(0.0)), "bookings")
     return daily.withColumns({
@@ -131,8 +131,8 @@ def demand_to_daily_metrics(demand: DataFrame, crisis_start, baseline_days: int
         "search_demand": F.col("searches").cast("double"),
     })
     base = destination_baselines(df, s, baseline_days)
-    mean_b = df.agg(F.avg("bookings")).scalar()
-    mean_a = df.agg(F.avg("adr")).scalar()
+    means = df.agg(F.struct(F.avg("bookings").alias("b"), F.avg("adr").alias("a"))).scalar()
+    mean_b, mean_a = means["b"], means["a"]
     j = df.join(base, "destination_id", "left")
     bb = F.coalesce(F.col("baseline_bookings"), mean_b)
     bb = F.when(bb == 0, F.lit(1.0)).otherwise(bb)

@@ -21,8 +21,8 @@ def key_and_null_checks(df: DataFrame, key=FACT_KEY, not_null=FACT_NOT_NULL) ->
     dup = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.count(F.lit(1)).alias("distinct_keys"),
         F.count_if(F.col("_n") > 1).alias("duplicate_keys"))
-    return nulls.select("*", dup.select("distinct_keys").scalar().alias("distinct_keys"),
-                        dup.select("duplicate_keys").scalar().alias("duplicate_keys"))
+    d = dup.select(F.struct("distinct_keys", "duplicate_keys")).scalar()  # one subquery
+    return nulls.select("*", d["distinct_keys"].alias("distinct_keys"), d["duplicate_keys"].alias("duplicate_keys"))
 
 
 def reconcile_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
