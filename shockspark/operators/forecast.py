@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shockspark.functions.exprs import safe_div
+from shockspark.session import cut_lineage
 from shockspark.operators.series import (FORECAST_METRICS, LAG_FEATURES, daily_series, densify,
                                          split_train_test)
 
@@ -305,7 +306,7 @@ def forecast_pipeline(fact: DataFrame, keys=("destination_id",), models=("trend_
     if materialize:
         # Every model and the accuracy read the prepared series several times: cut
         # the lineage once (reliable checkpoint in spark.checkpoint.dir).
-        prep = prep.checkpoint(eager=True)
+        prep = cut_lineage(prep)
     train = prep.filter(~F.col("is_test"))
     test = prep.filter(F.col("is_test"))
     parts = [MODELS[m](train, keys, horizon) for m in models]

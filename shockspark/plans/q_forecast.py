@@ -17,7 +17,7 @@ from shockspark.plans.oracle_shock import resilience_cte, shock_cte
 from shockspark.plans.q_series import CHG_SQL
 from shockspark.plans.q_shock import W
 from shockspark.plans.sqlkit import cols
-from shockspark.session import scratch_path
+from shockspark.session import cut_lineage, scratch_path
 from shockspark.sources import fixtures as fx
 from shockspark.sources import loaders as L
 from shockspark.sources import sinks as K
@@ -36,7 +36,7 @@ def _prep(spark, sf_dir, keys):
     and the accuracy read it several times."""
     k = (spark.sparkContext.applicationId, sf_dir, tuple(keys))
     if k not in _PREPARED:
-        _PREPARED[k] = FC.prepare(fx.daily_metrics(spark, sf_dir), keys).checkpoint(eager=True)
+        _PREPARED[k] = cut_lineage(FC.prepare(fx.daily_metrics(spark, sf_dir), keys))
     p = _PREPARED[k]
     return p.filter(~F.col("is_test")), p.filter(F.col("is_test"))
 

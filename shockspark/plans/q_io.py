@@ -19,7 +19,7 @@ from shockspark.operators import quality as Q
 from shockspark.plans.catalog import register
 from shockspark.plans.q_features import FEAT_COLS, FEAT_SQL, engineered_fact
 from shockspark.plans.sqlkit import cols
-from shockspark.session import scratch_path
+from shockspark.session import cut_lineage, scratch_path
 from shockspark.sources import fixtures as fx
 from shockspark.sources import loaders as L
 from shockspark.sources import sinks as K
@@ -79,7 +79,7 @@ def p1_clean_hotel_bookings(spark, sf_dir):
     1995-2001, so the year window is [1995, 2030] instead of the default [2015, 2030]."""
     # The exact median / p99 read their input several times: cut the CSV-parse
     # lineage once (reliable checkpoint in the shared checkpoint folder).
-    b = L.load_hotel_bookings(spark, hotel_csv(spark, sf_dir)).checkpoint(eager=True)
+    b = cut_lineage(L.load_hotel_bookings(spark, hotel_csv(spark, sf_dir)))
     c = CL.clean_hotel_bookings(b, 1995, 2030)
     return c.select("arrival_date", "hotel", "is_canceled", "lead_time", "stays_in_weekend_nights",
                     "stays_in_week_nights", "country", "adr")

@@ -72,3 +72,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder inside the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder (never a
+    ``localCheckpoint``): later passes read the checkpoint instead of recomputing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
