@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shockspark.functions.exprs import safe_div
-from shockspark.session import cut_lineage
+from shockspark.session import cut_lineage, ship_package
 from shockspark.operators.series import (FORECAST_METRICS, LAG_FEATURES, daily_series, densify,
                                          split_train_test)
 
@@ -124,6 +124,7 @@ def seasonal_ar_forecast(train: DataFrame, keys=("destination_id",), horizon: in
         return pd.DataFrame({**kv, "metric": metric, "model": "seasonal_ar", "date": _dates_after(last_date, horizon),
                              "forecast": f, "lower": f - Z_SAR * sigma, "upper": f + Z_SAR * sigma})
 
+    ship_package(train.sparkSession)
     return train.select(*sk, "date", "value").groupBy(*sk).applyInPandas(fit, forecast_schema(keys))
 
 
@@ -229,6 +230,7 @@ def gbt_lag_forecast(train: DataFrame, keys=("destination_id",), horizon: int =
         return pd.DataFrame({**kv, "metric": metric, "model": "gbt_lags", "date": _dates_after(last_date, horizon),
                              "forecast": f, "lower": np.clip(f - Z80 * sd, 0, None), "upper": f + Z80 * sd})
 
+    ship_package(train.sparkSession)
     return train.select(*sk, "date", "value").groupBy(*sk).applyInPandas(run, forecast_schema(keys))
 
 

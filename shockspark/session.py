@@ -79,3 +79,32 @@ def cut_lineage(df):
     ``localCheckpoint``): later passes read the checkpoint instead of recomputing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shockspark`` importable in the Python workers (``addPyFile`` of a zip
+    written to the shared checkpoint folder), once per application.  Needed by the
+    operators that run Python on executors (``applyInPandas``)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import shockspark
+
+    pkg_dir = os.path.dirname(os.path.abspath(shockspark.__file__))
+    base = os.path.dirname(pkg_dir)
+    folder = scratch_path(spark, "pyfiles")
+    os.makedirs(folder, exist_ok=True)
+    zpath = os.path.join(folder, "shockspark.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
