@@ -5,12 +5,12 @@ Here a rank is a running count over the *distinct* values, computed as a distrib
 prefix sum:
 
 1. value counts (``groupBy(v)``, partial aggregation);
-2. ``repartitionByRange`` on ``v`` – partition *i* holds a contiguous value range;
-3. a running sum inside each range partition (window partitioned by partition id);
-4. the per-partition totals (one row per partition) become exclusive offsets;
+2. value ranges cut at approximate quantiles of the distinct values (one small pass);
+3. a running sum inside each range (one window exchange on the range id);
+4. the per-range totals (one row per range) become exclusive offsets;
 5. offset + local running sum = the number of values ordered before each value.
 
-The only single-task step handles one row per partition.
+The only single-task step handles one row per range.
 """
 
 from __future__ import annotations
@@ -19,19 +19,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_positions(df: DataFrame, value_col: str, descending: bool = False) -> DataFrame:
+MAX_RANGES = 1024
+
+
+def value_positions(df: DataFrame, value_col: str, descending: bool = False,
+                    ranges: int | None = None) -> DataFrame:
     """Distinct non-null values of ``value_col`` with ``_k`` (rows holding the value) and
-    ``_before`` (rows holding a value ordered strictly before it)."""
+    ``_before`` (rows holding a value ordered strictly before it).
+
+    Duplicates are counted first (partial aggregation: a hot value becomes one row).
+    The distinct values are cut into value ranges at approximate quantiles (one small
+    ``percentile_approx`` pass); each range is one window partition, so the running
+    sums need a single exchange.  The exact position is the running sum within the
+    range plus the total of all earlier ranges; approximate boundaries only decide
+    which task sorts which values."""
     v = F.col(value_col)
     counts = df.filter(v.isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_k"))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n, MAX_RANGES))
+    if n > 1:
+        bounds = counts.agg(F.percentile_approx(value_col, [i / n for i in range(1, n)], 10_000)).scalar()
+        # The boundary array is projected first: a subquery may not sit inside a
+        # higher-order function, an attribute may.
+        cmp = (lambda x: x > v) if descending else (lambda x: x < v)
+        ranged = counts.withColumn("_bounds", bounds).withColumn(
+            "_b", F.size(F.filter("_bounds", cmp))).drop("_bounds")
+    else:
+        ranged = counts.withColumn("_b", F.lit(0))
     order = v.desc() if descending else v.asc()
-    ranged = counts.repartitionByRange(order).withColumn("_pid", F.spark_partition_id())
-    local_w = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local_w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_local", F.sum("_k").over(local_w))
-    totals = local.groupBy("_pid").agg(F.max("_local").alias("_tot"))
-    off_w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(off_w), F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offsets), "_pid").select(
+    totals = local.groupBy("_b").agg(F.max("_local").alias("_tot"))
+    # One row per range: a single-partition window over at most MAX_RANGES rows.
+    off_w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_tot").over(off_w), F.lit(0)).alias("_off"))
+    return local.join(F.broadcast(offsets), "_b").select(
         value_col, "_k", (F.col("_off") + F.col("_local") - F.col("_k")).alias("_before"))
 
 
