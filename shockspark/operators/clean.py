@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from shockspark.functions.quantiles import quantiles
 
 
+def _scalar(one_row: DataFrame):
+    """The single value of a one-row, one-column aggregate (a number, not data)."""
+    return one_row.first()[0]
+
+
 def clean_hotel_bookings(df: DataFrame, year_from: int = 2015, year_to: int = 2030,
                          approx: bool = False) -> DataFrame:
     """Drop rows without a date, keep years in [year_from, year_to]; a NULL adr
@@ -15,17 +20,24 @@ def clean_hotel_bookings(df: DataFrame, year_from: int = 2015, year_to: int = 20
     fill; nights NULL -> 0 and >= 0; is_canceled in {0, 1}.
 
     Median and p99 are exact (linear interpolation) by default, computed as distributed
-    one-row aggregates (``functions.quantiles``) and attached as scalar subqueries;
-    ``approx=True`` uses ``percentile_approx``."""
+    one-row aggregates (``functions.quantiles``); ``approx=True`` uses
+    ``percentile_approx``."""
     d = df.filter(F.col("arrival_date").isNotNull()).filter(
         F.year("arrival_date").between(year_from, year_to))
     cols = set(d.columns)
     if "adr" in cols:
-        med = quantiles(d, "adr", {"m": 0.5}, approx).select("m").scalar()
-        d = d.withColumn("adr", F.coalesce(F.col("adr"), med))
-        p99 = quantiles(d, "adr", {"p": 0.99}, approx).select("p").scalar()
+        # Two scalars, each from a distributed aggregate.  They are evaluated when the
+        # plan is built and applied as literals: as nested scalar subqueries the p99
+        # (over values filled with the median) would re-plan the median's whole
+        # pipeline inside its own.
+        med = _scalar(quantiles(d, "adr", {"m": 0.5}, approx))
+        d = d.withColumn("adr", F.coalesce(F.col("adr"), F.lit(med).cast("double")))
+        p99 = _scalar(quantiles(d, "adr", {"p": 0.99}, approx))
         a = F.col("adr")
-        d = d.withColumn("adr", F.when(a < 0, F.lit(0.0)).when(a > p99, p99).otherwise(a))
+        if p99 is not None:
+            d = d.withColumn("adr", F.when(a < 0, F.lit(0.0)).when(a > F.lit(p99), F.lit(p99)).otherwise(a))
+        else:
+            d = d.withColumn("adr", F.when(a < 0, F.lit(0.0)).otherwise(a))
     for c in ("stays_in_weekend_nights", "stays_in_week_nights"):
         if c in cols:
             d = d.withColumn(c, F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)))
