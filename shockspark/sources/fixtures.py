@@ -280,3 +280,17 @@ def fact_visas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "destinations")
+
+
+def materialize_all(spark: SparkSession, sf_dir: str, threads: int = 3) -> None:
+    """Build every derived table, submitting independent jobs concurrently (the
+    scheduler interleaves their tasks): visas and destinations alongside the
+    line-level join, then the daily and flights facts that aggregate it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        first = [pool.submit(materialized, spark, sf_dir, n) for n in ("line_facts", "fact_visas", "destinations")]
+        first[0].result()
+        second = [pool.submit(materialized, spark, sf_dir, n) for n in ("daily_metrics", "fact_flights")]
+        for f in first[1:] + second:
+            f.result()
