@@ -27,14 +27,16 @@ def _grain(df: DataFrame, metric: str, aggregate_first: bool) -> DataFrame:
 
 
 def recovery_timeline(fact: DataFrame, crisis_start, metric: str = "bookings", baseline_days: int = 30,
-                      aggregate_first: bool = True) -> DataFrame:
+                      aggregate_first: bool = True, mode: str = "from_start") -> DataFrame:
     """M7: per destination: baseline = mean of the ``baseline_days`` before the start
     (missing or <= 0 -> post mean; still <= 0 -> destination skipped); trough = min
     from the start on and its first date; the first dates (from the crisis start) with
     value >= 0.5b+0.5t, 0.9b+0.1t and b, and the days to them.
 
     ``aggregate_first`` sums to one value per (destination, date) first; ``False``
-    follows the reference, which works on the raw rows."""
+    follows the reference, which works on the raw rows.  ``mode='after_trough'`` looks
+    for the crossings only from the trough date on (the reference searches from the
+    crisis start, so the 50 % target is often met on day 0)."""
     s = _d(crisis_start)
     d = _grain(fact, metric, aggregate_first).filter(
         F.col("date") >= F.lit(s - dt.timedelta(days=baseline_days)))
@@ -50,7 +52,10 @@ def recovery_timeline(fact: DataFrame, crisis_start, metric: str = "bookings", b
     st = st.filter(F.col("_n_post") > 0).withColumn("baseline_level", base).filter(F.col("baseline_level") > 0)
     for k, share in TARGETS.items():
         st = st.withColumn(f"_t{k}", F.col("baseline_level") * share + F.col("trough_level") * (1 - share))
-    j = d.filter(post).join(st.select("destination_id", *[f"_t{k}" for k in TARGETS]), "destination_id")
+    j = d.filter(post).join(st.select("destination_id", "trough_date", *[f"_t{k}" for k in TARGETS]),
+                            "destination_id")
+    if mode == "after_trough":
+        j = j.filter(F.col("date") >= F.col("trough_date"))
     first = j.groupBy("destination_id").agg(
         *[F.min(F.when(F.col("v") >= F.col(f"_t{k}"), F.col("date"))).alias(f"recovery_{k}_date") for k in TARGETS])
     out = st.join(first, "destination_id", "left")

@@ -77,16 +77,23 @@ def lag_features(dense: DataFrame, keys=("destination_id",), lags=LAG_FEATURES)
     return out.dropna(subset=[f"lag_{k}" for k in lags])
 
 
-def decompose(dense: DataFrame, keys=("destination_id",), period: int = 7) -> DataFrame:
+def decompose(dense: DataFrame, keys=("destination_id",), period: int = 7, extrapolate: bool = False) -> DataFrame:
     """Additive decomposition: trend = centred ``period``-row mean (NULL where the
     window is incomplete), seasonal = per-phase mean of the detrended values, centred
-    to mean 0, residual = value - trend - seasonal.  Phase = day index mod period."""
+    to mean 0, residual = value - trend - seasonal.  Phase = day index mod period.
+
+    ``extrapolate=True`` fills the trend at both ends with the least-squares line
+    through the nearest ``period`` trend points (the ``extrapolate_trend='freq'`` rule
+    of the usual decomposition), computed per series with ``regr_slope`` /
+    ``regr_intercept`` on those points."""
     sk = list(keys) + ["metric"]
     half = period // 2
     w = Window.partitionBy(*sk).orderBy("date").rowsBetween(-half, half)
     full = F.count("value").over(w) == period
     d = dense.withColumn("trend", F.when(full, F.avg("value").over(w))) \
         .withColumn("phase", F.pmod(F.col("t"), F.lit(period)))
+    if extrapolate:
+        d = _extrapolate_trend(d, sk, period)
     pm = d.groupBy(*sk, "phase").agg(F.avg(F.col("value") - F.col("trend")).alias("_pm"))
     pm = pm.withColumn("_adj", F.avg("_pm").over(Window.partitionBy(*sk)))
     pm = pm.select(*sk, "phase", (F.col("_pm") - F.col("_adj")).alias("seasonal"))
@@ -95,6 +102,23 @@ def decompose(dense: DataFrame, keys=("destination_id",), period: int = 7) -> Da
                       (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
 
 
+def _extrapolate_trend(d: DataFrame, sk, npoints: int) -> DataFrame:
+    rng = d.filter(F.col("trend").isNotNull()).groupBy(*sk).agg(F.min("t").alias("_f"), F.max("t").alias("_b"))
+    x = d.join(rng, sk)
+    front = (F.col("t") >= F.col("_f")) & (F.col("t") <= F.least(F.col("_f") + npoints - 1, F.col("_b")))
+    back = (F.col("t") <= F.col("_b")) & (F.col("t") >= F.greatest(F.col("_b") - npoints + 1, F.col("_f")))
+    fit = x.groupBy(*sk).agg(
+        F.regr_slope(F.when(front, F.col("trend")), F.when(front, F.col("t"))).alias("_k1"),
+        F.regr_intercept(F.when(front, F.col("trend")), F.when(front, F.col("t"))).alias("_n1"),
+        F.regr_slope(F.when(back, F.col("trend")), F.when(back, F.col("t"))).alias("_k2"),
+        F.regr_intercept(F.when(back, F.col("trend")), F.when(back, F.col("t"))).alias("_n2"))
+    y = x.join(fit, sk)
+    t = F.col("t")
+    trend = (F.when(t < F.col("_f"), F.col("_n1") + F.col("_k1") * t)
+             .when(t > F.col("_b"), F.col("_n2") + F.col("_k2") * t).otherwise(F.col("trend")))
+    return y.withColumn("trend", trend).drop("_f", "_b", "_k1", "_n1", "_k2", "_n2")
+
+
 def detect_seasonality(dense: DataFrame, keys=("destination_id",), max_period: int = 30,
                        include_max_lag: bool = False) -> DataFrame:
     """M5: |ACF| at 7, 14 and 30 days (full-series mean and variance, as the biased

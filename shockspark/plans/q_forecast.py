@@ -148,7 +148,7 @@ def m9_what_if(spark, sf_dir):
     return FC.what_if(_stitched(spark, sf_dir), SCENARIOS)
 
 
-def _recovery_sql(aggregate: bool) -> str:
+def _recovery_sql(aggregate: bool, after_trough: bool = False) -> str:
     v = "CAST(SUM(bookings) AS DOUBLE)" if aggregate else "CAST(bookings AS DOUBLE)"
     grp = "GROUP BY destination_id, date" if aggregate else ""
     s = f"DATE '{CRISIS_START}'"
@@ -163,7 +163,8 @@ st2 AS (SELECT *, baseline_level * 0.5 + trough_level * 0.5 AS t50, baseline_lev
 td AS (SELECT g.destination_id, MIN(g.date) AS trough_date FROM g JOIN st2 ON g.destination_id = st2.destination_id
   WHERE g.date >= {s} AND g.v = st2.trough_level GROUP BY 1),
 fr AS (SELECT g.destination_id, MIN(g.date) FILTER (WHERE g.v >= t50) AS r50, MIN(g.date) FILTER (WHERE g.v >= t90) AS r90,
-  MIN(g.date) FILTER (WHERE g.v >= t100) AS r100 FROM g JOIN st2 ON g.destination_id = st2.destination_id WHERE g.date >= {s} GROUP BY 1),
+  MIN(g.date) FILTER (WHERE g.v >= t100) AS r100 FROM g JOIN st2 ON g.destination_id = st2.destination_id
+  JOIN td ON g.destination_id = td.destination_id WHERE g.date >= {s} {"AND g.date >= td.trough_date" if after_trough else ""} GROUP BY 1),
 rec AS (SELECT st2.destination_id, {s} AS crisis_start, baseline_level, trough_level, td.trough_date,
   fr.r50 AS recovery_50_date, fr.r90 AS recovery_90_date, fr.r100 AS recovery_100_date,
   CAST(date_diff('day', {s}, fr.r50) AS INTEGER) AS estimated_days_to_50,
@@ -266,3 +267,9 @@ def x14_drilldown(spark, sf_dir):
     return d.join(ch, "destination_id").join(res, "destination_id", "left").join(co, "destination_id", "left").select(
         "destination_id", "destination_name", "region", "bookings_change_pct", "cancellations_change_pct",
         "adr_change_pct", "room_nights_change_pct", "revpar_change_pct", "resilience_score", "pearson_r")
+
+
+@register("m7_recovery_after_trough", with_fixtures(_recovery_sql(True, after_trough=True), f"SELECT {REC_COLS} FROM rec"))
+def m7_recovery_after_trough(spark, sf_dir):
+    """M7 option: recovery crossings searched from the trough date on."""
+    return RC.recovery_timeline(fx.daily_metrics(spark, sf_dir), CRISIS_START, mode="after_trough")

@@ -230,3 +230,27 @@ FROM ch"""))
 def x15_traffic_lights(spark, sf_dir):
     """X15 (documented extra): traffic-light classes of the changes."""
     return KP.traffic_lights(_changes(spark, sf_dir))
+
+
+@register("w6_decompose_extrapolated", with_fixtures(DENSE_SQL + """,
+tr0 AS (SELECT *, CASE WHEN COUNT(value) OVER w = 7 THEN AVG(value) OVER w END AS trend0, t % 7 AS phase FROM dense
+  WINDOW w AS (PARTITION BY destination_id, metric ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+rng AS (SELECT destination_id, metric, MIN(t) FILTER (WHERE trend0 IS NOT NULL) AS f,
+  MAX(t) FILTER (WHERE trend0 IS NOT NULL) AS b FROM tr0 GROUP BY 1, 2),
+fit AS (SELECT tr0.destination_id, tr0.metric,
+  regr_slope(trend0, t) FILTER (WHERE t BETWEEN f AND LEAST(f + 6, b)) AS k1,
+  regr_intercept(trend0, t) FILTER (WHERE t BETWEEN f AND LEAST(f + 6, b)) AS n1,
+  regr_slope(trend0, t) FILTER (WHERE t BETWEEN GREATEST(b - 6, f) AND b) AS k2,
+  regr_intercept(trend0, t) FILTER (WHERE t BETWEEN GREATEST(b - 6, f) AND b) AS n2
+  FROM tr0 JOIN rng ON tr0.destination_id = rng.destination_id AND tr0.metric = rng.metric GROUP BY 1, 2),
+tr AS (SELECT tr0.*, CASE WHEN t < rng.f THEN n1 + k1 * t WHEN t > rng.b THEN n2 + k2 * t ELSE trend0 END AS trend
+  FROM tr0 JOIN rng ON tr0.destination_id = rng.destination_id AND tr0.metric = rng.metric
+  JOIN fit ON tr0.destination_id = fit.destination_id AND tr0.metric = fit.metric),
+pm AS (SELECT destination_id, metric, phase, AVG(value - trend) AS pm FROM tr GROUP BY 1, 2, 3),
+pm2 AS (SELECT destination_id, metric, phase, pm - AVG(pm) OVER (PARTITION BY destination_id, metric) AS seasonal FROM pm)""", f"""
+SELECT {cols('tr.destination_id AS destination_id', 'tr.metric AS metric', 'date', 'value:d', 'trend:d', 'seasonal:d')},
+  round(value - trend - seasonal, 6) AS residual
+FROM tr LEFT JOIN pm2 ON tr.destination_id = pm2.destination_id AND tr.metric = pm2.metric AND tr.phase = pm2.phase"""))
+def w6_decompose_extrapolated(spark, sf_dir):
+    """W6 option: decomposition with the trend extrapolated linearly at both ends."""
+    return SE.decompose(dense(spark, sf_dir), extrapolate=True)
