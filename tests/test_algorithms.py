@@ -41,13 +41,16 @@ def test_average_rank_matches_pandas(spark, xs):
 
 
 @SETTINGS
-@given(xs=values)
-def test_positions_cover_every_row_once(spark, xs):
-    pos = value_positions(_frame(spark, xs), "v").collect()
+@given(xs=values, ranges=st.integers(1, 7), desc=st.booleans())
+def test_positions_cover_every_row_once(spark, xs, ranges, desc):
+    pos = value_positions(_frame(spark, xs), "v", descending=desc, ranges=ranges).collect()
     n = sum(1 for x in xs if x is not None)
     spans = sorted((r["_before"], r["_before"] + r["_k"]) for r in pos)
     assert sum(r["_k"] for r in pos) == n
     assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    order = sorted(pos, key=lambda r: r["_before"])
+    vals = [r["v"] for r in order]
+    assert vals == sorted(vals, reverse=desc)
 
 
 @SETTINGS
