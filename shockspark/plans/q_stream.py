@@ -18,7 +18,9 @@ def land_reservations(spark, sf_dir) -> str:
     """Reservations landed as Parquet files, one folder per arrival month."""
     landing = scratch_path(spark, "landing")
     r = fx.reservations(spark, sf_dir).select(*[f.name for f in RESERVATION_SCHEMA.fields])
-    r.withColumn("month", F.date_format("arrival_date", "yyyy-MM")).write.partitionBy("month").parquet(landing)
+    # One file per month folder, as a landing zone receives them.
+    r = r.withColumn("month", F.date_format("arrival_date", "yyyy-MM"))
+    r.repartition("month").write.partitionBy("month").parquet(landing)
     return landing
 
 

@@ -81,3 +81,13 @@ def test_null_words_and_json(spark):
     assert r[0]["s"] is None and r[1]["s"] == "ok"
     j = [x["json"] for x in rows(K.to_json_records(df))]
     assert j[0] == '{"s":" NaN","x":1.0,"d":"2022-01-02"}' and '"x":null' in j[1]
+
+
+def test_forecast_outputs_missing_file_tolerated(spark, tmp_path):
+    root = tmp_path / "fc"
+    df = spark.createDataFrame([(dt.date(2022, 1, 1), "bookings", "m", 1.0, 0.5, 1.5)],
+                               "date date, metric string, model string, forecast double, lower double, upper double")
+    K.write_csv(df, str(root / "forecast_dataset"))
+    out = L.load_forecast_data(spark, str(root))
+    assert set(out) == {"forecast_dataset"}  # accuracy and recovery files absent
+    assert rows(out["forecast_dataset"])[0]["forecast"] == 1.0
