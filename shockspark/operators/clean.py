@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspark.functions.quantiles import quantiles
+from shockspark.functions.quantiles import median_and_filled_quantile, quantiles
 
 
 def _scalar(one_row: DataFrame):
@@ -26,13 +26,16 @@ def clean_hotel_bookings(df: DataFrame, year_from: int = 2015, year_to: int = 20
         F.year("arrival_date").between(year_from, year_to))
     cols = set(d.columns)
     if "adr" in cols:
-        # Two scalars, each from a distributed aggregate.  They are evaluated when the
-        # plan is built and applied as literals: as nested scalar subqueries the p99
-        # (over values filled with the median) would re-plan the median's whole
-        # pipeline inside its own.
-        med = _scalar(quantiles(d, "adr", {"m": 0.5}, approx))
+        # Two scalars from distributed aggregates, evaluated when the plan is built and
+        # applied as literals: as nested scalar subqueries the p99 (over values filled
+        # with the median) would re-plan the median's whole pipeline inside its own.
+        if approx:
+            med = _scalar(quantiles(d, "adr", {"m": 0.5}, approx=True))
+            filled = d.withColumn("adr", F.coalesce(F.col("adr"), F.lit(med).cast("double")))
+            p99 = _scalar(quantiles(filled, "adr", {"p": 0.99}, approx=True))
+        else:
+            med, p99 = median_and_filled_quantile(d, "adr", 0.99)
         d = d.withColumn("adr", F.coalesce(F.col("adr"), F.lit(med).cast("double")))
-        p99 = _scalar(quantiles(d, "adr", {"p": 0.99}, approx))
         a = F.col("adr")
         if p99 is not None:
             d = d.withColumn("adr", F.when(a < 0, F.lit(0.0)).when(a > F.lit(p99), F.lit(p99)).otherwise(a))

@@ -62,3 +62,19 @@ def test_exact_quantile_matches_numpy(spark, xs, q):
         assert got is None
     else:
         assert got == pytest.approx(float(np.quantile(arr, q)), rel=1e-12, abs=1e-9)
+
+
+@SETTINGS
+@given(xs=values, q=st.sampled_from([0.0, 0.5, 0.9, 0.99, 1.0]))
+def test_median_and_filled_quantile_matches_numpy(spark, xs, q):
+    from shockspark.functions.quantiles import median_and_filled_quantile
+
+    m, p = median_and_filled_quantile(_frame(spark, xs), "v", q)
+    arr = np.array([x for x in xs if x is not None], dtype=float)
+    if arr.size == 0:
+        assert m is None and p is None
+        return
+    med = float(np.quantile(arr, 0.5))
+    filled = np.array([med if x is None else x for x in xs], dtype=float)
+    assert m == pytest.approx(med, rel=1e-12, abs=1e-9)
+    assert p == pytest.approx(float(np.quantile(filled, q)), rel=1e-12, abs=1e-9)
