@@ -88,3 +88,12 @@ def null_words_to_null(c, words=("nat", "nan", "none", "")) -> Column:
     """Strings that spell a missing value become NULL."""
     x = col(c)
     return F.when(F.lower(F.trim(x)).isin(*words), F.lit(None).cast("string")).otherwise(x)
+
+
+def round_to(c, digits: int = 0) -> Column:
+    """Presentation rounding to ``digits`` places as ``round(x * 10^d) / 10^d``, half
+    away from zero on the scaled binary value (how a dashboard's ``toFixed`` and most
+    SQL engines round a double: 39.675 is stored as 39.67499.. and gives 39.67, where
+    ``F.round`` would round its shortest decimal form up)."""
+    m = float(10 ** digits)
+    return F.round(col(c).cast("double") * m, 0) / m

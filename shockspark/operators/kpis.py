@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspark.functions.exprs import div_if_positive, safe_div
+from shockspark.functions.exprs import div_if_positive, round_to, safe_div
 from shockspark.functions.quantiles import quantiles
 
 # Histogram bins and labels (right-closed).
@@ -83,8 +83,8 @@ def funnel(fact: DataFrame) -> DataFrame:
     ok = F.col("prev") > 0
     return stages.select(
         "stage", "name", "value",
-        F.when(ok, F.round(F.col("value") / F.col("prev") * 100, 1)).alias("conversion_pct"),
-        F.when(ok, F.round((F.col("prev") - F.col("value")) / F.col("prev") * 100, 1)).alias("drop_off_pct"))
+        F.when(ok, round_to(F.col("value") / F.col("prev") * 100, 1)).alias("conversion_pct"),
+        F.when(ok, round_to((F.col("prev") - F.col("value")) / F.col("prev") * 100, 1)).alias("drop_off_pct"))
 
 
 def prepost_totals(fact: DataFrame, crisis_date) -> DataFrame:
@@ -201,7 +201,7 @@ def daily_ratios(fact: DataFrame) -> DataFrame:
     tl = timeline(fact)
     return tl.select(
         "date", "bookings", "search_demand",
-        F.when(F.col("bookings") > 0, F.round(F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings"), 2))
+        F.when(F.col("bookings") > 0, round_to(F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings"), 2))
          .alias("look_to_book"),
         F.when(F.col("search_demand") > 0, F.col("bookings") / F.col("search_demand") * 100)
          .otherwise(F.lit(0.0)).alias("conversion_pct"))
@@ -221,7 +221,7 @@ def _histogram(values: DataFrame, col: str, bins, include_zero: bool = False) ->
     rows = arr.select(F.explode("a").alias("r"), F.aggregate(
         F.transform("a", lambda s: s["count"]), F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("total"))
     return rows.select("r.bin", "r.category", "r.count",
-                       F.when(F.col("total") > 0, F.round(F.col("r.count") / F.col("total") * 100, 1))
+                       F.when(F.col("total") > 0, round_to(F.col("r.count") / F.col("total") * 100, 1))
                         .otherwise(F.lit(0.0)).alias("pct"))
 
 
@@ -265,7 +265,7 @@ def traveler_mix(fact: DataFrame) -> DataFrame:
         for i, c in enumerate(cats)])).alias("r"))
     return rows.select("r.ord", "r.category",
                        F.floor(F.col("total_bookings") * F.col("r.raw") / F.col("raw_total")).cast("bigint").alias("count"),
-                       F.round(F.col("r.raw") / F.col("raw_total") * 100, 1).alias("pct"))
+                       round_to(F.col("r.raw") / F.col("raw_total") * 100, 1).alias("pct"))
 
 
 def travel_type_flows(fact: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def travel_type_flows(fact: DataFrame) -> DataFrame:
         F.sum("bookings").alias("bookings"), F.sum("search_demand").alias("search_demand"),
         F.sum("room_nights").alias("room_nights"), F.avg("adr").alias("avg_adr"))
     total = agg.agg(F.sum("bookings")).scalar()
-    return agg.withColumn("share_pct", F.when(total > 0, F.round(F.col("bookings") / total * 100, 1))
+    return agg.withColumn("share_pct", F.when(total > 0, round_to(F.col("bookings") / total * 100, 1))
                           .otherwise(F.lit(0.0)))
 
 
@@ -293,9 +293,9 @@ def rebased_indices(fact: DataFrame) -> DataFrame:
     base = lambda c: F.coalesce(F.when(first.select(f"f.{c}").scalar() != 0,
                                        first.select(f"f.{c}").scalar()), F.lit(1.0))
     idx = tl.select(
-        "date", F.round(F.coalesce(F.col("adr"), F.lit(0.0)) / base("adr") * 100, 1).alias("hotel_index"),
-        F.round(F.coalesce(F.col("search_demand"), F.lit(0.0)) / base("search_demand") * 100, 1).alias("ota_index"),
-        F.round(F.coalesce(F.col("bookings"), F.lit(0)) / base("bookings") * 100, 1).alias("tech_index"))
+        "date", round_to(F.coalesce(F.col("adr"), F.lit(0.0)) / base("adr") * 100, 1).alias("hotel_index"),
+        round_to(F.coalesce(F.col("search_demand"), F.lit(0.0)) / base("search_demand") * 100, 1).alias("ota_index"),
+        round_to(F.coalesce(F.col("bookings"), F.lit(0)) / base("bookings") * 100, 1).alias("tech_index"))
     return idx.withColumn("composite", (F.col("hotel_index") + F.col("ota_index") + F.col("tech_index")) / 3)
 
 
@@ -350,7 +350,7 @@ def booking_value_per_destination(fact: DataFrame) -> DataFrame:
                  F.sum("search_demand").alias("s"))
     return t.select(
         F.col("b").alias("total_bookings"), F.col("n").alias("destinations_count"),
-        F.when(F.col("n") > 0, F.round(F.col("b") / F.col("n"))).otherwise(F.lit(0.0)).alias("avg_booking_volume"),
+        F.when(F.col("n") > 0, round_to(F.col("b") / F.col("n"), 0)).otherwise(F.lit(0.0)).alias("avg_booking_volume"),
         F.when(F.col("n") > 0, F.col("b") * pos_adr / F.col("n")).otherwise(F.lit(0.0)).alias("avg_booking_value"),
         F.when(F.col("s") > 0, F.col("b") / F.col("s") * 100).otherwise(F.lit(0.0)).alias("conversion_pct"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockspark.functions.broadcast import bounded_broadcast
-from shockspark.functions.exprs import safe_div
+from shockspark.functions.exprs import round_to, safe_div
 
 # Lead-window shifts (days) and the stay estimate per booking.
 FLIGHT_LEADS = (30, 60)
@@ -304,7 +304,7 @@ def monthly_load_factor(flights: DataFrame, ctx: TravelContext, last_n: int = 24
     months."""
     g = filter_fact(flights, ctx).groupBy(F.trunc("date", "month").alias("date")).agg(
         F.sum("seat_capacity").alias("sc"), F.sum(F.col("seat_capacity") * F.col("load_factor")).alias("pax"))
-    g = g.select("date", F.coalesce(F.round(safe_div("pax", "sc") * 100, 2), F.lit(0.0)).alias("load_factor_pct"))
+    g = g.select("date", F.coalesce(round_to(safe_div("pax", "sc") * 100, 2), F.lit(0.0)).alias("load_factor_pct"))
     return g.orderBy(F.col("date").desc()).limit(last_n)
 
 

@@ -3,6 +3,7 @@ A46-A48, A51, A52, X8, X9)."""
 
 from __future__ import annotations
 
+from shockspark.functions.exprs import round_to
 from shockspark.operators import kpis as KP
 from shockspark.plans.catalog import register
 from shockspark.plans.sqlkit import cols
@@ -157,7 +158,7 @@ def t4_top12_market_share(spark, sf_dir):
 
     o = KP.ota_kpis(_fact(spark, sf_dir)).filter(F.col("market_share_pct") > 0)
     return o.orderBy(F.col("market_share_pct").desc(), "destination_id").limit(12).select(
-        "destination_id", F.round("market_share_pct", 2).alias("market_share_pct"))
+        "destination_id", round_to("market_share_pct", 2).alias("market_share_pct"))
 
 
 @register("a25_ota_rollup", with_fixtures(TL_SQL + """,
