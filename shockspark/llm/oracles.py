@@ -47,3 +47,31 @@ fill(step, slot, taken) as (
 owner as (select slot, name as shard from fill join names on i = step % {n}),
 keyed as (select doc_id, (('0x' || substr(md5(coalesce('k' || doc_id::varchar, '')), 1, 15))::bigint % {size})::integer as slot from documents)
 select doc_id, slot, shard from keyed join owner using (slot)"""
+
+
+def packing(context: int = 4096, align: int = 64, buckets: int = 8, budget: int = 65_536) -> str:
+    """The same programme as a recursive query over the histogram; numbering by one global
+    window."""
+    return f"""
+with recursive cut as (
+  select doc_id, unnest(range(greatest(1, ceil(strlen(coalesce(text, '')) / {context}::double)::bigint))) as part,
+         strlen(coalesce(text, '')) as tokens from documents),
+rows as (
+  select doc_id, part, part * {context} as start, least(tokens - part * {context}, {context}) as length,
+         greatest(1, ceil(least(tokens - part * {context}, {context}) / {align}::double)::bigint) as bin from cut),
+hist as (select bin, count(*) as n, sum(length)::bigint as s from rows group by bin),
+sums as (select row_number() over (order by bin) as j, bin, (sum(n) over (order by bin))::bigint as n, (sum(s) over (order by bin))::bigint as s from hist),
+edges as (select * from sums union all select 0, 0, 0, 0),
+best(k, j, cost, path) as (
+  select 0, 0::bigint, 0::bigint, []::bigint[]
+  union all
+  select m.k + 1, m.j, m.b.cost, m.b.path from (
+    select f.k, t.j, min({{'cost': f.cost + t.bin * {align} * (t.n - e.n) - (t.s - e.s), 'i': e.j, 'path': list_append(f.path, t.bin::bigint)}}) as b
+    from best f join edges e on e.j = f.j join edges t on t.j > e.j
+    where f.k < {buckets} group by f.k, t.j) m),
+ends as (select unnest(path) as last from best
+         where k = least({buckets}, (select count(*) from hist)) and j = (select count(*) from hist)),
+placed as (select r.*, (select min(last) from ends where last >= bin) * {align} as bucket,
+                  substr(md5(concat_ws('/', doc_id, part, length)), 1, 3) as shard from rows r),
+numbered as (select *, row_number() over (partition by bucket order by shard, doc_id, part, length) - 1 as nth from placed)
+select doc_id, part, start, length, bucket, nth // ({budget} // bucket) as batch, nth % ({budget} // bucket) as place from numbered"""

@@ -54,3 +54,53 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shockspark.llm.quality import quality_rules as judge
 
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def _ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op1_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the ids decoded again, as digests."""
+    import public_tokenizers
+
+    from shockspark.llm.bpe import decode, encode
+
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _ranks(), public_tokenizers.PATTERN).drop("text")
+    back = decode(ids, _ranks())
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from shockspark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_packing", oracles.packing())
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every sequence of the documents (byte tokens)."""
+    from shockspark.llm.packing import byte_length, pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_length())
+
+
+@query("op3_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    from shockspark.llm.syncmers import anchors, as_text, likeness, replace_tail, with_next
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_next(docs).withColumn("edited", replace_tail(F.col("text"), F.col("next_text")))
+    marked = anchors(anchors(anchors(pairs, "text", "own"), "edited", "changed"), "next_text", "next")
+    return marked.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+                         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+                         likeness(F.col("own"), F.col("next")).alias("near_next"))
