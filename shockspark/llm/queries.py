@@ -19,6 +19,8 @@ ORACLES: dict[str, str] = {}
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
+#: Key of the registered query; a user passes a secret of their own.
+PII_KEY = "registered-query"
 
 
 def query(name: str, sql: str | None = None):
@@ -104,3 +106,12 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                          as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
                          likeness(F.col("own"), F.col("changed")).alias("near_edited"),
                          likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
+@query("op8_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    from shockspark.llm.surrogates import replace_personal_data
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, PII_KEY, counted="n_replaced").select("doc_id", "n_replaced", "text")
