@@ -115,3 +115,14 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_personal_data(docs, PII_KEY, counted="n_replaced").select("doc_id", "n_replaced", "text")
+
+
+@query("op9_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    from shockspark.llm.toxicity import held_out, scores, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return scores(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
