@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shockspark.llm.common import at, fresh, text_or_empty, without
+from shockspark.llm.ranges import deal
 
 K, S = 5, 2
 BLANKS = " \t\n\x0b\f\r"
@@ -74,51 +75,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def _bucket_of(order: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the value, by binary search over the bounds (a literal
-    array padded with the largest value)."""
-    steps = 1 << len(bounds).bit_length()
-    padded = F.array(*[F.lit(b).cast("bigint") for b in bounds + [2 ** 63 - 1] * (steps - len(bounds))])
-    halves = F.array(*[F.lit(steps >> i) for i in range(1, steps.bit_length())])
-    return F.aggregate(halves, F.lit(0), lambda low, half: F.when(
-        (F.get(padded, low + half - 1) <= order) & (low + half <= len(bounds)), low + half).otherwise(low))
-
-
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "next_text", rows_per_bucket: int = 1000,
-              max_buckets: int = 4096) -> DataFrame:
-    """``df`` with the text of the next row in descending order of ``key`` (nulls last, rows
-    of one key by the hash of their text; after the last row comes the first) as ``out``.
-
-    Rows are bucketed by approximate quantiles of the key and each bucket's first row is
-    also dealt, as a guest, to the bucket before it, so the neighbour is always found
-    inside a bucket and each text is shuffled once.  At most ``max_buckets`` bounds, first
-    keys and guests are held; which bounds are drawn does not change the result."""
-    order, tie, bucket, guest = (fresh(df, c) for c in ("order_key", "tie_key", "bucket", "guest"))
-    low = F.lit(-(2 ** 63)).cast("bigint")
-    keyed = df.withColumn(order, F.coalesce(at(key).cast("bigint"), low)).withColumn(tie, F.xxhash64(text_or_empty(text)))
-    count = df.count()
-    buckets = min(max_buckets, max(1, count // rows_per_bucket))
-    bounds: list[int] = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        drawn = keyed.agg(F.percentile_approx(at(order), shares, 10 * buckets).alias("q")).first().q
-        bounds = sorted(set(drawn or []))
-    keyed = keyed.withColumn(bucket, _bucket_of(at(order), bounds))
-    heads = keyed.groupBy(at(bucket)).agg(F.max(F.struct(at(order).alias("o"), (-F.shiftright(at(tie), 1)).alias("t"))).alias("h"))
-    first = sorted((r[0], r[1].o, r[1].t) for r in heads.collect())  # one row per bucket
-    if not first:
-        return df.withColumn(out, text_or_empty(text))
-    goes_to = [(b, o, t, first[(i + 1) % len(first)][0]) for i, (b, o, t) in enumerate(first)]
-    spark = df.sparkSession
-    marks = spark.range(1).select(F.inline(F.array(*[F.struct(
-        F.lit(b).alias("b"), F.lit(o).cast("bigint").alias("o"), F.lit(t).cast("bigint").alias("t"), F.lit(to).alias("to")) for b, o, t, to in goes_to])))
-    same = (at(bucket) == F.col("b")) & (at(order) == F.col("o")) & (-F.shiftright(at(tie), 1) == F.col("t"))
-    guests = keyed.join(F.broadcast(marks), same).groupBy("to").agg(F.first(text_or_empty(text)).alias("shown"))
-    fields = [(F.col("shown") if f.name == text else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-    visiting = guests.select(*fields, low.alias(order), F.lit(0).cast("bigint").alias(tie), F.col("to").alias(bucket), F.lit(True).alias(guest))
-    dealt = keyed.withColumn(guest, F.lit(False)).unionByName(visiting).repartition(at(bucket))
-    w = Window.partitionBy(at(bucket)).orderBy(at(guest), at(order).desc(), F.shiftright(at(tie), 1))
-    return dealt.withColumn(out, F.lead(text_or_empty(text)).over(w)).filter(~at(guest)).select(*[at(c) for c in without(df, out).columns], at(out))
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "next_text") -> DataFrame:
+    """``df`` with the text of the next row in descending order of the whole-number column
+    ``key`` (nulls last, rows of one key by a hash of their text; after the last row comes
+    the first) as ``out``.  Each text is shuffled once, to the range of its key."""
+    order = fresh(df, "key_order")
+    # 16 hexadecimal digits that sort as the key descends
+    falling = F.lpad(F.hex(at(key).cast("bigint").bitwiseXOR(F.lit(2 ** 63 - 1))), 16, "0")
+    sortable = F.concat_ws("-", F.coalesce(falling, F.lit("null")), F.hex(F.xxhash64(text_or_empty(text))))
+    dealt, part, side = deal(df.withColumn(order, sortable), order, text)
+    w = Window.partitionBy(at(part)).orderBy(at(side), at(order))
+    return dealt.withColumn(out, F.lead(text_or_empty(text)).over(w)).filter(at(side) == 0).select(*[at(c) for c in without(df, out).columns], at(out))
 
 
 def replace_tail(text: Column, by: Column) -> Column:
