@@ -169,10 +169,10 @@ def merge_many(vocabulary: Vocabulary, pieces: list[bytes], size: int) -> list[b
 
 
 class Encoder:
-    """Encodes and decodes texts in a worker."""
+    """Encodes texts in a worker."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
-        self.vocabulary = Vocabulary(rank_file)
+    def __init__(self, known: Vocabulary, pattern: str):
+        self.vocabulary = known
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
@@ -213,23 +213,33 @@ class Encoder:
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
 
-    def decode_array(self, ids: pa.Array) -> pa.Array:
-        token = self.vocabulary.tokens.__getitem__
-        return pa.array([b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in ids], pa.binary())
 
+_VOCABULARIES: dict[int, Vocabulary] = {}
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
 
-_ENCODERS: dict[int, Encoder] = {}
+
+def vocabulary(rank_file: bytes) -> Vocabulary:
+    """One vocabulary per worker and rank file."""
+    key = hash(rank_file)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = Vocabulary(rank_file)
+    return _VOCABULARIES[key]
 
 
 def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    """One encoder per worker and vocabulary."""
-    key = hash(rank_file)
+    """One encoder per worker, rank file and pattern."""
+    key = (hash(rank_file), pattern)
     if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(rank_file, pattern)
+        _ENCODERS[key] = Encoder(vocabulary(rank_file), pattern)
     return _ENCODERS[key]
 
 
+def decode_array(known: Vocabulary, ids: pa.Array) -> pa.Array:
+    """The bytes of each id sequence."""
+    token = known.tokens.__getitem__
+    return pa.array([b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
 def _shared(spark: SparkSession, rank_path: str):
     ship(spark)
     with open(rank_path, "rb") as f:
@@ -254,7 +264,7 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", out: str = "decoded"
     ranks = _shared(df.sparkSession, rank_path)
 
     def decoded(values: pa.Array) -> pa.Array:
-        return encoder(ranks.value, "").decode_array(values)
+        return decode_array(vocabulary(ranks.value), values)
 
     own = fresh(df, "decoded_ids")
     # coalesce: ids that come from ``encode`` are then made once, not again inside this call
