@@ -191,11 +191,13 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
     dealt, part, side = deal(keyed, order, html)
     dealt = dealt.sortWithinPartitions(part, side, order)
     keep = [c for c in without(df, out).columns if c != html]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("text", T.StringType())])
+    dealt = dealt.select(*[at(c).alias(f"c{i}") for i, c in enumerate(keep)], at(part).alias("part"), at(side).alias("side"), at(order).alias("order"),
+                         at(html).alias("html"))  # plain names for the Arrow batches
 
     def rows(batch: pa.RecordBatch) -> list[tuple]:
         found = []
-        for p, s, k, page in zip(*(batch.column(c).to_pylist() for c in (part, side, order)), batch.column(html)):
+        for p, s, k, page in zip(*(batch.column(c).to_pylist() for c in ("part", "side", "order")), batch.column("html")):
             host, path = k.split(blank)[:2]
             found.append((p, s, k, (host, path, lines_of(page.as_py() or ""))))
         return found
@@ -218,7 +220,7 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
                 if s <= 0:
                     held = (p, page)
             own = batch.take(pa.array(take, pa.int64()))
-            return pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
+            return pa.RecordBatch.from_arrays([*own.columns[:len(keep)], pa.array(texts, pa.string())], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -230,4 +232,5 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
         if waiting:
             yield finish(*waiting, None)
 
-    return dealt.mapInArrow(extracted, schema)
+    found = dealt.mapInArrow(extracted, schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(out))

@@ -17,14 +17,14 @@ sentences of toxic texts that fall on the clean side count as clean (each toxic
 its best sentence) and the machine is fitted again.  Words that the machine values above
 ``SUSPECT`` are the evidence of a text; how much one occurrence tells differs by word, so a
 second linear function of the same Nyström map, a logistic one, is fitted on the sums over
-the evidence of each labelled text and on the logarithm of its length, with the classes
-weighted as they occur.
+the evidence of each labelled text and, where there is any, on the logarithm of the text's
+length, with the classes weighted as they occur.
 
 Learning uses at most ``MAX_TEXTS`` labelled texts of each class (the least by a hash of
 the id), and at most ``MAX_SENTENCES`` of their sentences; scoring reads whole texts.
 
-Defined results: null and empty texts have no sentence and get the score of the lowest
-margins; equal texts get equal scores; a training set without one of the classes gives the
+Defined results: null and empty texts have no evidence and the score of all such texts,
+the share of toxic ones among them as fitted; equal texts get equal scores; a training set without one of the classes gives the
 share of toxic labels (0 without labels) as every score; an empty table gives an empty
 table; input columns that clash with output names are replaced.
 """
@@ -130,12 +130,13 @@ class Landmarks:
 @dataclass
 class ToxicityModel:
     """Landmarks; each landmark's weight in a word's margin (first row) and in its evidence
-    (second row); the margin's bias; bias and length weight of the logistic function."""
+    (second row); the margin's bias; of the logistic function the bias, and the bias and the
+    length weight of texts with evidence."""
 
     landmarks: Landmarks | None
     weights: np.ndarray
     bias: float
-    logit: tuple[float, float]
+    logit: tuple[float, float, float]
     known: dict[str, float] = field(default_factory=dict)
 
     def learn(self, words: list[str]) -> None:
@@ -153,7 +154,10 @@ class ToxicityModel:
             return float(self.logit[0])
         words = [w for s in sentence_words(text) for w in s]
         self.learn(list(set(words).difference(self.known)))
-        z = self.logit[0] + self.logit[1] * math.log1p(len(words)) + sum(map(self.known.__getitem__, words))
+        evidence = [v for v in map(self.known.__getitem__, words) if v]
+        z = self.logit[0]
+        if evidence:
+            z += self.logit[1] + self.logit[2] * math.log1p(len(words)) + sum(evidence)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -209,7 +213,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
     """The model of labelled texts; ``toxic_share``: how often label 1 occurs."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0))
+        return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0, 0.0))
     split = [sentence_words(t) for t in texts]
     landmarks = choose_landmarks(split, y)
     own = landmarks.kernel(landmarks.words).astype(np.float64)
@@ -243,15 +247,16 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         sign = np.where((of == 1) & ((margin > 0) | (margin >= best[owner])), 1.0, -1.0)
     value = mapped @ w[:-1] + w[-1] > SUSPECT
     known = {n: mapped[i] for i, n in enumerate(names) if value[i]}
-    z = np.zeros((len(y), root.shape[1] + 2))
-    z[:, -2] = 1
+    z = np.zeros((len(y), root.shape[1] + 3))
+    z[:, -3] = 1
     for t, sentences in enumerate(split):
-        z[t, -1] = math.log1p(sum(map(len, sentences)))
-        for v in (known[n] for s in sentences for n in s if n in known):
-            z[t, :-2] += v
+        evidence = [known[n] for s in sentences for n in s if n in known]
+        if evidence:
+            z[t, :-3] = np.sum(evidence, axis=0)
+            z[t, -2:] = 1, math.log1p(sum(map(len, sentences)))
     u = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
-    weights = np.stack([root @ w[:-1], root @ u[:-2]]).astype(np.float32)
-    return ToxicityModel(landmarks, weights, float(w[-1]), (float(u[-2]), float(u[-1])))
+    weights = np.stack([root @ w[:-1], root @ u[:-3]]).astype(np.float32)
+    return ToxicityModel(landmarks, weights, float(w[-1]), tuple(u[-3:].tolist()))
 
 
 def held_out(key: Column) -> Column:

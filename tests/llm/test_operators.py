@@ -1,0 +1,477 @@
+"""Each operator against a brute-force version, on small tables and on sf0.001."""
+
+import hashlib
+import html as entities
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from conftest import SF0001
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from shockspark.llm import bpe, packing, quality, sharding, simhash, surrogates, syncmers, toxicity, urlfilter
+from shockspark.llm import html as pages
+from shockspark.llm.queries import QUERIES, URL_RULES
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def texts_of(spark, column="text", key="doc_id", name="documents"):
+    return {r[0]: r[1] or "" for r in spark.read.parquet(f"{SF0001}/{name}.parquet").select(key, column).collect()}
+
+
+# 1 ------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(RANKS, "rb") as f:
+        return bpe.Encoder(bpe.Vocabulary(f.read()), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference_tokenizer(encoder):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={})
+
+
+def test_encode_as_tiktoken(spark, reference_tokenizer):
+    texts = texts_of(spark)
+    for r in QUERIES["op1_byte_bpe"](spark, SF0001).collect():
+        ids = reference_tokenizer.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abcdeé ñ漢😀\n\t'.1xX"), max_size=200))
+def test_any_text_as_tiktoken(encoder, reference_tokenizer, text):
+    import pyarrow as pa
+
+    assert encoder.encode_array(pa.array([text]))[0].as_py() == reference_tokenizer.encode_ordinary(text)
+
+
+def test_one_very_long_piece(encoder, reference_tokenizer):
+    rng = random.Random(5)
+    piece = "".join(rng.choice("abcdefgh") for _ in range(30_000))
+    assert bpe.merge_one(encoder.vocabulary, piece.encode()) == reference_tokenizer.encode_ordinary(piece)
+    assert bpe.merge_one(encoder.vocabulary, b"a") == [encoder.vocabulary.ranks[b"a"]]
+
+
+# 2 ------------------------------------------------------------------------------------
+
+def _least_padding(lengths, buckets, align):
+    """Least total padding by trying every choice of boundaries."""
+    from itertools import combinations
+
+    bins = sorted({max(1, -(-x // align)) for x in lengths})
+    best = None
+    for k in range(1, min(buckets, len(bins)) + 1):
+        for ends in combinations(bins, k):
+            if ends[-1] == bins[-1]:
+                pad = sum(min(e for e in ends if e * align >= x) * align - x for x in lengths)
+                best = pad if best is None else min(best, pad)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=40), st.integers(1, 4))
+def test_boundaries_have_least_padding(lengths, buckets):
+    align = 4
+    bins = [max(1, -(-x // align)) for x in lengths]
+    seen = sorted((b, bins.count(b), sum(x for x, y in zip(lengths, bins) if y == b)) for b in set(bins))
+    ends = packing.best_boundaries(*map(list, zip(*seen)), buckets, align)
+    pad = sum(min(e for e in ends if e >= b) * align - x for x, b in zip(lengths, bins))
+    assert pad == _least_padding(lengths, buckets, align)
+
+
+def test_packing_is_whole_and_within_budget(spark):
+    rows = QUERIES["op2_packing"](spark, SF0001).collect()
+    length = defaultdict(int)
+    batches = defaultdict(list)
+    for r in rows:
+        assert r.length <= r.bucket and r.start == 4096 * r.part
+        length[r.doc_id] += r.length
+        batches[r.bucket, r.batch].append(r.place)
+    assert length == {d: len(t.encode()) for d, t in texts_of(spark).items()}
+    short = Counter()
+    for (bucket, _), places in batches.items():
+        assert sorted(places) == list(range(len(places))) and len(places) * bucket <= 65_536
+        short[bucket] += len(places) < 65_536 // bucket
+    assert max(short.values()) <= 1 and len({b for b, _ in batches}) <= 8
+
+
+# 3 ------------------------------------------------------------------------------------
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(*values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v % (1 << 64)).to_bytes(8, "little"), h)
+    return _signed(h)
+
+
+def brute_anchors(text, k=syncmers.K, s=syncmers.S):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    h = [_hash(w.encode()) for w in words]
+    if len(h) < k:
+        whole = 0
+        for x in h:
+            whole = _hash(whole, x)
+        return [(whole >> 32, 0)] if h else []
+    out = []
+    for i in range(len(h) - k + 1):
+        inner = [_hash(*h[j:j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((_hash(*h[i:i + k]) >> 32, i))
+    return out
+
+
+def as_fingerprint(found):
+    return "".join(f"{a % (1 << 32):08x}" for a, _ in found)
+
+
+def test_fingerprints_and_edited_texts(spark):
+    docs = sorted(texts_of(spark).items(), reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op3_document_fingerprints"](spark, SF0001).collect()}
+    assert len(got) == len(docs)
+
+    def likeness(a, b):
+        a, b = {x for x, _ in a}, {x for x, _ in b}
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    for i, (d, text) in enumerate(docs):
+        follower, r = docs[(i + 1) % len(docs)][1], got[d]
+        third = len(text) // 3
+        edited = text[:len(text) - third] + follower[:third]
+        own, changed = brute_anchors(text), brute_anchors(edited)
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (as_fingerprint(own), as_fingerprint(changed))
+        assert r.near_edited == pytest.approx(likeness(own, changed))
+        assert r.near_next == pytest.approx(likeness(own, brute_anchors(follower)))
+
+
+@pytest.mark.parametrize("k,s", [(5, 2), (4, 1), (3, 2), (7, 3)])
+def test_anchor_positions(spark, k, s):
+    text = " ".join(random.Random(k).choices(["a", "b", "c", "d", "e", "f"], k=60))
+    df = spark.createDataFrame([(1, text), (2, "x y"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.anchors(df, positions="places", k=k, s=s).collect()}
+    assert list(zip(got[1].anchors, got[1].places)) == brute_anchors(text, k, s)
+    assert (got[2].anchors, got[2].places) == ([a for a, _ in brute_anchors("x y", k, s)], [0] if k > 2 else got[2].places)
+    assert got[3].anchors == [] and got[3].places == []
+
+
+def test_next_text_over_many_ranges(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(-10 ** 12, 10 ** 12), 4000)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none")], "doc_id long, text string").repartition(7)
+    got = {r.text: r.next_text for r in syncmers.with_next(df).collect()}
+    order = [f"t{i}" for i in sorted(ids, reverse=True)] + ["none"]
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+# 4 ------------------------------------------------------------------------------------
+
+def test_shares_and_moves(spark):
+    names = [f"s{i}" for i in range(20)]
+    owner = sharding.lookup_table(names, 2003)
+    share = Counter(owner)
+    assert max(share.values()) - min(share.values()) <= 1
+    fewer = sharding.lookup_table(names[:-1], 2003)
+    moved = sum(a != b for a, b in zip(owner, fewer) if a != 19)
+    assert moved < 0.1 * 2003
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 2000)
+
+
+# 5 ------------------------------------------------------------------------------------
+
+def _common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcde"), max_size=14))
+def test_shared_lines_are_a_longest_common_subsequence(a, b):
+    found = sorted(pages.shared_lines(a, b))
+    rest = iter(b)
+    assert len(found) == _common(a, b) and all(a[i] in rest for i in found)
+
+
+def test_article_text_of_all_pages(spark):
+    source = texts_of(spark, "html", "page_id", "pages")
+    rows = QUERIES["op5_html_extraction"](spark, SF0001).collect()
+    assert len(rows) == len(source)
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_marks_and_differencing(spark):
+    frame = "<div>Site name</div><div>Today's weather</div><p>{}</p><div>All rights reserved</div>"
+    rows = [(1, "http://h.org/a/1", frame.format("First &lt;story&gt;\n here")), (2, "http://h.org/a/2", frame.format("Second story")),
+            (3, "http://other.org/x", frame.format("Third")),
+            (4, "http://h.org/b", "<nav>menu</nav><main><h1>T&eacute;</h1><p>one<br>two<div class='cookie-notice'>We use cookies</div>"
+                                  "<form><p>Sign in</p></form><section id=comments><p>nice!</p></section></main><aside>more</aside>"),
+            (5, "http://h.org/c", "<article><header><h1>Head</h1></header><p>Body<footer>tags</footer></article><p>after</p><script>x='<p>'</script>"),
+            (6, None, None), (7, "http://h.org/d", "<p>open <b>text & more")]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "First <story> here" and got[2] == "Second story"
+    assert got[3] == "Site name\n\nToday's weather\n\nThird\n\nAll rights reserved"
+    assert got[4] == "Té\n\none two"
+    assert got[5] == "Head\n\nBody" and got[6] == "" and got[7] == "open text & more"
+
+
+# 6 ------------------------------------------------------------------------------------
+
+def brute_rule(rules, host, path):
+    fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for h, p, v in rules if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[3:] if fits else (None, None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "a", "b.a", "c.b.a", "ba"]), st.sampled_from(["", "/", "/x", "/x/", "/x/y", "/xy/"]),
+                          st.sampled_from(["block", "allow"])), max_size=12, unique_by=lambda r: r[:2]),
+       st.sampled_from(["", "a", "b.a", "d.c.b.a", "ba", "cba"]), st.sampled_from(["", "/", "/x", "/x/", "/x/y/z", "/xy/z", "/z"]))
+def test_trie_as_plain_comparison(rules, host, path):
+    assert urlfilter.RuleTrie(rules).judge(host, path) == brute_rule(rules, host, path)
+
+
+def test_odd_urls(spark):
+    urls = ["http://A.Example.NET/en/x?q", "https://net", "http://x.net/", "no scheme", None, "", "http://w.org/fr/#a", "x://example.com?/de/", "ftp://u://v/w"]
+    got = urlfilter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), URL_RULES)
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got.orderBy("page_id").collect()] == [
+        ("a.example.net", "/en/x", "example.net/en/", "allow"), ("net", "", None, "allow"), ("x.net", "/", "net/", "block"), ("", "", None, "allow"),
+        ("", "", None, "allow"), ("", "", None, "allow"), ("w.org", "/fr/", "org/fr/", "allow"), ("example.com", "", None, "allow"), ("u:", "//v/w", None, "allow")]
+
+
+# 7 ------------------------------------------------------------------------------------
+
+def brute_simhash(text):
+    words = text.encode().lower().split()
+    grams = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    values = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
+def brute_components(prints, distance):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash_components(spark):
+    docs = sorted(texts_of(spark).items())
+    prints = [brute_simhash(t) for _, t in docs]
+    roots = brute_components(prints, 2)
+    least = {}
+    for (d, _), r in zip(docs, roots):
+        least[r] = min(d, least.get(r, d))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op7_simhash_near_dedup"](spark, SF0001).collect()}
+    assert got == {d: (f"{p:016x}", least[r]) for (d, _), p, r in zip(docs, prints, roots)}
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5])
+def test_no_link_is_lost(spark, distance):
+    rng = random.Random(distance)
+    prints = [rng.getrandbits(64) for _ in range(6)]
+    for p in list(prints):
+        for _ in range(40):
+            q = p
+            for b in rng.sample(range(64), rng.randint(1, distance + 1)):
+                q ^= 1 << b
+            prints.append(q)
+            p = q if rng.random() < 0.3 else p
+    prints = list(dict.fromkeys(prints))
+    df = spark.createDataFrame([(_signed(p),) for p in prints], "f long")
+    links = {(r.a, r.b) for r in simhash.linked(df, distance).collect()}
+    want = {tuple(sorted((_signed(a), _signed(b)))) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= distance}
+    assert links == want
+    roots = brute_components(prints, distance)
+    got = {r.f: r.root for r in simhash.classes(df, distance).collect()}
+    groups = defaultdict(set)
+    for p, r in zip(prints, roots):
+        groups[r].add(_signed(p))
+    assert all(got[m] == min(g) for g in groups.values() for m in g)
+
+
+def test_a_long_chain_is_one_component(spark):
+    from shockspark.llm.graph import components
+
+    order = list(range(300))
+    random.Random(1).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])) + [(900, 901), (5, 5)], "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {i: 0 for i in range(300)} | {900: 900, 901: 900}
+
+
+# 8 ------------------------------------------------------------------------------------
+
+LETTER = ("Mrs. Smith wrote to Mary Smith and Мария Иванова: call +1 (017) 555-7713 or (017) 555-7713, card 4111 1111 1111 1111 = 4111111111111111, "
+          "Joe.Doe@Mail.example.com or JOE.DOE@MAIL.EXAMPLE.COM, host 10.1.2.255, key 0123456789abcdef0123456789ABCDEF01234567, no. 123-45-6789.")
+
+
+def luhn(number):
+    digits = [int(c) for c in number]
+    return sum(d if i % 2 else (2 * d - 9 * (2 * d > 9)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_surrogates_keep_kind_format_and_coreference(spark):
+    df = spark.createDataFrame([(1, LETTER)], "doc_id long, text string")
+    text = surrogates.replace_personal_data(df, "k1", counted="n").first()
+    other = surrogates.replace_personal_data(df, "k2").first().text
+    assert text.n == 12 and other != text.text
+    m = re.fullmatch(r"Mrs\. ([A-Z][a-z]{4}) wrote to ([A-Z]\w+) ([A-Z][a-z]{4}) and (\w+) (\w{7}): call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4}), "
+                     r"card (\d{4} \d{4} \d{4} \d{4}) = (\d{16}), ([A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\.[a-z]{7}\.com) or ([A-Z.@]+), host ([\d.]+), "
+                     r"key ([0-9a-f]{16}[0-9a-f]{10,}[0-9A-F]*\w*), no\. (\d{3}-\d{2}-\d{4})\.", text.text)
+    assert m, text.text
+    assert m[1] == m[3] != "Smith" and m[2] in surrogates.GIVEN["f", "latin"] and m[2] != "Mary"
+    assert m[4] in surrogates.GIVEN["f", "cyrillic"] and m[4] != "Мария" and re.fullmatch("[А-Я][а-я]{6}", m[5]) and m[5] != "Иванова"
+    assert m[6] == m[7] and m[8].replace(" ", "") == m[9] and luhn(m[9]) and m[9][0] == "4" and m[9] != "4111111111111111"
+    assert m[10].upper() == m[11] and all(1 <= int(x) <= 255 for x in m[12].split(".")) and len(m[12].split(".")) == 4
+
+
+def test_nothing_personal_stays(spark):
+    texts = texts_of(spark)
+    pattern = re.compile(r"[\w.]+@[\w.]+\w|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])|\+\d+ \(\d+\) \d+-\d+|(?<!\w)\d{16}(?!\w)|(?<!\w)[0-9a-f]{40}(?!\w)")
+    swapped = defaultdict(set)
+    for r in QUERIES["op8_pii"](spark, SF0001).collect():
+        old, new = texts[r.doc_id], r.text
+        before, after = pattern.findall(old), pattern.findall(new)
+        assert len(before) == len(after) and not set(before) & set(after)
+        assert pattern.sub("", old) == pattern.sub("", new)
+        for a, b in zip(before, after):
+            swapped[a].add(b)
+    assert swapped and all(len(s) == 1 for s in swapped.values())
+    assert len({b for s in swapped.values() for b in s}) == len({a.lower() for a in swapped})
+
+
+def test_colliding_surrogates_draw_again(spark):
+    """Social security numbers have few forms here: 300 of 1000 with three digits that vary."""
+    from pyspark.sql import functions as F
+
+    entities_ = spark.range(300).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
+    got = surrogates.distinct_surrogates(entities_, "key").collect()
+    known = {r.entity for r in got}
+    assert len(got) == 300 == len(known) == len({r.surrogate for r in got}) and not known & {r.surrogate for r in got}
+
+
+# 9 ------------------------------------------------------------------------------------
+
+def brute_kernel(a, b, landmarks):
+    """Shared gapped triples of the marked words, features of unknown letters left out."""
+    def features(word):
+        marked = [chr(2), *word, chr(3)]
+        out = Counter()
+        for i in range(len(marked)):
+            for p, q in toxicity.GAPS:
+                if i + q < len(marked):
+                    triple = (marked[i], marked[i + p], marked[i + q])
+                    if all(landmarks.codes[ord(c)] for c in triple):
+                        out[triple] += toxicity.DECAY ** (q + 1)
+        return out
+
+    def norm(word):
+        n = len(word) + 2
+        return sum(max(0, n - q) * toxicity.DECAY ** (2 * (q + 1)) for _, q in toxicity.GAPS) ** 0.5
+
+    x, y = features(a), features(b)
+    return (sum(x[t] * y[t] for t in x) / norm(a) / norm(b)) ** 2
+
+
+def test_kernel_as_defined():
+    words = ["idiot", "clown", "the", "ouréeux", "aa"]
+    landmarks = toxicity.Landmarks(words)
+    tried = ["idiot", "idxiot", "i", "clowns", "aaa", "zebra", "réeuxment", "漢字"]
+    got = landmarks.kernel(tried)
+    for i, w in enumerate(tried):
+        assert got[i] == pytest.approx([brute_kernel(w, v, landmarks) for v in words], abs=1e-5)
+    assert got[0, 0] > got[1, 0] > got[3, 0]
+
+
+def test_gapped_insults_and_clean_words():
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("tha", "re", "on", "ing") for b in ("ne", "th", "sto", "er") for c in ("d", "ly", "ble")]
+    sentence = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    clean = [" ".join(sentence(9) for _ in range(6)) for _ in range(150)]
+    toxic = [" ".join([sentence(9), sentence(4)[:-1] + rng.choice([" idiot", " moron"]) + " " + sentence(3), sentence(9)]) for _ in range(60)]
+    model = toxicity.fit(clean + toxic, [0] * 150 + [1] * 60, 0.28)
+    fresh = " ".join(sentence(9) for _ in range(6))
+    assert model.score(fresh) < 0.3 and model.score("") < 0.5
+    for insult in ("idiot", "id1iot", "i.d.i.o.t", "i d i o t", "MORON!", "mo-ron"):
+        assert model.score(fresh + f" What a {insult} this one") > 0.5, insult
+
+
+def test_held_out_rows_and_accuracy(spark):
+    rows = QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    tried = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in tried) / len(tried) > 0.93
+
+
+def test_training_without_one_class(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.scores(docs, toxicity.train(docs, none)).collect()] == [0.0, 0.0]
+    one = spark.createDataFrame([(1, 1), (2, 1), (3, None)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.scores(docs, toxicity.train(docs, one)).collect()} <= {0.0, 1.0}
+
+
+# 10 -----------------------------------------------------------------------------------
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    def covered(n):
+        grams = Counter(tuple(words[i:i + n]) for i in range(len(words) - n + 1))
+        return {j for i in range(len(words) - n + 1) if grams[tuple(words[i:i + n])] > 1 for j in range(i, i + n)}
+
+    total = sum(map(len, words))
+    lines, seen, dup, dup_chars = text.split("\n"), set(), 0, 0
+    for line in lines:
+        own = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if own and line in seen:
+            dup, dup_chars = dup + 1, dup_chars + sum(map(len, own))
+        seen.add(line)
+    repeat = len(covered(8))
+    cover = [sum(len(words[j]) for j in covered(n)) / total if total else 0.0 for n, _ in quality.GRAMS]
+    failed = len(words) < 20 or 100 * repeat > 30 * len(words)
+    kept = not failed and (dup_chars / total if total else 0) <= 0.3 and all(c <= most for c, (_, most) in zip(cover, quality.GRAMS))
+    return (len(words), total, sum(c in "#*$%&|<>" for c in text), dup, repeat, *cover, dup_chars / total if total else 0.0, failed, kept)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "é", "#x", "\n", "漢"]), max_size=60))
+def test_quality_of_any_text(words):
+    text = " ".join(words)
+    assert quality.measure(text, quality.QualityRules()) == pytest.approx(brute_quality(text))
+
+
+def test_quality_of_all_documents(spark):
+    texts = texts_of(spark)
+    for r in QUERIES["op10_quality_rules"](spark, SF0001).collect():
+        assert tuple(r)[1:] == pytest.approx(brute_quality(texts[r.doc_id]))
