@@ -20,8 +20,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
-
-def literal_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a frame whose size is fixed by the code (built from literals, or a
-    single-row aggregate without grouping keys)."""
-    return F.broadcast(df)

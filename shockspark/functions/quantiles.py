@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockspark.functions.ranking import value_positions
+from shockspark.session import cut_lineage
 
 
 def quantiles(df: DataFrame, col: str, qs: dict[str, float], approx: bool = False,
@@ -47,10 +48,6 @@ def quantiles(df: DataFrame, col: str, qs: dict[str, float], approx: bool = Fals
     return pos.agg(*exprs)
 
 
-def median(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
-    return quantiles(df, col, {"median": 0.5}, approx)
-
-
 def median_and_filled_quantile(df: DataFrame, col: str, q: float) -> tuple[float | None, float | None]:
     """Exact (median m of the non-null values, q-quantile of the values after every NULL
     is replaced by m), from one positions pass.
@@ -58,36 +55,33 @@ def median_and_filled_quantile(df: DataFrame, col: str, q: float) -> tuple[float
     With n values, k NULLs, L values below m and E equal to m, the filled order is:
     the L values below m, then E + k copies of m, then the rest; a filled position j
     maps back to position j (j < L), m (j < L + E + k) or j - k of the original
-    order.  The positions are checkpointed once; each lookup is a tiny job on them."""
-    from shockspark.session import cut_lineage
-
+    order.  The positions are written once; one aggregate over them picks the median's
+    bracket, a second one L, E and every value that may bracket the quantile."""
     x = df.select(F.col(col).cast("double").alias("_v"))
     n, k = x.agg(F.count("_v"), F.count_if(F.col("_v").isNull())).first()
     if not n:
         return None, None
-    pos = cut_lineage(value_positions(x.filter(F.col("_v").isNotNull()), "_v"))
+    pos = cut_lineage(value_positions(x.filter(F.col("_v").isNotNull()), "_v"), "positions")
 
-    def at(i: int) -> float:
+    def at(i: int):
         hit = (F.col("_before") <= i) & (F.lit(i) < F.col("_before") + F.col("_k"))
-        return pos.filter(hit).select("_v").first()[0]
-
-    def interp(r: float, value_of) -> float:
-        lo, hi = int(np.floor(r)), int(np.ceil(r))
-        v_lo, v_hi = value_of(lo), value_of(hi)
-        return v_lo + (v_hi - v_lo) * (r - lo)
-
-    m = interp((n - 1) * 0.5, at)
-    if not k:
-        return m, interp((n - 1) * q, at)
-    below, equal = pos.agg(F.sum(F.when(F.col("_v") < m, F.col("_k"))),
-                           F.sum(F.when(F.col("_v") == m, F.col("_k")))).first()
-    below, equal = below or 0, equal or 0
-
-    def filled_at(j: int) -> float:
-        if j < below:
-            return at(j)
-        if j < below + equal + k:
-            return m
-        return at(j - k)
-
-    return m, interp((n + k - 1) * q, filled_at)
+        return F.max(F.when(hit, F.col("_v")))
+
+    def bracket(r: float) -> tuple[int, int, float]:
+        low = int(np.floor(r))
+        return low, int(np.ceil(r)), r - low
+
+    low, high, part = bracket((n - 1) * 0.5)
+    a, b = pos.agg(at(low), at(high)).first()
+    m = a + (b - a) * part
+    low, high, part = bracket((n + k - 1) * q)
+    below, equal, *values = pos.agg(
+        F.coalesce(F.sum(F.when(F.col("_v") < m, F.col("_k"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("_v") == m, F.col("_k"))), F.lit(0)),
+        at(low), at(high), at(low - k), at(high - k)).first()
+
+    def filled(j: int, own: float, shifted: float) -> float:
+        return own if j < below else m if j < below + equal + k else shifted
+
+    a, b = filled(low, values[0], values[2]), filled(high, values[1], values[3])
+    return m, a + (b - a) * part

@@ -3,235 +3,195 @@ X16).
 
 The reference fits one national series per metric with single-machine libraries that
 are not available here.  The capability is rebuilt for many series at once
-(key = destination x metric); model names say what each model is:
-
-* ``trend_season`` (M1, Prophet's role): linear trend by ``regr_slope`` /
-  ``regr_intercept`` plus a day-of-week mean of the residuals, 80 % band from the
-  remaining residual spread.  Pure aggregates, no Python.
-* ``seasonal_ar`` (M3, SARIMA's role): y_t = c + a y_{t-1} + b y_{t-7} + d y_{t-8} by
-  least squares per series in ``applyInPandas``; the 90-step recursion stays inside
-  the series' task.
-* ``gbt_lags`` (M2, XGBoost's role): one ``pyspark.ml`` gradient-boosted tree model
-  trained on the lag features of **all** series at once (100 trees, depth 5, step
-  0.1); the fitted trees are evaluated recursively per series in ``applyInPandas``,
-  so the 90-step recursion is not 90 Spark jobs.
+(key = destination x metric), in the JVM throughout; model names say what each model is:
+
+* ``trend_season`` (M1, Prophet's role): linear trend plus a day-of-week mean of the
+  residuals, 80 % band from the remaining residual spread.  All of it follows from counts,
+  means, variances and covariances per (series, day of week): one group-by.
+* ``seasonal_ar`` (M3, SARIMA's role): y_t = c + a y_{t-1} + b y_{t-7} + d y_{t-8} by the
+  normal equations of one aggregate per series; the recursion over the horizon is an
+  ``aggregate`` over a list of days.
+* ``gbt_lags`` (M2, XGBoost's role): one ``pyspark.ml`` gradient-boosted tree model for all
+  series, direct over the horizon: the days ahead are a feature, so forecasting is one
+  ``model.transform``.
 """
 
 from __future__ import annotations
 
-import re
+import datetime as dt
 from math import comb
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shockspark.functions.exprs import safe_div
-from shockspark.session import cut_lineage, ship_package
-from shockspark.operators.series import (FORECAST_METRICS, LAG_FEATURES, daily_series, densify,
-                                         split_train_test)
+from shockspark.session import cut_lineage
+from shockspark.operators.series import FORECAST_METRICS, LAG_FEATURES, daily_series, densify, split_train_test
 
 HORIZON_DAYS = 90
 TEST_DAYS = 30
 MIN_POINTS = 14
-Z80 = 1.28           # M1 / M2 band (the reference's z for an 80 % interval)
-Z_SAR = 1.2815515655446004  # two-sided alpha 0.2 normal quantile (M3)
+# The two normal quantiles of the 80 % bands, and the band of a short series.
+Z80 = 1.28
+Z_SAR = 1.2815515655446004
+SHORT_BAND = (0.8, 1.2)
+# Days ahead at which the tree model is trained; it is scored at every day of the horizon.
+TRAIN_AHEAD = (1, 2, 3, 5, 7, 10, 14, 21, 30, 45, 60, 75, 90)
 
 
 def _sk(keys):
     return list(keys) + ["metric"]
 
 
-def forecast_schema(keys) -> T.StructType:
-    return T.StructType([T.StructField(k, T.StringType()) for k in keys] + [
-        T.StructField("metric", T.StringType()), T.StructField("model", T.StringType()),
-        T.StructField("date", T.DateType()), T.StructField("forecast", T.DoubleType()),
-        T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
+def _days_ahead(df: DataFrame, first: Column, horizon: int) -> DataFrame:
+    """One row per day of the horizon; ``first`` is its first date."""
+    return df.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("date", F.date_add(first, F.col("h") - 1))
 
 
-def _horizon(fit: DataFrame, sk, horizon: int) -> DataFrame:
-    return fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn(
-        "date", F.date_add("train_end", F.col("h")))
+def _banded(df: DataFrame, sk, model: str, short: Column, forecast: Column, band: Column, floor: float | None = None) -> DataFrame:
+    """Forecast rows: last value with the short-series band where ``short``, else
+    ``forecast`` -/+ ``band`` (the lower end not below ``floor``)."""
+    last = F.col("last_value")
+    f = F.when(short, last).otherwise(forecast)
+    lower = f - band if floor is None else F.greatest(F.lit(floor), f - band)
+    return df.select(*sk, F.lit(model).alias("model"), "date", f.alias("forecast"),
+                     F.when(short, last * SHORT_BAND[0]).otherwise(lower).alias("lower"),
+                     F.when(short, last * SHORT_BAND[1]).otherwise(f + band).alias("upper"))
+
+
+def fit_trend_season(train: DataFrame, keys=("destination_id",)) -> DataFrame:
+    """Per series: slope, level at t = 0, seasonal mean by day of week, residual spread.
+    ``train`` is read once; the second group-by sees at most seven rows per series."""
+    sk = _sk(keys)
+    by_day = train.groupBy(*sk, F.dayofweek("date").alias("dow")).agg(
+        F.count(F.lit(1)).alias("k"), F.avg("t").alias("mt"), F.avg("value").alias("mv"), F.var_pop("t").alias("tt"),
+        F.covar_pop("t", "value").alias("tv"), F.var_pop("value").alias("vv"), F.max("date").alias("last"),
+        F.max_by("value", "date").alias("last_value"), F.max("t").alias("t_last"))
+    k = F.col("k")
+    fit = by_day.groupBy(*sk).agg(
+        F.sum("k").alias("n"), (F.sum(k * F.col("mt")) / F.sum("k")).alias("mean_t"), (F.sum(k * F.col("mv")) / F.sum("k")).alias("mean_v"),
+        F.collect_list(F.struct("dow", "k", "mt", "mv", "tt", "tv", "vv")).alias("days"), F.max("last").alias("train_end"),
+        F.max_by("last_value", "last").alias("last_value"), F.max("t_last").alias("t_end"))
+
+    def total(term) -> Column:
+        return F.aggregate("days", F.lit(0.0), lambda acc, d: acc + d["k"] * term(d))
+
+    t, v = F.col("mean_t"), F.col("mean_v")
+    s_tt = total(lambda d: d["tt"] + (d["mt"] - t) * (d["mt"] - t))
+    s_tv = total(lambda d: d["tv"] + (d["mt"] - t) * (d["mv"] - v))
+    fit = fit.withColumn("slope", F.when(s_tt > 0, s_tv / s_tt).otherwise(F.lit(0.0)))
+    slope = F.col("slope")
+    fit = fit.withColumn("icpt", v - slope * t)
+    squares = total(lambda d: d["vv"] - 2 * slope * d["tv"] + slope * slope * d["tt"])
+    season = F.map_from_entries(F.transform("days", lambda d: F.struct(d["dow"], d["mv"] - F.col("icpt") - slope * d["mt"])))
+    return fit.select(*sk, "n", "slope", "icpt", season.alias("season"), F.when(F.col("n") > 1, F.sqrt(
+        F.greatest(squares, F.lit(0.0)) / (F.col("n") - 1))).otherwise(F.lit(0.0)).alias("sigma"),
+        "train_end", "last_value", F.date_sub("train_end", F.col("t_end")).alias("origin"))
+
+
+def predict_trend_season(fit: DataFrame, first: Column, keys=("destination_id",), horizon: int = HORIZON_DAYS, min_points: int = 7) -> DataFrame:
+    """The fitted trend and season on ``horizon`` days from ``first`` on."""
+    h = _days_ahead(fit, first, horizon)
+    f = (F.col("icpt") + F.col("slope") * F.datediff("date", "origin")
+         + F.coalesce(F.try_element_at("season", F.dayofweek("date")), F.lit(0.0)))
+    return _banded(h, _sk(keys), "trend_season", F.col("n") < min_points, f, F.col("sigma") * Z80)
 
 
 def trend_season_forecast(train: DataFrame, keys=("destination_id",), horizon: int = HORIZON_DAYS,
                           min_points: int = 7) -> DataFrame:
     """M1: linear trend + day-of-week residual mean; band = 1.28 x sample std of what is
     left; fewer than ``min_points`` points -> last value with a 0.8 / 1.2 band."""
-    sk = _sk(keys)
-    fit = train.groupBy(*sk).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope("value", "t").alias("slope"),
-        F.regr_intercept("value", "t").alias("icpt"), F.max("date").alias("train_end"),
-        F.max_by("value", "date").alias("last_value"), F.max("t").alias("t_end"))
-    fit = fit.withColumn("slope", F.coalesce("slope", F.lit(0.0))).withColumn(
-        "icpt", F.coalesce("icpt", F.col("last_value")))
-    res = train.join(fit.select(*sk, "slope", "icpt"), sk).withColumn(
-        "r", F.col("value") - (F.col("icpt") + F.col("slope") * F.col("t"))).withColumn("dow", F.dayofweek("date"))
-    seas = res.groupBy(*sk, "dow").agg(F.avg("r").alias("season"))
-    sig = res.join(seas, sk + ["dow"]).groupBy(*sk).agg(
-        F.stddev_samp(F.col("r") - F.col("season")).alias("sigma"))
-    h = _horizon(fit, sk, horizon).withColumn("dow", F.dayofweek("date"))
-    h = h.join(seas, sk + ["dow"], "left").join(sig, sk, "left")
-    short = F.col("n") < min_points
-    f = F.when(short, F.col("last_value")).otherwise(
-        F.col("icpt") + F.col("slope") * (F.col("t_end") + F.col("h")) + F.coalesce(F.col("season"), F.lit(0.0)))
-    band = F.coalesce(F.col("sigma"), F.lit(0.0)) * Z80
-    return h.select(*sk, F.lit("trend_season").alias("model"), "date", f.alias("forecast"),
-                    F.when(short, F.col("last_value") * 0.8).otherwise(f - band).alias("lower"),
-                    F.when(short, F.col("last_value") * 1.2).otherwise(f + band).alias("upper"))
-
-
-def _dates_after(last: pd.Timestamp, horizon: int):
-    return pd.date_range(pd.Timestamp(last) + pd.Timedelta(days=1), periods=horizon, freq="D").date
-
-
-def _const_rows(key_vals, metric, model, last_date, last_val, horizon):
-    dates = _dates_after(last_date, horizon)
-    return pd.DataFrame({**key_vals, "metric": metric, "model": model, "date": dates,
-                         "forecast": float(last_val), "lower": float(last_val) * 0.8,
-                         "upper": float(last_val) * 1.2})
+    return predict_trend_season(fit_trend_season(train, keys), F.date_add("train_end", 1), keys, horizon, min_points)
 
 
 def seasonal_ar_forecast(train: DataFrame, keys=("destination_id",), horizon: int = HORIZON_DAYS,
                          min_points: int = 30) -> DataFrame:
-    """M3: seasonal AR(1)x(1)_7 per series (least squares on lags 1, 7, 8), recursive
-    forecast inside the series group; band = z(0.2) x residual std; fewer than
-    ``min_points`` points -> last value, 0.8 / 1.2 band."""
+    """M3: seasonal AR(1)x(1)_7 per series (least squares on lags 1, 7, 8); band = z(0.2) x
+    residual std with four parameters; fewer than ``min_points`` points -> last value, 0.8
+    / 1.2 band.  Where the lags are collinear the forecast is the mean of the days from
+    the ninth on."""
     sk = _sk(keys)
-    keys = list(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["value"].to_numpy(dtype=float)
-        kv = {k: pdf[k].iloc[0] for k in keys}
-        metric = pdf["metric"].iloc[0]
-        last_date = pdf["date"].iloc[-1]
-        if len(y) < min_points:
-            return _const_rows(kv, metric, "seasonal_ar", last_date, y[-1], horizon)
-        X = np.column_stack([np.ones(len(y) - 8), y[7:-1], y[1:-7], y[:-8]])
-        tgt = y[8:]
-        beta, *_ = np.linalg.lstsq(X, tgt, rcond=None)
-        sigma = float(np.std(tgt - X @ beta, ddof=4)) if len(tgt) > 4 else 0.0
-        hist = list(y)
-        out = []
-        for _ in range(horizon):
-            v = beta[0] + beta[1] * hist[-1] + beta[2] * hist[-7] + beta[3] * hist[-8]
-            out.append(v)
-            hist.append(v)
-        f = np.array(out)
-        return pd.DataFrame({**kv, "metric": metric, "model": "seasonal_ar", "date": _dates_after(last_date, horizon),
-                             "forecast": f, "lower": f - Z_SAR * sigma, "upper": f + Z_SAR * sigma})
-
-    ship_package(train.sparkSession)
-    return train.select(*sk, "date", "value").groupBy(*sk).applyInPandas(fit, forecast_schema(keys))
-
-
-# --- M2: gradient-boosted trees on lag features --------------------------------------
-
-_SPLIT = re.compile(r"(If|Else) \(feature (\d+) (<=|>|in|not in) ([^)]+)\)")
-_LEAF = re.compile(r"Predict: (\S+)")
-
-
-def _parse_trees(debug: str):
-    """Parse ``GBTRegressionModel.toDebugString`` (pre-order: ``If`` = node, its left
-    subtree, ``Else``, its right subtree; ``Predict`` = leaf) into arrays per tree:
-    feature, threshold, left, right, value; leaves have feature -1."""
-    blocks, cur = [], None
-    for line in debug.splitlines():
-        s = line.strip()
-        if s.startswith("Tree "):
-            cur = []
-            blocks.append(cur)
-        elif cur is not None and s:
-            cur.append(s)
-    trees = []
-    for lines in blocks:
-        t = {"f": [], "th": [], "l": [], "r": [], "v": []}
-        pos = 0
-
-        def node():
-            nonlocal pos
-            s = lines[pos]
-            pos += 1
-            i = len(t["f"])
-            for k, v in (("f", -1), ("th", 0.0), ("l", -1), ("r", -1), ("v", 0.0)):
-                t[k].append(v)
-            m = _LEAF.match(s)
-            if m:
-                t["v"][i] = float(m.group(1))
-                return i
-            m = _SPLIT.match(s)
-            t["f"][i], t["th"][i] = int(m.group(2)), float(m.group(4))
-            t["l"][i] = node()
-            pos += 1  # the matching Else line
-            t["r"][i] = node()
-            return i
-
-        node()
-        trees.append({k: np.array(v) for k, v in t.items()})
-    return trees
-
-
-def _tree_predict(tree, x) -> float:
-    i = 0
-    f, th, left, right, v = tree["f"], tree["th"], tree["l"], tree["r"], tree["v"]
-    while f[i] >= 0:
-        i = left[i] if x[f[i]] <= th[i] else right[i]
-    return v[i]
+    w = Window.partitionBy(*sk).orderBy("date")
+    lags = {"a": 1, "b": 7, "c": 8}
+    rows = train.withColumns({x: F.lag("value", k).over(w) for x, k in lags.items()})
+    full = F.col("c").isNotNull()
+    y = F.when(full, F.col("value"))
+    pairs = [("a", "a"), ("b", "b"), ("c", "c"), ("a", "b"), ("a", "c"), ("b", "c")]
+    moments = rows.groupBy(*sk).agg(
+        F.count(F.lit(1)).alias("n"), F.max("date").alias("train_end"), F.max_by("value", "date").alias("last_value"),
+        F.max_by(F.struct("value", "t"), "date")["t"].alias("t_end"), F.count(y).alias("m"), F.avg(y).alias("my"), F.var_pop(y).alias("yy"),
+        *[F.avg(F.when(full, F.col(x))).alias(f"m{x}") for x in lags], *[F.covar_pop(F.when(full, F.col(x)), y).alias(f"{x}y") for x in lags],
+        *[F.covar_pop(F.when(full, F.col(p)), F.when(full, F.col(q))).alias(p + q) for p, q in pairs])
+    recent = train.join(moments.select(*sk, "t_end"), sk).filter(F.col("t") > F.col("t_end") - 8).groupBy(*sk).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda r: r["value"]).alias("recent"))
+
+    def det(columns) -> Column:
+        (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = [[F.col(x) for x in c] for c in columns]
+        return a1 * (b2 * c3 - b3 * c2) - b1 * (a2 * c3 - a3 * c2) + c1 * (a2 * b3 - a3 * b2)
+
+    left = [("aa", "ab", "ac"), ("ab", "bb", "bc"), ("ac", "bc", "cc")]
+    right = ("ay", "by", "cy")
+    whole = det(left)
+    solvable = whole > 1e-9 * F.col("aa") * F.col("bb") * F.col("cc")  # Cramer's rule on the normal equations
+    fit = moments.withColumns({f"w{x}": F.when(solvable, det([right if i == j else c for j, c in enumerate(left)]) / whole).otherwise(F.lit(0.0))
+                               for i, x in enumerate(lags)})
+    fitted = sum(F.col(f"w{x}") * F.col(f"{x}y") for x in lags)
+    fit = fit.withColumns({
+        "base": F.col("my") - sum(F.col(f"w{x}") * F.col(f"m{x}") for x in lags),
+        "sigma": F.when(F.col("m") > 4, F.sqrt(F.greatest(F.col("yy") - fitted, F.lit(0.0)) * F.col("m") / (F.col("m") - 4))).otherwise(F.lit(0.0))})
+    both = fit.join(recent, sk)
+
+    def back(path: Column, k: int) -> Column:
+        return F.get(path, F.size(path) - k)
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("recent"), lambda p, _: F.concat(p, F.array(
+        F.col("base") + sum(F.col(f"w{x}") * back(p, k) for x, k in lags.items()))))
+    both = both.withColumn("path", F.when(F.col("n") >= min_points, path))
+    h = _days_ahead(both, F.date_add("train_end", 1), horizon)
+    f = F.get("path", F.size("recent") + F.col("h") - 1)
+    return _banded(h, sk, "seasonal_ar", F.col("n") < min_points, f, F.col("sigma") * Z_SAR)
+
+
+def _origin_features(train: DataFrame, sk, lags) -> DataFrame:
+    """Every day of a series with the values 0, ... days back that the lags name (lag 1 is
+    the day itself, the last one known), the series' length and its last day."""
+    w = Window.partitionBy(*sk).orderBy("date")
+    whole = Window.partitionBy(*sk)
+    index = F.create_map(*[F.lit(x) for i, m in enumerate(FORECAST_METRICS) for x in (m, float(i))])
+    return train.select(*sk, "date", "value", F.count(F.lit(1)).over(whole).alias("n"), F.max("date").over(whole).alias("train_end"),
+                        F.coalesce(F.try_element_at(index, F.col("metric")), F.lit(-1.0)).alias("metric_idx"),
+                        *[F.lag("value", k - 1).over(w).alias(f"lag_{k}") for k in lags])
 
 
 def gbt_lag_forecast(train: DataFrame, keys=("destination_id",), horizon: int = HORIZON_DAYS,
                      lags=LAG_FEATURES, n_trees: int = 100, depth: int = 5, step: float = 0.1,
-                     seed: int = 42) -> DataFrame:
-    """M2: gradient-boosted trees on lag features, one model for all series (metric as
-    a categorical feature), recursive non-negative forecast per series, band = 1.28 x
-    std of the forecasts (lower floored at 0); series shorter than max(lag) + 10 ->
-    last value, 0.8 / 1.2 band."""
+                     seed: int = 42, max_bins: int = 64, ahead=TRAIN_AHEAD) -> DataFrame:
+    """M2: gradient-boosted trees, direct over the horizon: from the lags known on a day,
+    the days ahead, the weekday aimed at and the metric, the value on that later day.  One
+    model for all series; non-negative; band = 1.28 x std of a series' forecasts (lower
+    end not below 0); series shorter than max(lag) + 10 -> last value, 0.8 / 1.2 band."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     sk = _sk(keys)
-    keys = list(keys)
-    midx = {m: float(i) for i, m in enumerate(FORECAST_METRICS)}
-    w = Window.partitionBy(*sk).orderBy("date")
-    feats = train.withColumns({f"lag_{k}": F.lag("value", k).over(w) for k in lags}).dropna(
-        subset=[f"lag_{k}" for k in lags])
-    m_expr = F.create_map(*[x for m, i in midx.items() for x in (F.lit(m), F.lit(i))])
-    feats = feats.withColumn("metric_idx", m_expr[F.col("metric")])
-    cols = [f"lag_{k}" for k in lags] + ["metric_idx"]
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(feats).select("features", "value")
-    gbt = GBTRegressor(featuresCol="features", labelCol="value", maxIter=n_trees, maxDepth=depth, stepSize=step,
-                       seed=seed, maxBins=64)
-    model = gbt.fit(data)
-    trees = _parse_trees(model.toDebugString)
-    weights = np.array(model.treeWeights, dtype=float)
-    max_lag = max(lags)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["value"].to_numpy(dtype=float)
-        kv = {k: pdf[k].iloc[0] for k in keys}
-        metric = pdf["metric"].iloc[0]
-        last_date = pdf["date"].iloc[-1]
-        if len(y) < max_lag + 10:
-            return _const_rows(kv, metric, "gbt_lags", last_date, y[-1], horizon)
-        hist = list(y)
-        out = []
-        for _ in range(horizon):
-            x = [hist[-k] for k in lags] + [midx.get(metric, 0.0)]
-            p = float(sum(wt * _tree_predict(t, x) for wt, t in zip(weights, trees)))
-            p = max(0.0, p)
-            out.append(p)
-            hist.append(p)
-        f = np.array(out)
-        sd = float(np.std(f)) if len(f) > 1 else float(np.mean(f) * 0.1)
-        return pd.DataFrame({**kv, "metric": metric, "model": "gbt_lags", "date": _dates_after(last_date, horizon),
-                             "forecast": f, "lower": np.clip(f - Z80 * sd, 0, None), "upper": f + Z80 * sd})
-
-    ship_package(train.sparkSession)
-    return train.select(*sk, "date", "value").groupBy(*sk).applyInPandas(run, forecast_schema(keys))
+    names = [f"lag_{k}" for k in lags]
+    origins = _origin_features(train, sk, lags)
+    later = train.select(*sk, F.col("date").alias("aim"), F.col("value").alias("target"))
+    aimed = origins.dropna(subset=names).withColumn("h", F.explode(F.array(*[F.lit(int(d)) for d in ahead]))) \
+        .withColumn("aim", F.date_add("date", F.col("h"))).join(later, [*sk, "aim"])
+    inputs = [*names, "h", "weekday", "metric_idx"]
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    data = cut_lineage(aimed.withColumn("weekday", F.dayofweek("aim")).select(*inputs, "target"), "gbt-train")
+    gbt = GBTRegressor(featuresCol="features", labelCol="target", maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=max_bins)
+    last = origins.filter(F.col("date") == F.col("train_end")).withColumnRenamed("value", "last_value").drop("date")
+    asked = _days_ahead(last, F.date_add("train_end", 1), horizon).withColumn("weekday", F.dayofweek("date")).fillna(0.0, names)
+    if data.isEmpty():
+        scored = asked.withColumn("prediction", F.lit(0.0))
+    else:
+        scored = gbt.fit(assemble.transform(data).select("features", "target")).transform(assemble.transform(asked))
+    scored = scored.withColumn("f", F.greatest(F.lit(0.0), F.col("prediction")))
+    band = F.stddev_pop("f").over(Window.partitionBy(*sk)) * Z80
+    return _banded(scored.withColumn("band", band), sk, "gbt_lags", F.col("n") < max(lags) + 10, F.col("f"), F.col("band"), floor=0.0)
 
 
 # --- M4: accuracy ----------------------------------------------------------------------
@@ -367,16 +327,16 @@ def what_if(stitched: DataFrame, scenarios: list[dict] | None = None) -> DataFra
 
 
 def crisis_vs_no_crisis(fact: DataFrame, crisis_start, keys=("destination_id",), horizon: int = HORIZON_DAYS) -> DataFrame:
-    """X16 (documented extra): the no-crisis counterfactual (trend-season model fitted on
-    the pre-crisis history only, forecast over the ``horizon`` days from the crisis
-    start) side by side with the observed (crisis) values of those days."""
-    import datetime as _dt
-
-    s = crisis_start if isinstance(crisis_start, _dt.date) else _dt.date.fromisoformat(str(crisis_start)[:10])
-    dense = densify(daily_series(fact, keys), keys)
+    """X16 (documented extra): two M1 forecasts of the ``horizon`` days from the crisis
+    start, side by side: fitted on the days before the crisis (no crisis) and on all
+    days (crisis); a series needs days before the crisis."""
+    start = crisis_start if isinstance(crisis_start, dt.date) else dt.date.fromisoformat(str(crisis_start)[:10])
     sk = _sk(keys)
-    pre = dense.filter(F.col("date") < F.lit(s))
-    cf = trend_season_forecast(pre, keys, horizon).select(*sk, "date", F.col("forecast").alias("no_crisis_forecast"))
-    actual = dense.select(*sk, "date", F.col("value").alias("actual"))
-    return cf.join(actual, sk + ["date"], "left").withColumn(
-        "impact", F.col("actual") - F.col("no_crisis_forecast"))
+    dense = cut_lineage(densify(daily_series(fact, keys), keys), "dense")
+
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        found = predict_trend_season(fit_trend_season(rows, keys), F.lit(start), keys, horizon)
+        return found.select(*sk, "date", *[F.col(c).alias(f"{name}_{c}") for c in ("forecast", "lower", "upper")])
+
+    both = of(dense.filter(F.col("date") < F.lit(start)), "no_crisis").join(of(dense, "crisis"), [*sk, "date"])
+    return both.withColumn("impact", F.col("crisis_forecast") - F.col("no_crisis_forecast"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shockspark.functions.exprs import (clip, div_if_positive, pct_change, safe_div,
                                         stability_normalize)
-from shockspark.functions.ranking import with_average_rank, with_rank
+from shockspark.functions.ranking import spearman, with_rank
 from shockspark.operators.windows import CrisisWindow, window_days
 
 # Weights of the resilience index (Python form and SQL form).
@@ -83,13 +83,14 @@ def all_crises(crises: DataFrame, pre_days: int = 30, post_days: int = 30):
 def pre_post_aggregates(fact: DataFrame, window, keys=("destination_id",)) -> DataFrame:
     """SURVEY A2/A3: pre and post sums / means per key in one pass, with the
     cancellation rates (0 when the total is 0 or missing) and the post-window
-    coefficient of variation inputs."""
+    coefficient of variation inputs.  Rows without a key are left out."""
     tagged, keys = _tag(fact, window, keys)
     pre, post = F.col("_pre"), F.col("_post")
-    agg = tagged.groupBy(*keys).agg(
+    agg = tagged.dropna(subset=keys).groupBy(*keys).agg(
         *_side_aggs(pre, "pre"), *_side_aggs(post, "post"),
         F.avg(F.when(post, F.col("bookings"))).alias("_post_mean"),
         F.stddev_samp(F.when(post, F.col("bookings"))).alias("_post_std"),
+        F.count_if(post).alias("_post_rows"),
     )
     return agg.withColumns({
         "pre_cancellation_rate": div_if_positive("pre_cancellations", "pre_total", 0.0),
@@ -103,7 +104,7 @@ def pre_post_full_outer(fact: DataFrame, window: CrisisWindow, keys=("destinatio
     keys = list(keys)
 
     def side(flag, prefix):
-        part = fact.filter(flag)
+        part = fact.filter(flag).dropna(subset=keys)
         return part.groupBy(*keys).agg(
             *[F.coalesce(F.sum(src), F.lit(0)).alias(f"{prefix}_{name}") for src, name in SUM_COLS],
             F.avg("adr").alias(f"{prefix}_adr"))
@@ -125,10 +126,11 @@ SHOCK_COLUMNS = ["pre_bookings", "pre_cancellations", "pre_total", "pre_searches
 
 def shock_metrics(fact: DataFrame, window, keys=("destination_id",)) -> DataFrame:
     """SURVEY A4 + A5 (Python form): the four shock metrics as fractions and the post
-    booking CV (mean <= 0 -> 1.0; undefined -> 0.5)."""
+    booking CV (mean > 0: std / mean, 0.5 with one value; otherwise 1.0, an all-null
+    post window included; 0.5 without a post window)."""
     agg = pre_post_aggregates(fact, window, keys)
     m, s = F.col("_post_mean"), F.col("_post_std")
-    cv = F.coalesce(F.when(m > 0, safe_div(s, m)).when(m.isNotNull(), F.lit(1.0)), F.lit(0.5))
+    cv = F.when(F.col("_post_rows") == 0, F.lit(0.5)).when(m > 0, F.coalesce(safe_div(s, m), F.lit(0.5))).otherwise(F.lit(1.0))
     out = agg.withColumns({
         "booking_change_pct": pct_change("post_bookings", "pre_bookings"),
         "search_change_pct": pct_change("post_searches", "pre_searches"),
@@ -147,6 +149,8 @@ def shock_metrics_sql(fact: DataFrame, window: CrisisWindow, keys=("destination_
     reproduces the view, whose post window ends at ``start + 30`` inclusive (it does
     not apply the row filter)."""
     w = window if view_post_days is None else CrisisWindow(window.crisis_start, window.pre_days, view_post_days)
+    if "crisis_id" in keys:
+        fact = fact.withColumn("crisis_id", F.coalesce("crisis_id", F.lit(0)))
     agg = pre_post_aggregates(fact, w, keys)
     pre_rate = safe_div("pre_cancellations", "pre_total")
     post_rate = safe_div("post_cancellations", "post_total")
@@ -163,7 +167,8 @@ def shock_metrics_sql(fact: DataFrame, window: CrisisWindow, keys=("destination_
 
 
 def resilience_scores(shock: DataFrame) -> DataFrame:
-    """SURVEY A7: destination resilience index, Python form (five components)."""
+    """SURVEY A7: destination resilience index, Python form (five components; the
+    volatility score is 0.5 for a frame without ``post_booking_cv``)."""
     W = RESILIENCE_WEIGHTS
     pre_b, post_b = F.col("pre_bookings"), F.col("post_bookings")
     ratio_b = clip(F.when(pre_b > 0, safe_div(post_b, pre_b)).otherwise(F.lit(0.0)), lo=0.0)
@@ -175,7 +180,8 @@ def resilience_scores(shock: DataFrame) -> DataFrame:
         "search_demand_score": F.when(has_search, stability_normalize(ratio_s)).otherwise(F.lit(0.5)),
         "adr_stability_score": F.when(chg.isNotNull(), clip(F.lit(1.0) + chg, 0.0, 1.0)).otherwise(F.lit(0.5)),
         "cancellation_resilience": F.lit(1.0) - clip("cancellation_spike", 0.0, 1.0),
-        "demand_volatility_score": F.lit(1.0) - clip("post_booking_cv", 0.0, 1.0),
+        "demand_volatility_score": (F.lit(1.0) - clip("post_booking_cv", 0.0, 1.0) if "post_booking_cv" in shock.columns
+                                    else F.lit(0.5)),
     })
     return df.withColumn(
         "resilience_score",
@@ -305,33 +311,30 @@ def _daily_by_destination(fact: DataFrame) -> DataFrame:
         F.sum("search_demand").alias("search_demand"), F.sum("bookings").alias("bookings"))
 
 
-def search_booking_correlation(fact: DataFrame, lag_days: int = 0, direction: str = "python") -> DataFrame:
-    """SURVEY A11/A12/A14: Pearson r, Spearman rho, r^2 and n over (destination, date)
-    pairs of searches and bookings.  With ``lag_days`` the series are shifted by that
-    many rows per destination: ``direction='python'`` pairs bookings(t) with
-    searches(t+lag), ``'sql'`` pairs searches(t) with bookings(t+lag).  Fewer than 3
-    pairs -> NULL statistics and n = 0.
+def search_booking_correlation(fact: DataFrame, lag_days: int = 0, direction: str = "python",
+                               daily: bool = False) -> DataFrame:
+    """SURVEY A11/A12/A14: Pearson r, Spearman rho, r^2 and n of searches and bookings.
 
-    Spearman: average ranks per distinct value come from value counts and a running
-    sum over the *distinct* values (not a window over raw rows)."""
-    d = _daily_by_destination(fact)
+    Without a lag the pairs are the fact rows; ``daily=True`` sums them to (destination,
+    date) first.  With ``lag_days`` the daily sums are shifted by that many rows per
+    destination: ``direction='python'`` pairs bookings(t) with searches(t+lag), ``'sql'``
+    pairs searches(t) with bookings(t+lag).  Fewer than 3 pairs -> NULL statistics and
+    n = 0."""
+    d = _daily_by_destination(fact) if lag_days or daily else fact
+    x, y = F.col("search_demand"), F.col("bookings")
     if lag_days:
         w = Window.partitionBy("destination_id").orderBy("date")
         if direction == "python":
-            d = d.withColumn("x", F.lead("search_demand", lag_days).over(w)).withColumn("y", F.col("bookings"))
+            x = F.lead("search_demand", lag_days).over(w)
         else:
-            d = d.withColumn("x", F.col("search_demand")).withColumn("y", F.lead("bookings", lag_days).over(w))
-    else:
-        d = d.withColumn("x", F.col("search_demand")).withColumn("y", F.col("bookings"))
-    pairs = d.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")) \
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = with_average_rank(with_average_rank(pairs, "x", "x_rank"), "y", "y_rank")
-    stats = ranked.agg(F.corr("x", "y").alias("pearson_r"), F.corr("x_rank", "y_rank").alias("spearman_rho"),
-                       F.count(F.lit(1)).alias("n"))
+            y = F.lead("bookings", lag_days).over(w)
+    pairs = d.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null")
     enough = F.col("n") >= 3
+    stats = pairs.agg(F.corr("x", "y").alias("pearson_r"), F.count(F.lit(1)).alias("n"))
+    rho = spearman(pairs, "x", "y").scalar()
     return stats.select(
         F.when(enough, F.col("pearson_r")).alias("pearson_r"),
-        F.when(enough, F.col("spearman_rho")).alias("spearman_rho"),
+        F.when(enough, rho).alias("spearman_rho"),
         F.when(enough, F.col("pearson_r") * F.col("pearson_r")).alias("r_squared"),
         F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("n"))
 
@@ -381,21 +384,29 @@ def conversion_elasticity(fact: DataFrame, window: CrisisWindow) -> DataFrame:
 
 def travel_risk_index(shock: DataFrame) -> DataFrame:
     """SURVEY A28: composite risk 0.4 booking + 0.35 cancellation + 0.25 ADR, tiers
-    right-closed (0, .33], (.33, .66], (.66, 1]; exactly 0 (or NULL) -> 'unknown'."""
+    right-closed (0, .33], (.33, .66], (.66, 1]; exactly 0 (or NULL) -> 'unknown', and
+    ``risk_level`` low / medium / high / unknown.  A missing input column counts as a
+    booking risk of 0.5, a cancellation risk of 0 or an ADR risk of 0; a frame with none
+    of the three comes back unchanged."""
     W = RISK_WEIGHTS
-    chg = F.col("booking_change_pct") * 100
+    have = set(shock.columns) & {"booking_change_pct", "cancellation_spike", "adr_change_pct"}
+    if not have:
+        return shock
     df = shock.withColumns({
-        "risk_booking": F.lit(1.0) - (clip(chg, -100.0, 100.0) + 100) / 200,
-        "risk_cancel": clip("cancellation_spike", 0.0, 1.0),
-        "risk_adr": clip(F.abs(F.col("adr_change_pct") * 100) / 50, 0.0, 1.0),
+        "risk_booking": (F.lit(1.0) - (clip(F.col("booking_change_pct") * 100, -100.0, 100.0) + 100) / 200
+                         if "booking_change_pct" in have else F.lit(0.5)),
+        "risk_cancel": clip("cancellation_spike", 0.0, 1.0) if "cancellation_spike" in have else F.lit(0.0),
+        "risk_adr": clip(F.abs(F.col("adr_change_pct") * 100) / 50, 0.0, 1.0) if "adr_change_pct" in have else F.lit(0.0),
     })
     idx = W["booking"] * F.col("risk_booking") + W["cancel"] * F.col("risk_cancel") + W["adr"] * F.col("risk_adr")
     df = df.withColumn("travel_risk_index", idx)
     x = F.col("travel_risk_index")
-    tier = F.lit("unknown")
+    tier, level = F.lit("unknown"), F.lit("unknown")
     for lo, hi, label in reversed(RISK_TIERS):
-        tier = F.when((x > lo) & (x <= hi), F.lit(label)).otherwise(tier)
-    return df.withColumn("risk_tier", tier)
+        inside = (x > lo) & (x <= hi)
+        tier = F.when(inside, F.lit(label)).otherwise(tier)
+        level = F.when(inside, F.lit(label.split()[0].lower())).otherwise(level)
+    return df.withColumn("risk_tier", tier).withColumn("risk_level", level)
 
 
 def risk_extremes(risk: DataFrame, n: int = 10, highest: bool = True) -> DataFrame:

@@ -144,10 +144,19 @@ def latest_crisis_matching(crises: DataFrame, pattern: str) -> DataFrame:
 def crises_active_on(dates: DataFrame, crises: DataFrame, date_col: str = "date") -> DataFrame:
     """SURVEY J7: crises active on each date (start <= d and (end is null or end >= d)).
 
-    The crisis table is a small dimension, so this is a broadcast range join: each
-    date row is tested against the broadcast crisis list, no shuffle of ``dates``.
-    """
-    c = bounded_broadcast(crises.select("crisis_id", "crisis_name", "crisis_start_date", "crisis_end_date"))
-    d = F.col(date_col)
-    cond = (c.crisis_start_date <= d) & (c.crisis_end_date.isNull() | (c.crisis_end_date >= d))
-    return dates.join(c, cond, "inner")
+    Every crisis is expanded to its days, clipped to the first and last date of
+    ``dates``, and joined by equality on the day; a crisis without an end lasts until the
+    last date.  The day table has at most crises x days rows and is broadcast behind a
+    check of its row count."""
+    span = dates.agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
+    clipped = crises.select("crisis_id", "crisis_name", "crisis_start_date", "crisis_end_date",
+                            span.select("_lo").scalar().alias("_lo"), span.select("_hi").scalar().alias("_hi")).select(
+        "crisis_id", "crisis_name", "crisis_start_date", "crisis_end_date",
+        F.greatest("crisis_start_date", "_lo").alias("_from"),
+        F.least(F.coalesce("crisis_end_date", "_hi"), F.col("_hi")).alias("_to"))
+    days = clipped.filter(F.col("_from") <= F.col("_to")).select(
+        "crisis_id", "crisis_name", "crisis_start_date", "crisis_end_date",
+        F.explode(F.sequence("_from", "_to")).alias(date_col))
+    c = bounded_broadcast(days)
+    return dates.join(c, date_col).select(
+        *dates.columns, "crisis_id", "crisis_name", "crisis_start_date", "crisis_end_date")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from shockspark.operators.series import LAG_FEATURES  # noqa: F401  (documentation link)
 
 
 def dense_sql(keyed: bool) -> str:
@@ -75,3 +74,57 @@ acc0 AS (SELECT {', '.join('f.' + c for c in part.split(', '))}, f.model, AVG(ab
   AVG(abs((t.value - f.forecast) / t.value)) FILTER (WHERE abs(t.value) > 1e-8) * 100 AS mape, COUNT(*) AS n
   FROM {fc} f JOIN te t ON {on} AND f.date = t.date GROUP BY {', '.join('f.' + c for c in part.split(', '))}, f.model),
 acc AS (SELECT a.*, a.mae / s.scale_seasonal AS mase, a.mae / s.scale_order AS mase_ref FROM acc0 a LEFT JOIN sc s ON {on2})"""
+
+
+def seasonal_ar_sql(keyed: bool, src: str = "tr", horizon: int = 90, name: str = "ar") -> str:
+    """M3 over the rows of ``src`` -> CTE ``name``.  The normal equations of the centred lags
+    are solved by elimination, one lag after the other; the horizon is a recursive query
+    that carries the last eight values.  The enclosing WITH must be RECURSIVE."""
+    part = "destination_id, metric" if keyed else "metric"
+    g = f"GROUP BY {part}"
+    return f"""
+{name}_l AS (SELECT {part}, date, t, value AS y, LAG(value, 1) OVER w AS a, LAG(value, 7) OVER w AS b, LAG(value, 8) OVER w AS c FROM {src}
+  WINDOW w AS (PARTITION BY {part} ORDER BY date)),
+{name}_m AS (SELECT {part}, COUNT(*) AS m, AVG(a) AS ma, AVG(b) AS mb, AVG(c) AS mc, AVG(y) AS my,
+    covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc,
+    covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy, var_pop(y) AS yy FROM {name}_l WHERE c IS NOT NULL {g}),
+{name}_e1 AS (SELECT *, bb - ab * ab / nullif(aa, 0) AS b1, bc - ab * ac / nullif(aa, 0) AS bc1, cc - ac * ac / nullif(aa, 0) AS c1,
+    by_ - ab * ay / nullif(aa, 0) AS y1, cy - ac * ay / nullif(aa, 0) AS z1 FROM {name}_m),
+{name}_e2 AS (SELECT *, c1 - bc1 * bc1 / nullif(b1, 0) AS c2, z1 - bc1 * y1 / nullif(b1, 0) AS z2 FROM {name}_e1),
+{name}_ok AS (SELECT *, coalesce(aa * b1 * c2 > 1e-9 * aa * bb * cc, false) AS good FROM {name}_e2),
+{name}_w3 AS (SELECT *, if(good, z2 / c2, 0) AS wc FROM {name}_ok),
+{name}_w2 AS (SELECT *, if(good, (y1 - bc1 * wc) / b1, 0) AS wb FROM {name}_w3),
+{name}_w1 AS (SELECT *, if(good, (ay - ab * wb - ac * wc) / aa, 0) AS wa FROM {name}_w2),
+{name}_fit AS (SELECT *, my - wa * ma - wb * mb - wc * mc AS base,
+    if(m > 4, sqrt(greatest(yy - wa * ay - wb * by_ - wc * cy, 0) * m / (m - 4)), 0) AS sigma FROM {name}_w1),
+{name}_s AS (SELECT {part}, COUNT(*) AS n, MAX(date) AS train_end, arg_max(value, date) AS last_value,
+    list(value ORDER BY date)[-8:] AS recent FROM {src} {g}),
+{name}_r AS (SELECT {part}, 0 AS h, n, train_end, last_value, recent, wa, wb, wc, base, sigma FROM {name}_s LEFT JOIN {name}_fit USING ({part})
+  UNION ALL SELECT {part}, h + 1, n, train_end, last_value,
+    if(n < 30, recent, list_append(recent[-7:], base + wa * recent[-1] + wb * recent[-7] + wc * recent[-8])), wa, wb, wc, base, sigma
+  FROM {name}_r WHERE h < {horizon}),
+{name} AS (SELECT {part}, 'seasonal_ar' AS model, CAST(train_end + h AS DATE) AS date, if(n < 30, last_value, recent[-1]) AS forecast,
+    if(n < 30, last_value * 0.8, recent[-1] - 1.2815515655446004 * sigma) AS lower,
+    if(n < 30, last_value * 1.2, recent[-1] + 1.2815515655446004 * sigma) AS upper FROM {name}_r WHERE h > 0)"""
+
+
+def crisis_pair_sql(start: str, horizon: int = 90) -> str:
+    """The fits of ``trend_season_sql`` on the rows before the crisis (nc) and on all
+    (al), evaluated on the same days -> CTE x16."""
+    def side(p):
+        return (f"SELECT f.destination_id, f.metric, d.date, if(f.n < 7, f.last_value, f.icpt + f.slope * date_diff('day', f.train_end - f.t_end, d.date) "
+                f"+ coalesce(s.season, 0)) AS forecast, f.n, f.last_value, coalesce(g.sigma, 0) * 1.28 AS band FROM {p}_fit2 f CROSS JOIN days d "
+                f"LEFT JOIN {p}_seas s ON s.destination_id = f.destination_id AND s.metric = f.metric AND s.dow = dayofweek(d.date) "
+                f"LEFT JOIN {p}_sig g ON g.destination_id = f.destination_id AND g.metric = f.metric")
+
+    def ends(p, name):
+        return (f"round({p}.forecast, 6) AS {name}_forecast, round(if({p}.n < 7, {p}.last_value * 0.8, {p}.forecast - {p}.band), 6) AS {name}_lower, "
+                f"round(if({p}.n < 7, {p}.last_value * 1.2, {p}.forecast + {p}.band), 6) AS {name}_upper")
+
+    return f"""
+days AS (SELECT CAST(DATE '{start}' + CAST(h AS INTEGER) AS DATE) AS date FROM range({horizon}) u(h)),
+before AS (SELECT * FROM dense WHERE date < DATE '{start}'),{trend_season_sql(True, 'before', 1, 'nc')},{trend_season_sql(True, 'dense', 1, 'al')},
+left_side AS ({side('nc')}),
+right_side AS ({side('al')}),
+x16 AS (SELECT l.destination_id, l.metric, l.date, {ends('l', 'no_crisis')}, {ends('r', 'crisis')}, round(r.forecast - l.forecast, 6) AS impact
+  FROM left_side l JOIN right_side r ON l.destination_id = r.destination_id AND l.metric = r.metric AND l.date = r.date)"""

@@ -22,7 +22,8 @@ def pre_post_cte(w: CrisisWindow, name: str = "pp", keys: str = "destination_id"
     return f"""{name} AS (
   SELECT {keys},{side(f'date < {s}', 'pre')},{side(f'date >= {s}', 'post')},
     AVG(bookings) FILTER (WHERE date >= {s}) AS post_mean_,
-    STDDEV_SAMP(bookings) FILTER (WHERE date >= {s}) AS post_std_
+    STDDEV_SAMP(bookings) FILTER (WHERE date >= {s}) AS post_std_,
+    COUNT(*) FILTER (WHERE date >= {s}) AS post_rows_
   FROM {source}
   WHERE {window_where(w)}
   GROUP BY {keys}
@@ -42,8 +43,8 @@ def shock_cte(w: CrisisWindow, name: str = "shock", keys: str = "destination_id"
     (post_adr - pre_adr) / NULLIF(pre_adr, 0) AS adr_change_pct,
     (CASE WHEN post_total > 0 THEN post_cancellations / post_total ELSE 0.0 END)
       - (CASE WHEN pre_total > 0 THEN pre_cancellations / pre_total ELSE 0.0 END) AS cancellation_spike,
-    COALESCE(CASE WHEN post_mean_ > 0 THEN post_std_ / post_mean_
-                  WHEN post_mean_ IS NOT NULL THEN 1.0 END, 0.5) AS post_booking_cv
+    CASE WHEN post_rows_ = 0 THEN 0.5 WHEN post_mean_ > 0 THEN COALESCE(post_std_ / post_mean_, 0.5)
+         ELSE 1.0 END AS post_booking_cv
   FROM pp_{name}
 )"""
 

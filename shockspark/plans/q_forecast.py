@@ -12,7 +12,7 @@ from shockspark.operators import kpis as KP
 from shockspark.operators import recovery as RC
 from shockspark.operators import shock as S
 from shockspark.plans.catalog import register
-from shockspark.plans.oracle_forecast import accuracy_sql, dense_sql, trend_season_sql
+from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, trend_season_sql
 from shockspark.plans.oracle_shock import resilience_cte, shock_cte
 from shockspark.plans.q_series import CHG_SQL
 from shockspark.plans.q_shock import W
@@ -64,42 +64,58 @@ def m4_accuracy_trend_season(spark, sf_dir):
     return FC.accuracy(FC.trend_season_forecast(tr, DEST), te, FC.train_scales(tr, DEST), DEST)
 
 
-@register("m3_seasonal_ar_forecast")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("m3_seasonal_ar_forecast", _recursive(with_fixtures(dense_sql(True) + "," + seasonal_ar_sql(True), f"SELECT {FC_COLS_D} FROM ar")))
 def m3_seasonal_ar_forecast(spark, sf_dir):
-    """M3: seasonal AR(1)x(1)_7 per destination x metric (least squares in applyInPandas)."""
+    """M3: seasonal AR(1)x(1)_7 per destination x metric (normal equations, recursion in the JVM)."""
     tr, _ = _prep(spark, sf_dir, DEST)
     return FC.seasonal_ar_forecast(tr, DEST)
 
 
+LINEAR_MODELS = ("trend_season", "seasonal_ar")
+TREES = ("gbt_lags",)
+_PIPELINES: dict[tuple, dict] = {}
+
+
+def _pipeline(spark, sf_dir, models):
+    """National M6 run of some models, built once per session (the tree model is fitted
+    when the plan is built; M2 and its accuracy share it)."""
+    k = (spark.sparkContext.applicationId, sf_dir, models)
+    if k not in _PIPELINES:
+        _PIPELINES[k] = FC.forecast_pipeline(fx.daily_metrics(spark, sf_dir), NATIONAL, models=models)
+    return _PIPELINES[k]
+
+
 @register("m2_gbt_lag_forecast")
 def m2_gbt_lag_forecast(spark, sf_dir):
-    """M2: gradient-boosted trees on lag features (national series, as the reference)."""
-    return _pipeline(spark, sf_dir)["forecast_dataset"].filter(F.col("model") == "gbt_lags")
+    """M2: gradient-boosted trees on lag features, direct over the horizon (national series, as the reference)."""
+    return _pipeline(spark, sf_dir, TREES)["forecast_dataset"]
 
 
-_PIPELINES: dict[tuple, dict] = {}
+@register("m6_tree_accuracy")
+def m6_tree_accuracy(spark, sf_dir):
+    """M6 + M4: hold-out accuracy of the tree model for the four metrics."""
+    return _pipeline(spark, sf_dir, TREES)["forecast_accuracy"]
 
 
-def _pipeline(spark, sf_dir):
-    """National M6 run of the three models, built once per session (the tree model
-    is fitted when the plan is built; M2 and both M6 entries share it)."""
-    k = (spark.sparkContext.applicationId, sf_dir)
-    if k not in _PIPELINES:
-        _PIPELINES[k] = FC.forecast_pipeline(fx.daily_metrics(spark, sf_dir), NATIONAL,
-                                             models=("trend_season", "seasonal_ar", "gbt_lags"))
-    return _PIPELINES[k]
+BOTH_SQL = dense_sql(False) + "," + trend_season_sql(False) + "," + seasonal_ar_sql(False) + """,
+stacked AS (SELECT metric, model, date, forecast, lower, upper FROM fc UNION ALL SELECT metric, model, date, forecast, lower, upper FROM ar)"""
 
 
-@register("m6_u2_forecast_dataset")
+@register("m6_u2_forecast_dataset", _recursive(with_fixtures(BOTH_SQL, f"SELECT {FC_COLS_N} FROM stacked")))
 def m6_u2_forecast_dataset(spark, sf_dir):
-    """M6 + U2: national forecasts of the three models for the four metrics, stacked."""
-    return _pipeline(spark, sf_dir)["forecast_dataset"]
+    """M6 + U2: national forecasts of the trend and the autoregressive model for the four metrics, stacked (the trees: M2)."""
+    return _pipeline(spark, sf_dir, LINEAR_MODELS)["forecast_dataset"]
 
 
-@register("m6_forecast_accuracy")
+@register("m6_forecast_accuracy", _recursive(with_fixtures(
+    BOTH_SQL + "," + accuracy_sql(False, "stacked"), f"SELECT {cols('metric', 'model', 'mae:d', 'rmse:d', 'mape:d', 'mase:d', 'mase_ref:d', 'n')} FROM acc")))
 def m6_forecast_accuracy(spark, sf_dir):
-    """M6 + M4: hold-out accuracy of the three models for the four metrics."""
-    return _pipeline(spark, sf_dir)["forecast_accuracy"]
+    """M6 + M4: hold-out accuracy of both for the four metrics."""
+    return _pipeline(spark, sf_dir, LINEAR_MODELS)["forecast_accuracy"]
 
 
 STITCH_SQL = dense_sql(False) + "," + trend_season_sql(False) + """,
@@ -224,6 +240,13 @@ def k4_s8_forecast_csv(spark, sf_dir):
     return L.load_forecast_data(spark, _forecast_outputs(spark, sf_dir))["forecast_dataset"]
 
 
+@register("k4_s8_accuracy_csv", with_fixtures(dense_sql(False) + "," + trend_season_sql(False) + "," + accuracy_sql(False),
+                                              f"SELECT {cols('metric', 'model', 'mae:d', 'rmse:d', 'mape:d', 'mase:d', 'n')} FROM acc"))
+def k4_s8_accuracy_csv(spark, sf_dir):
+    """K4 + S8: forecast accuracy written as CSV and loaded back."""
+    return L.load_forecast_data(spark, _forecast_outputs(spark, sf_dir))["forecast_accuracy"]
+
+
 @register("k4_s8_recovery_csv", with_fixtures(_recovery_sql(True), f"SELECT {REC_COLS} FROM rec"))
 def k4_s8_recovery_csv(spark, sf_dir):
     """K4 + S8: recovery timeline written as CSV and loaded back."""
@@ -241,9 +264,10 @@ def x11_directional_accuracy(spark, sf_dir):
     return FC.directional_accuracy(FC.trend_season_forecast(tr, NATIONAL), te, NATIONAL)
 
 
-@register("x16_crisis_vs_no_crisis")
+@register("x16_crisis_vs_no_crisis", with_fixtures(dense_sql(True) + "," + crisis_pair_sql(CRISIS_START), """
+SELECT * FROM x16"""))
 def x16_crisis_vs_no_crisis(spark, sf_dir):
-    """X16 (documented extra): pre-crisis counterfactual forecast vs observed values."""
+    """X16 (documented extra): forecasts fitted on pre-crisis and on all days, side by side."""
     return FC.crisis_vs_no_crisis(fx.daily_metrics(spark, sf_dir), CRISIS_START, DEST)
 
 

@@ -41,7 +41,7 @@ _project("a3_pre_post", ["destination_id", "pre_bookings", "pre_cancellations",
 _project("a4_shock_metrics", ["destination_id", "post_booking_cv"], "a5_post_booking_cv",
          "A5: coefficient of variation of post-window bookings (0.5 when undefined, 1.0 when mean <= 0).")
 _project("a11_search_booking_corr", ["spearman_rho", "n"], "a12_spearman_rho",
-         "A12: Spearman rho from average ranks per distinct value (distributed prefix sums).")
+         "A12: Spearman rho from average ranks of the fact rows.")
 _project("f4_engineer_features", ["date", "destination_id", "source_market", "bookings_per_day", "cancellation_rate",
                                   "search_to_booking_ratio"], "f2_ratio_features",
          "F2: bookings per day, cancellation rate, capped search-to-booking ratio.")

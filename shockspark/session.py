@@ -45,8 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured (local tests)
-    a fresh folder under the system temp directory is created and registered.
+    The cluster's setting always wins.  Only when nothing is configured and the master is
+    local (tests) a fresh folder under the system temp directory is created and
+    registered; any other master must name a shared folder.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
@@ -56,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - key absent
             path = None
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shockspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -74,37 +77,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` into the shared checkpoint folder (never a
-    ``localCheckpoint``): later passes read the checkpoint instead of recomputing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_SHIPPED: set = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``shockspark`` importable in the Python workers (``addPyFile`` of a zip
-    written to the shared checkpoint folder), once per application.  Needed by the
-    operators that run Python on executors (``applyInPandas``)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    import zipfile
-
-    import shockspark
-
-    pkg_dir = os.path.dirname(os.path.abspath(shockspark.__file__))
-    base = os.path.dirname(pkg_dir)
-    folder = scratch_path(spark, "pyfiles")
-    os.makedirs(folder, exist_ok=True)
-    zpath = os.path.join(folder, "shockspark.zip")
-    with zipfile.ZipFile(zpath, "w") as z:
-        for root, _dirs, files in os.walk(pkg_dir):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.relpath(full, base))
-    sc.addPyFile(zpath)
-    _SHIPPED.add(sc.applicationId)
+def cut_lineage(df, name: str = "cut"):
+    """``df`` written as Parquet into the shared checkpoint folder and read back (never a
+    ``localCheckpoint``): later passes read the columns and rows they need, with size
+    statistics, instead of recomputing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ against the file header when the plan is built.
 
 from __future__ import annotations
 
-import os
+import posixpath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,17 @@ from shockspark import schemas
 CSV_OPTS = {"header": "true", "mode": "PERMISSIVE"}
 
 
+def _if_present(read):
+    """``read()``, or None when its path does not exist.  The path is looked up by Spark,
+    so it may be in any store that Spark reads."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV landing folder/file (reads the first line only)."""
     first = spark.read.option("header", "true").csv(path).schema
@@ -73,8 +85,9 @@ def load_crisis_events(spark: SparkSession, path: str) -> DataFrame:
 def load_destinations(spark: SparkSession, path: str | None, fact: DataFrame | None = None) -> DataFrame:
     """Destinations CSV; without a file, the distinct destinations of the fact
     (name = id, no region)."""
-    if path and os.path.exists(path):
-        return spark.read.options(**CSV_OPTS).schema(schemas.DESTINATIONS).csv(path)
+    found = _if_present(lambda: spark.read.options(**CSV_OPTS).schema(schemas.DESTINATIONS).csv(path)) if path else None
+    if found is not None:
+        return found
     if fact is None:
         raise FileNotFoundError(path)
     return fact.select("destination_id").distinct().select(
@@ -99,18 +112,20 @@ def load_visas_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def load_db(spark: SparkSession, root: str, date_from=None, date_to=None) -> dict[str, DataFrame]:
     """The store (Parquet folders ``daily_metrics``, ``crisis_events``,
-    ``destinations``): fact with the date range as a pushed-down filter, crises ordered
-    by start date."""
-    fact = spark.read.parquet(os.path.join(root, "daily_metrics"))
-    if date_from:
-        fact = fact.filter(F.col("date") >= F.lit(date_from).cast("date"))
-    if date_to:
-        fact = fact.filter(F.col("date") <= F.lit(date_to).cast("date"))
+    ``destinations``): fact with the date range as a pushed-down filter and its months as
+    a partition filter, crises ordered by start date."""
+    fact = spark.read.parquet(posixpath.join(root, "daily_metrics"))
+    for bound, keep in ((date_from, lambda c, v: c >= v), (date_to, lambda c, v: c <= v)):
+        if bound:
+            day = F.lit(bound).cast("date")
+            fact = fact.filter(keep(F.col("date"), day))
+            if "month" in fact.columns:
+                fact = fact.filter(keep(F.col("month"), F.lit(str(bound)[:7])))
     out = {"daily_metrics": fact}
     for name in ("crisis_events", "destinations"):
-        p = os.path.join(root, name)
-        if os.path.exists(p):
-            out[name] = spark.read.parquet(p)
+        found = _if_present(lambda: spark.read.parquet(posixpath.join(root, name)))
+        if found is not None:
+            out[name] = found
     if "crisis_events" in out:
         out["crisis_events"] = out["crisis_events"].orderBy("crisis_start_date", "crisis_id")
     return out
@@ -122,9 +137,9 @@ def load_forecast_data(spark: SparkSession, root: str) -> dict[str, DataFrame]:
              "crisis_recovery_timeline": schemas.RECOVERY_TIMELINE}
     out = {}
     for name, schema in files.items():
-        p = os.path.join(root, name)
-        if os.path.exists(p):
-            out[name] = spark.read.options(**CSV_OPTS).schema(schema).csv(p)
+        found = _if_present(lambda: spark.read.options(**CSV_OPTS).schema(schema).csv(posixpath.join(root, name)))
+        if found is not None:
+            out[name] = found
     return out
 
 

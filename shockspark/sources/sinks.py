@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shockspark import schemas
 from shockspark.functions.exprs import null_words_to_null
 
+# Columns of the stored fact table, required and optional ones.
 FACT_BASE = ["date", "destination_id", "crisis_id", "bookings", "cancellations", "total_reservations",
              "search_demand", "adr", "room_nights", "bookings_per_day", "cancellation_rate",
              "search_to_booking_ratio", "adr_change", "demand_change_percent", "normalized_demand_index",
@@ -39,9 +40,11 @@ def conform_daily_metrics(df: DataFrame) -> DataFrame:
 def write_daily_metrics(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False,
                         fmt: str = "parquet") -> None:
     """K1: write the fact partitioned by month.  ``dynamic=True`` overwrites only the
-    months present in ``df`` (dynamic partition overwrite)."""
+    months present in ``df`` (dynamic partition overwrite).  Rows are rebalanced by month
+    first, so a month becomes few files; a month larger than the advisory partition size
+    is split over tasks."""
     out = conform_daily_metrics(df).withColumn("month", F.date_format("date", "yyyy-MM"))
-    w = out.write.mode(mode).format(fmt).partitionBy("month")
+    w = out.hint("rebalance", "month").write.mode(mode).format(fmt).partitionBy("month")
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.save(path)
