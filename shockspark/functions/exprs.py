@@ -74,26 +74,42 @@ def round_doubles(df, digits: int = 6):
     return df.select(*out)
 
 
-def right_closed_bin(c, edges, labels) -> Column:
-    """``pd.cut(x, edges, labels)`` with right-closed bins; out of range -> NULL."""
-    x = col(c)
-    expr = None
-    for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
-        cond = x > lo if hi is None or hi == float("inf") else (x > lo) & (x <= hi)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    return expr
-
-
 def null_words_to_null(c, words=("nat", "nan", "none", "")) -> Column:
     """Strings that spell a missing value become NULL."""
     x = col(c)
     return F.when(F.lower(F.trim(x)).isin(*words), F.lit(None).cast("string")).otherwise(x)
 
 
-def round_to(c, digits: int = 0) -> Column:
-    """Presentation rounding to ``digits`` places as ``round(x * 10^d) / 10^d``, half
-    away from zero on the scaled binary value (how a dashboard's ``toFixed`` and most
-    SQL engines round a double: 39.675 is stored as 39.67499.. and gives 39.67, where
-    ``F.round`` would round its shortest decimal form up)."""
+def _round_exact(c, digits: int, tie) -> Column:
+    """``c`` rounded to ``digits`` places by its exact binary value; ``tie(floor)`` says whether
+    a value exactly in the middle goes up in magnitude.  The rounding error of x * 10^d
+    is recovered by splitting x into two halves whose products are exact."""
+    x = col(c).cast("double")
+    size, m = F.abs(x), float(10 ** digits)
+    scaled = size * m
+    wide = size * 134217729.0
+    high = wide - (wide - size)
+    error = (high * m - scaled) + (size - high) * m
+    floor = F.floor(scaled).cast("double")
+    beyond = (scaled - floor - 0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & tie(floor))
+    rounded = (floor + up.cast("double")) / m
+    return F.when(size >= 2.0 ** 50 / m, x).when(x < 0, -rounded).otherwise(rounded)
+
+
+def round_python(c, digits: int = 0) -> Column:
+    """Python's ``round``: the exact binary value, a tie to the even neighbour (1.115 -> 1.11,
+    0.125 -> 0.12)."""
+    return _round_exact(c, digits, lambda floor: floor % 2 == 1)
+
+
+def to_fixed(c, digits: int = 0) -> Column:
+    """JavaScript's ``toFixed``: the exact binary value, a tie away from zero (1.115 -> 1.11,
+    0.125 -> 0.13)."""
+    return _round_exact(c, digits, lambda floor: F.lit(True))
+
+
+def round_pandas(c, digits: int = 0) -> Column:
+    """``Series.round``: the scaled value rounded half to even, scaled back."""
     m = float(10 ** digits)
-    return F.round(col(c).cast("double") * m, 0) / m
+    return F.rint(col(c).cast("double") * m) / m

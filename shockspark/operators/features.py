@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shockspark.functions.exprs import div_if_positive, round_to, safe_div
+from shockspark.functions.exprs import div_if_positive, round_pandas, safe_div
 
 # Phase thresholds in days after the crisis start.
 IMMEDIATE_DAYS = 14
@@ -168,4 +168,4 @@ def search_proxy(reservations: DataFrame, lead_days: int = 7) -> DataFrame:
     filled = F.last("_ahead", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = F.coalesce(filled, F.col("bookings")).cast("double")
     return ahead.select("date", "destination_id",
-                        round_to(F.greatest(s, F.lit(1.0)), 2).alias("search_demand"))
+                        round_pandas(F.greatest(s, F.lit(1.0)), 2).alias("search_demand"))

@@ -1,7 +1,7 @@
 """Request filters.
 
 Filters compare the raw columns with literals (no casts around the column), so they
-reach the Parquet scan as ``PushedFilters`` and prune month partitions of the fact.
+reach the Parquet scan as ``PushedFilters``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shockspark.operators.travel import TravelContext, filter_fact
+
 
 def _d(x):
     return F.lit(dt.date.fromisoformat(str(x)[:10]))
@@ -34,21 +36,9 @@ def filter_metrics(df: DataFrame, date_from=None, date_to=None, destination=None
 
 def filter_facts(df: DataFrame, date_from=None, date_to=None, destination=None,
                  origin_country=None, travel_type=None) -> DataFrame:
-    """P5: flights / visas filter; travel_type 'domestic' = origin == destination,
-    'international' = origin != destination, other values ignored."""
-    if date_from:
-        df = df.filter(F.col("date") >= _d(date_from))
-    if date_to:
-        df = df.filter(F.col("date") <= _d(date_to))
-    if destination:
-        df = df.filter(F.col("destination_id") == destination)
-    if origin_country:
-        df = df.filter(F.col("origin_country") == origin_country)
-    if travel_type == "domestic":
-        df = df.filter(F.col("origin_country") == F.col("destination_id"))
-    elif travel_type == "international":
-        df = df.filter(F.col("origin_country") != F.col("destination_id"))
-    return df
+    """P5: flights / visas filter by plain values (see ``travel.filter_fact``)."""
+    return filter_fact(df, TravelContext.of(date_from, date_to, destination=destination, source_market=origin_country,
+                                            travel_type=travel_type))
 
 
 def period_filter(df: DataFrame, crisis_date, period: str = "all") -> DataFrame:

@@ -108,8 +108,8 @@ def seasonal_ar_forecast(train: DataFrame, keys=("destination_id",), horizon: in
                          min_points: int = 30) -> DataFrame:
     """M3: seasonal AR(1)x(1)_7 per series (least squares on lags 1, 7, 8); band = z(0.2) x
     residual std with four parameters; fewer than ``min_points`` points -> last value, 0.8
-    / 1.2 band.  Where the lags are collinear the forecast is the mean of the days from
-    the ninth on."""
+    / 1.2 band.  Where the three lags are collinear lag 8 is left out, where lags 1 and 7
+    are, lag 1 too; a constant lag 7 leaves the mean of the days from the ninth on."""
     sk = _sk(keys)
     w = Window.partitionBy(*sk).orderBy("date")
     lags = {"a": 1, "b": 7, "c": 8}
@@ -131,10 +131,14 @@ def seasonal_ar_forecast(train: DataFrame, keys=("destination_id",), horizon: in
 
     left = [("aa", "ab", "ac"), ("ab", "bb", "bc"), ("ac", "bc", "cc")]
     right = ("ay", "by", "cy")
-    whole = det(left)
-    solvable = whole > 1e-9 * F.col("aa") * F.col("bb") * F.col("cc")  # Cramer's rule on the normal equations
-    fit = moments.withColumns({f"w{x}": F.when(solvable, det([right if i == j else c for j, c in enumerate(left)]) / whole).otherwise(F.lit(0.0))
-                               for i, x in enumerate(lags)})
+    # Cramer's rule on the normal equations of three lags, of lags 1 and 7, or of lag 7
+    aa, bb, cc, ab, ay, by = (F.col(x) for x in ("aa", "bb", "cc", "ab", "ay", "by"))
+    three, two, zero = det(left), aa * bb - ab * ab, F.lit(0.0)
+    of_three = [det([right if i == j else c for j, c in enumerate(left)]) / three for i in range(3)]
+    of_two = [(ay * bb - ab * by) / two, (aa * by - ab * ay) / two, zero]
+    of_one = [zero, by / bb, zero]
+    fit = moments.withColumns({f"w{x}": F.when(three > 1e-9 * aa * bb * cc, of_three[i]).when(two > 1e-9 * aa * bb, of_two[i])
+                               .when(bb > 0, of_one[i]).otherwise(zero) for i, x in enumerate(lags)})
     fitted = sum(F.col(f"w{x}") * F.col(f"{x}y") for x in lags)
     fit = fit.withColumns({
         "base": F.col("my") - sum(F.col(f"w{x}") * F.col(f"m{x}") for x in lags),
@@ -214,13 +218,19 @@ def train_scales(train: DataFrame, keys=("destination_id",), period: int = 7) ->
                     F.when(ok & (F.col("_order") != 0), F.col("_order")).alias("scale_order"))
 
 
+def paired(forecasts: DataFrame, test: DataFrame, keys=("destination_id",)) -> DataFrame:
+    """Forecasts with the actual value ``y`` of the same series and date."""
+    sk = _sk(keys)
+    return forecasts.join(test.select(*sk, "date", F.col("value").alias("y")), sk + ["date"])
+
+
 def accuracy(forecasts: DataFrame, test: DataFrame, scales: DataFrame, keys=("destination_id",),
              eps: float = 1e-8) -> DataFrame:
     """M4: MAE, RMSE, MAPE (x100, |y| > eps only), MASE (seasonal-naive scale) and the
     reference-parity ``mase_ref`` (7th-order difference scale), n; forecast and actual
     are paired by date (inner join)."""
     sk = _sk(keys)
-    j = forecasts.join(test.select(*sk, "date", F.col("value").alias("y")), sk + ["date"])
+    j = paired(forecasts, test, keys)
     e = F.col("y") - F.col("forecast")
     big = F.abs(F.col("y")) > eps
     acc = j.groupBy(*sk, "model").agg(
@@ -235,7 +245,7 @@ def directional_accuracy(forecasts: DataFrame, test: DataFrame, keys=("destinati
     """X11 (documented extra): share of days where forecast and actual move in the same
     direction as the day before."""
     sk = _sk(keys)
-    j = forecasts.join(test.select(*sk, "date", F.col("value").alias("y")), sk + ["date"])
+    j = paired(forecasts, test, keys)
     w = Window.partitionBy(*sk, "model").orderBy("date")
     j = j.withColumns({"dy": F.col("y") - F.lag("y").over(w), "df": F.col("forecast") - F.lag("forecast").over(w)})
     j = j.filter(F.col("dy").isNotNull())

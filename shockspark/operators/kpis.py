@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspark.functions.exprs import div_if_positive, round_to, safe_div
+from shockspark.functions.exprs import div_if_positive, round_pandas, round_python, safe_div, to_fixed
 from shockspark.functions.quantiles import quantiles
 
 # Histogram bins and labels (right-closed).
@@ -22,6 +22,8 @@ LOS_BINS = [(0, 2, "1-2 nights"), (2, 4, "3-4 nights"), (4, 7, "5-7 nights"), (7
             (14, None, "15+ nights")]
 WINDOW_BINS = [(0, 3, "0-3 days"), (3, 7, "4-7 days"), (7, 14, "8-14 days"), (14, 30, "15-30 days"),
                (30, None, "30+ days")]
+# Traveler mix (start, change per night of stay and bound of leisure and business; the other shares).
+MIX = {"leisure": (35, 3, 55.0), "business": (30, -2, 10.0), "luxury": (5.0, 15.0), "family": (25, 5.0), "group": (100, 5.0)}
 # Funnel and OTA constants.
 PREBOOK_FACTOR = 1.3
 COMMISSION_RATE = 0.15
@@ -37,31 +39,35 @@ def _d(x):
 
 def summary(fact: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Date range, total bookings and room nights (truncated to int), distinct
-    destinations (exact, or HyperLogLog++ with ``approx_distinct``) and row count."""
-    nd = F.approx_count_distinct("destination_id") if approx_distinct else F.count_distinct("destination_id")
+    destinations (exact, or HyperLogLog++ with ``approx_distinct``) and row count.  A
+    column the frame does not have counts as 0."""
+    def total(c):
+        return (F.coalesce(F.sum(c), F.lit(0)) if c in fact.columns else F.lit(0)).cast("bigint")
+
+    nd = F.lit(0).cast("bigint")
+    if "destination_id" in fact.columns:
+        nd = F.approx_count_distinct("destination_id") if approx_distinct else F.count_distinct("destination_id")
     return fact.agg(
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"),
-        F.coalesce(F.sum("bookings"), F.lit(0)).cast("bigint").alias("total_bookings"),
-        F.coalesce(F.sum("room_nights"), F.lit(0)).cast("bigint").alias("total_room_nights"),
-        nd.alias("destinations_count"), F.count(F.lit(1)).alias("records_count"))
+        F.min("date").alias("date_min"), F.max("date").alias("date_max"), total("bookings").alias("total_bookings"),
+        total("room_nights").alias("total_room_nights"), nd.alias("destinations_count"), F.count(F.lit(1)).alias("records_count"))
 
 
 def timeline(fact: DataFrame) -> DataFrame:
-    """Per date: summed bookings, searches and room nights, unweighted mean adr."""
-    return fact.groupBy("date").agg(
-        F.sum("bookings").alias("bookings"), F.sum("search_demand").alias("search_demand"),
-        F.avg("adr").alias("adr"), F.sum("room_nights").alias("room_nights"))
+    """Per date: summed bookings, searches and room nights, unweighted mean adr, of
+    the columns that the frame has; rows without a date are left out."""
+    how = {"bookings": F.sum, "search_demand": F.sum, "adr": F.avg, "room_nights": F.sum}
+    return fact.dropna(subset=["date"]).groupBy("date").agg(*[f(c).alias(c) for c, f in how.items() if c in fact.columns])
 
 
 def monthly_by_destination(fact: DataFrame) -> DataFrame:
     """Bookings per (month start, destination)."""
-    return fact.groupBy(F.trunc("date", "month").alias("date"), "destination_id").agg(
+    return fact.dropna(subset=["date", "destination_id"]).groupBy(F.trunc("date", "month").alias("date"), "destination_id").agg(
         F.sum("bookings").alias("bookings"))
 
 
 def monthly_bookings(fact: DataFrame) -> DataFrame:
     """Bookings per calendar month (``yyyy-MM``)."""
-    return fact.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum("bookings").alias("bookings"))
+    return fact.dropna(subset=["date"]).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum("bookings").alias("bookings"))
 
 
 def funnel(fact: DataFrame) -> DataFrame:
@@ -83,8 +89,8 @@ def funnel(fact: DataFrame) -> DataFrame:
     ok = F.col("prev") > 0
     return stages.select(
         "stage", "name", "value",
-        F.when(ok, round_to(F.col("value") / F.col("prev") * 100, 1)).alias("conversion_pct"),
-        F.when(ok, round_to((F.col("prev") - F.col("value")) / F.col("prev") * 100, 1)).alias("drop_off_pct"))
+        F.when(ok, to_fixed(F.col("value") / F.col("prev") * 100, 1)).alias("conversion_pct"),
+        F.when(ok, to_fixed((F.col("prev") - F.col("value")) / F.col("prev") * 100, 1)).alias("drop_off_pct"))
 
 
 def prepost_totals(fact: DataFrame, crisis_date) -> DataFrame:
@@ -114,7 +120,11 @@ def prepost_totals(fact: DataFrame, crisis_date) -> DataFrame:
 
 def corridor_matrix(fact: DataFrame, crisis_date) -> DataFrame:
     """(source market, destination) before / from the crisis date over the whole
-    history; a missing side is 0; change in percent (0 when pre is 0)."""
+    history; a missing side is 0; change in percent (0 when pre is 0).  Without a source
+    market the destination stands for it; rows without a key are left out."""
+    if "source_market" not in fact.columns:
+        fact = fact.withColumn("source_market", F.col("destination_id"))
+    fact = fact.dropna(subset=["source_market", "destination_id"])
     pre = F.col("date") < F.lit(_d(crisis_date))
     post = ~pre
     agg = fact.groupBy(F.col("source_market").alias("source"), F.col("destination_id").alias("destination")).agg(
@@ -131,7 +141,7 @@ def hotel_kpis(fact: DataFrame, group_col: str = "destination_id") -> DataFrame:
     """Occupancy (0.75 when the column is absent), ADR, RevPAR = mean(adr x occ),
     sums, cancellation rate, market demand index = share of bookings x 100."""
     occ = F.col("occupancy_rate") if "occupancy_rate" in fact.columns else F.lit(DEFAULT_OCCUPANCY)
-    agg = fact.withColumn("_occ", occ).groupBy(group_col).agg(
+    agg = fact.withColumn("_occ", occ).dropna(subset=[group_col]).groupBy(group_col).agg(
         F.avg("_occ").alias("occupancy_rate"), F.avg("adr").alias("adr"),
         F.avg(F.col("adr") * F.col("_occ")).alias("revpar"),
         F.sum("bookings").alias("bookings"), F.sum("cancellations").alias("cancellations"),
@@ -163,7 +173,7 @@ def ota_kpis(fact: DataFrame, group_col: str = "destination_id") -> DataFrame:
     aggs = [F.sum("search_demand").alias("search_demand"), F.sum("bookings").alias("bookings")]
     if "lead_time_days" in fact.columns:
         aggs.append(F.avg("lead_time_days").alias("avg_lead_time_days"))
-    agg = fact.groupBy(group_col).agg(*aggs)
+    agg = fact.dropna(subset=[group_col]).groupBy(group_col).agg(*aggs)
     total = agg.agg(F.sum("search_demand")).scalar()
     return agg.withColumns({
         "conversion_rate": div_if_positive("bookings", "search_demand"),
@@ -171,28 +181,35 @@ def ota_kpis(fact: DataFrame, group_col: str = "destination_id") -> DataFrame:
     })
 
 
+def _by_date_and_destination(fact: DataFrame) -> DataFrame:
+    """Sums and mean ADR per date (``whole_day``) and, in the same pass over the fact, per
+    destination (rows without one count there as one unnamed destination)."""
+    sets = [[F.col("date")], [F.col("destination_id")]]
+    grouped = fact.groupingSets(sets, "date", "destination_id").agg(
+        F.grouping("destination_id").alias("_g"), F.sum("bookings").alias("bookings"), F.sum("search_demand").alias("search_demand"),
+        F.avg("adr").alias("adr"))
+    return grouped.withColumn("whole_day", F.col("_g") == 1).drop("_g")
+
+
 def ota_rollup(fact: DataFrame) -> DataFrame:
     """GBV = bookings x mean daily ADR, net revenue (15 %), look-to-book,
     conversion %, visitors = 3 x searches, listings = 50 x destinations, top market by
     searches."""
-    tl = timeline(fact)
-    avg_adr = tl.agg(F.avg("adr")).scalar()
-    by_dest = fact.groupBy("destination_id").agg(F.sum("search_demand").alias("s"))
-    top_market = by_dest.agg(F.min_by("destination_id", F.struct((-F.col("s")).alias("k"),
-                                                                  F.col("destination_id")))).scalar()
-    t = fact.agg(F.sum("search_demand").alias("total_search_demand"),
-                 F.sum("bookings").cast("bigint").alias("total_bookings"),
-                 F.count_distinct("destination_id").alias("destinations"))
+    t = _by_date_and_destination(fact).agg(
+        F.sum(F.when(~F.col("whole_day"), F.col("search_demand"))).alias("total_search_demand"),
+        F.sum(F.when(~F.col("whole_day"), F.col("bookings"))).cast("bigint").alias("total_bookings"),
+        F.count("destination_id").alias("destinations"), F.avg(F.when(F.col("whole_day"), F.col("adr"))).alias("avg_adr"),
+        F.min_by("destination_id", F.when(F.col("destination_id").isNotNull(), F.struct(
+            (-F.coalesce("search_demand", F.lit(float("-inf")))).alias("k"), F.col("destination_id")))).alias("top_market"))
     s, b = F.col("total_search_demand"), F.col("total_bookings")
-    gbv = b * avg_adr
+    gbv = b * F.col("avg_adr")
     return t.select(
-        "total_search_demand", "total_bookings", avg_adr.alias("avg_adr"), gbv.alias("gbv"),
+        "total_search_demand", "total_bookings", "avg_adr", gbv.alias("gbv"),
         (gbv * COMMISSION_RATE).alias("net_revenue"), F.lit(COMMISSION_RATE * 100).alias("take_rate_pct"),
         F.when(b != 0, s / b).otherwise(F.lit(0.0)).alias("look_to_book"),
         F.when(s != 0, b / s * 100).otherwise(F.lit(0.0)).alias("conversion_pct"),
         (s * VISITORS_PER_SEARCH).alias("unique_visitors"),
-        (F.col("destinations") * LISTINGS_PER_DESTINATION).alias("active_listings"),
-        top_market.alias("top_market"))
+        (F.col("destinations") * LISTINGS_PER_DESTINATION).alias("active_listings"), "top_market")
 
 
 def daily_ratios(fact: DataFrame) -> DataFrame:
@@ -201,7 +218,7 @@ def daily_ratios(fact: DataFrame) -> DataFrame:
     tl = timeline(fact)
     return tl.select(
         "date", "bookings", "search_demand",
-        F.when(F.col("bookings") > 0, round_to(F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings"), 2))
+        F.when(F.col("bookings") > 0, to_fixed(F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings"), 2))
          .alias("look_to_book"),
         F.when(F.col("search_demand") > 0, F.col("bookings") / F.col("search_demand") * 100)
          .otherwise(F.lit(0.0)).alias("conversion_pct"))
@@ -221,7 +238,7 @@ def _histogram(values: DataFrame, col: str, bins, include_zero: bool = False) ->
     rows = arr.select(F.explode("a").alias("r"), F.aggregate(
         F.transform("a", lambda s: s["count"]), F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("total"))
     return rows.select("r.bin", "r.category", "r.count",
-                       F.when(F.col("total") > 0, round_to(F.col("r.count") / F.col("total") * 100, 1))
+                       F.when(F.col("total") > 0, round_python(F.col("r.count") / F.col("total") * 100, 1))
                         .otherwise(F.lit(0.0)).alias("pct"))
 
 
@@ -251,12 +268,13 @@ def traveler_mix(fact: DataFrame) -> DataFrame:
     los = F.when(F.col("b") > 0, F.col("rn") / F.col("b")).otherwise(F.lit(3.0))
     t = t.select(los.alias("los"), F.col("b").cast("bigint").alias("total_bookings"),
                  F.coalesce(high, F.lit(0)).alias("high"))
-    t = t.withColumns({"leisure": F.least(F.lit(55.0), 35 + F.col("los") * 3),
-                       "business": F.greatest(F.lit(10.0), 30 - F.col("los") * 2),
-                       "luxury": F.when(F.col("high") == 1, F.lit(15.0)).otherwise(F.lit(5.0))})
-    t = t.withColumn("family", F.greatest(F.lit(5.0), 25 - F.col("business")))
-    t = t.withColumn("group", F.greatest(F.lit(5.0), 100 - F.col("leisure") - F.col("business")
-                                         - F.col("luxury") - F.col("family")))
+    (l0, l1, l2), (b0, b1, b2), (low, high_share) = MIX["leisure"], MIX["business"], MIX["luxury"]
+    t = t.withColumns({"leisure": F.least(F.lit(l2), l0 + F.col("los") * l1),
+                       "business": F.greatest(F.lit(b2), b0 + F.col("los") * b1),
+                       "luxury": F.when(F.col("high") == 1, F.lit(high_share)).otherwise(F.lit(low))})
+    t = t.withColumn("family", F.greatest(F.lit(MIX["family"][1]), MIX["family"][0] - F.col("business")))
+    rest = MIX["group"][0] - F.col("leisure") - F.col("business") - F.col("luxury") - F.col("family")
+    t = t.withColumn("group", F.greatest(F.lit(MIX["group"][1]), rest))
     t = t.withColumn("raw_total", F.col("leisure") + F.col("business") + F.col("family") + F.col("group")
                      + F.col("luxury"))
     cats = ["Leisure", "Business", "Family", "Group", "Luxury"]
@@ -265,7 +283,7 @@ def traveler_mix(fact: DataFrame) -> DataFrame:
         for i, c in enumerate(cats)])).alias("r"))
     return rows.select("r.ord", "r.category",
                        F.floor(F.col("total_bookings") * F.col("r.raw") / F.col("raw_total")).cast("bigint").alias("count"),
-                       round_to(F.col("r.raw") / F.col("raw_total") * 100, 1).alias("pct"))
+                       round_python(F.col("r.raw") / F.col("raw_total") * 100, 1).alias("pct"))
 
 
 def travel_type_flows(fact: DataFrame) -> DataFrame:
@@ -275,7 +293,7 @@ def travel_type_flows(fact: DataFrame) -> DataFrame:
         F.sum("bookings").alias("bookings"), F.sum("search_demand").alias("search_demand"),
         F.sum("room_nights").alias("room_nights"), F.avg("adr").alias("avg_adr"))
     total = agg.agg(F.sum("bookings")).scalar()
-    return agg.withColumn("share_pct", F.when(total > 0, round_to(F.col("bookings") / total * 100, 1))
+    return agg.withColumn("share_pct", F.when(total > 0, round_pandas(F.col("bookings") / total * 100, 1))
                           .otherwise(F.lit(0.0)))
 
 
@@ -290,12 +308,11 @@ def rebased_indices(fact: DataFrame) -> DataFrame:
     first-day values are ``min_by`` aggregates (scalar subqueries), not a window."""
     tl = timeline(fact)
     first = tl.agg(F.min_by(F.struct("adr", "search_demand", "bookings"), "date").alias("f"))
-    base = lambda c: F.coalesce(F.when(first.select(f"f.{c}").scalar() != 0,
-                                       first.select(f"f.{c}").scalar()), F.lit(1.0))
-    idx = tl.select(
-        "date", round_to(F.coalesce(F.col("adr"), F.lit(0.0)) / base("adr") * 100, 1).alias("hotel_index"),
-        round_to(F.coalesce(F.col("search_demand"), F.lit(0.0)) / base("search_demand") * 100, 1).alias("ota_index"),
-        round_to(F.coalesce(F.col("bookings"), F.lit(0)) / base("bookings") * 100, 1).alias("tech_index"))
+    base = lambda c: F.coalesce(F.when(F.col(f"f.{c}") != 0, F.col(f"f.{c}")), F.lit(1.0))
+    idx = tl.withColumn("f", first.scalar()).select(
+        "date", to_fixed(F.coalesce(F.col("adr"), F.lit(0.0)) / base("adr") * 100, 1).alias("hotel_index"),
+        to_fixed(F.coalesce(F.col("search_demand"), F.lit(0.0)) / base("search_demand") * 100, 1).alias("ota_index"),
+        to_fixed(F.coalesce(F.col("bookings"), F.lit(0)) / base("bookings") * 100, 1).alias("tech_index"))
     return idx.withColumn("composite", (F.col("hotel_index") + F.col("ota_index") + F.col("tech_index")) / 3)
 
 
@@ -333,24 +350,23 @@ def composite_prepost(fact: DataFrame, crisis_date) -> DataFrame:
 def volatility(fact: DataFrame) -> DataFrame:
     """Population std of the daily search / booking ratio (days with bookings,
     n >= 2 else 0) and the market-cap proxy = total bookings x mean daily ADR."""
-    tl = timeline(fact)
-    r = tl.filter(F.col("bookings") > 0).select(
-        (F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings")).alias("r"))
-    v = r.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("r").alias("sd"))
+    r = F.when(F.col("bookings") > 0, F.coalesce(F.col("search_demand"), F.lit(0.0)) / F.col("bookings"))
+    v = timeline(fact).agg(F.count(r).alias("n"), F.stddev_pop(r).alias("sd"), F.sum("bookings").alias("b"), F.avg("adr").alias("a"))
     return v.select(F.when(F.col("n") >= 2, F.col("sd")).otherwise(F.lit(0.0)).alias("volatility_index"),
-                    (fact.agg(F.sum("bookings")).scalar() * tl.agg(F.avg("adr")).scalar()).alias("market_cap_proxy"))
+                    (F.col("b") * F.col("a")).alias("market_cap_proxy"))
 
 
 def booking_value_per_destination(fact: DataFrame) -> DataFrame:
     """Average bookings per destination (rounded), booking value per destination
     (bookings x mean positive daily ADR / destinations) and conversion %."""
-    tl = timeline(fact)
-    pos_adr = tl.filter(F.col("adr") > 0).agg(F.avg("adr")).scalar()
-    t = fact.agg(F.sum("bookings").cast("bigint").alias("b"), F.count_distinct("destination_id").alias("n"),
-                 F.sum("search_demand").alias("s"))
+    day, per_day = F.col("whole_day"), lambda c: F.when(F.col("whole_day"), F.col(c))
+    t = _by_date_and_destination(fact).agg(
+        F.sum(per_day("bookings")).cast("bigint").alias("b"), F.count("destination_id").alias("n"),
+        F.sum(per_day("search_demand")).alias("s"), F.avg(F.when(day & (F.col("adr") > 0), F.col("adr"))).alias("pos_adr"))
+    pos_adr = F.col("pos_adr")
     return t.select(
         F.col("b").alias("total_bookings"), F.col("n").alias("destinations_count"),
-        F.when(F.col("n") > 0, round_to(F.col("b") / F.col("n"), 0)).otherwise(F.lit(0.0)).alias("avg_booking_volume"),
+        F.when(F.col("n") > 0, to_fixed(F.col("b") / F.col("n"), 0)).otherwise(F.lit(0.0)).alias("avg_booking_volume"),
         F.when(F.col("n") > 0, F.col("b") * pos_adr / F.col("n")).otherwise(F.lit(0.0)).alias("avg_booking_value"),
         F.when(F.col("s") > 0, F.col("b") / F.col("s") * 100).otherwise(F.lit(0.0)).alias("conversion_pct"))
 

@@ -203,6 +203,27 @@ def baseline_index(fact: DataFrame, crisis_start, baseline_days: int = 7, keys=(
                     (safe_div("search_demand", "_bs") * 100).alias("search_index"))
 
 
+def index_to_mean(fact: DataFrame, crisis_start, days: int = 30, keys=("destination_id",)) -> DataFrame:
+    """X5, all metrics on one scale: per (keys, date) bookings, cancellations, searches,
+    mean ADR and room nights, each as an index of its mean over the ``days`` days before
+    the crisis (100 = mean; NULL without days or with a mean of 0)."""
+    s = _d(crisis_start)
+    how = {"bookings": F.sum, "cancellations": F.sum, "search_demand": F.sum, "adr": F.avg, "room_nights": F.sum}
+    d = fact.groupBy(*keys, "date").agg(*[f(c).cast("double").alias(c) for c, f in how.items()])
+    before = (F.col("date") >= F.lit(s - dt.timedelta(days=days))) & (F.col("date") < F.lit(s))
+    w = Window.partitionBy(*keys)
+    return d.select(*keys, "date", *[(safe_div(c, F.avg(F.when(before, F.col(c))).over(w)) * 100).alias(f"{c}_index") for c in how])
+
+
+def weekly_vs_prior_year(fact: DataFrame, keys=("destination_id",)) -> DataFrame:
+    """X6, weekly: bookings per week (from Monday), those of the same week a year (52 weeks)
+    before, and the weekly index (100 = as many)."""
+    keys = list(keys)
+    week = fact.groupBy(*keys, F.date_trunc("week", "date").cast("date").alias("week")).agg(F.sum("bookings").alias("bookings"))
+    prior = week.select(*keys, F.date_add("week", 364).alias("week"), F.col("bookings").alias("prior_year"))
+    return week.join(prior, keys + ["week"], "left").withColumn("demand_index", safe_div("bookings", "prior_year") * 100)
+
+
 def period_over_period(fact: DataFrame, keys=("destination_id",)) -> DataFrame:
     """Monthly bookings with month-over-month and year-over-year change in
     percent; the previous month / year come from equi-joins on the shifted month."""

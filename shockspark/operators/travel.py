@@ -12,13 +12,13 @@ broadcast, one ``groupBy(window)``).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockspark.functions.broadcast import bounded_broadcast
-from shockspark.functions.exprs import round_to, safe_div
+from shockspark.functions.exprs import round_python, safe_div
 
 # Lead-window shifts (days) and the stay estimate per booking.
 FLIGHT_LEADS = (30, 60)
@@ -50,6 +50,15 @@ class TravelContext:
     def of(date_from=None, date_to=None, **kw) -> "TravelContext":
         return TravelContext(_d(date_from), _d(date_to), **kw)
 
+    def resolved(self, crises: DataFrame) -> "TravelContext":
+        """Dates that are not given are those of the crisis ``crisis_id`` (a look-up of
+        one row); an unknown crisis, or an open end, leaves them open."""
+        if self.crisis_id is None or (self.date_from and self.date_to):
+            return self
+        row = crises.filter(F.col("crisis_id") == self.crisis_id).select("crisis_start_date", "crisis_end_date").first()
+        start, end = row or (None, None)
+        return replace(self, date_from=self.date_from or start, date_to=self.date_to or end)
+
     def windows(self) -> dict[str, tuple[dt.date, dt.date]]:
         """Named windows (inclusive); empty without both dates."""
         if not (self.date_from and self.date_to):
@@ -70,7 +79,9 @@ class TravelContext:
 
 
 def filter_fact(df: DataFrame, ctx: TravelContext, with_dates: bool = True) -> DataFrame:
-    """P5 semantics on a flights / visas fact (origin = source market)."""
+    """P5: flights / visas filter (origin = source market); travel type (any case)
+    'domestic' = origin equals destination, 'international' = it does not, others are
+    ignored."""
     if with_dates and ctx.date_from:
         df = df.filter(F.col("date") >= F.lit(ctx.date_from))
     if with_dates and ctx.date_to:
@@ -304,7 +315,7 @@ def monthly_load_factor(flights: DataFrame, ctx: TravelContext, last_n: int = 24
     months."""
     g = filter_fact(flights, ctx).groupBy(F.trunc("date", "month").alias("date")).agg(
         F.sum("seat_capacity").alias("sc"), F.sum(F.col("seat_capacity") * F.col("load_factor")).alias("pax"))
-    g = g.select("date", F.coalesce(round_to(safe_div("pax", "sc") * 100, 2), F.lit(0.0)).alias("load_factor_pct"))
+    g = g.select("date", F.coalesce(round_python(safe_div("pax", "sc") * 100, 2), F.lit(0.0)).alias("load_factor_pct"))
     return g.orderBy(F.col("date").desc()).limit(last_n)
 
 
@@ -331,19 +342,31 @@ def shock_trend(flights: DataFrame, visas: DataFrame, fact: DataFrame, ctx: Trav
     (zero base -> 0), the last 24 months; plus the mean of the shown values per signal
     (``*_baseline``).  Month-level frames are small (one row per month); the first and
     last months are picked with ranks over that month frame."""
-    m = monthly_signals(flights, visas, fact, ctx)
-    first = m.orderBy("month").limit(base_months).agg(
-        F.avg("flights_total").alias("fb"), F.avg("visa_issued").alias("vb"), F.avg("total_bookings").alias("bb"))
-    fb, vb, bb = (first.select(c).scalar() for c in ("fb", "vb", "bb"))
-    shown = m.orderBy(F.col("month").desc()).limit(last_n)
-    ratio = lambda c, base: F.coalesce(F.when(base != 0, F.col(c) / base), F.lit(0.0))
-    s = shown.select(F.col("month").alias("date"), ratio("visa_issued", vb).alias("visa_shock"),
-                     ratio("flights_total", fb).alias("flight_shock"),
-                     ratio("total_bookings", bb).alias("booking_shock"))
-    means = s.agg(F.avg("visa_shock").alias("a"), F.avg("flight_shock").alias("b"), F.avg("booking_shock").alias("c"))
-    return s.select("*", means.select("a").scalar().alias("visa_baseline"),
-                    means.select("b").scalar().alias("flight_baseline"),
-                    means.select("c").scalar().alias("booking_baseline"))
+    signals = {"visa": "visa_issued", "flight": "flights_total", "booking": "total_bookings"}
+    months = monthly_signals(flights, visas, fact, ctx).dropna(subset=["month"])
+    # one row: the list of months (bounded by the calendar), so every fact is read once
+    one = months.agg(F.array_sort(F.collect_list(F.struct("month", *signals.values()))).alias("m")).filter(F.size("m") > 0)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    one = one.withColumn("first", F.slice("m", 1, base_months)).withColumn(
+        "last", F.slice("m", F.greatest(F.size("m") - last_n, F.lit(0)) + 1, last_n))
+    one = one.withColumns({f"{k}_base": mean(F.col(f"first.{c}")) for k, c in signals.items()})
+    relative = lambda base: lambda v: F.coalesce(F.when(base != 0, v / base), F.lit(0.0))
+    one = one.withColumns({f"{k}_shown": F.transform(f"last.{c}", relative(F.col(f"{k}_base"))) for k, c in signals.items()})
+    shown = one.select(F.posexplode("last.month").alias("i", "date"), *[f"{k}_shown" for k in signals],
+                       *[mean(F.col(f"{k}_shown")).alias(f"{k}_baseline") for k in signals])
+    return shown.select("date", *[F.get(f"{k}_shown", F.col("i")).alias(f"{k}_shock") for k in signals], *[f"{k}_baseline" for k in signals])
+
+
+def seats_vs_bookings(flights: DataFrame, fact: DataFrame, ctx: TravelContext) -> DataFrame:
+    """Seat capacity and bookings of the context as two labelled values (whole numbers,
+    half to even); no rows without both dates."""
+    if not ctx.windows():
+        return fact.sparkSession.createDataFrame([], "label string, value double")
+    seats = filter_fact(flights, ctx).agg(F.coalesce(F.sum("seat_capacity"), F.lit(0.0))).scalar()
+    booked = filter_metrics_ctx(fact, ctx).agg(F.coalesce(F.sum("bookings"), F.lit(0)).cast("double").alias("b"))
+    rows = booked.select(F.explode(F.array(F.struct(F.lit("Seat capacity").alias("label"), seats.alias("value")),
+                                           F.struct(F.lit("Bookings").alias("label"), F.col("b").alias("value")))).alias("r"))
+    return rows.select("r.label", round_python("r.value", 0).alias("value"))
 
 
 def windowed_totals(df: DataFrame, windows: DataFrame, measures: dict) -> DataFrame:

@@ -92,9 +92,10 @@ def seasonal_ar_sql(keyed: bool, src: str = "tr", horizon: int = 90, name: str =
     by_ - ab * ay / nullif(aa, 0) AS y1, cy - ac * ay / nullif(aa, 0) AS z1 FROM {name}_m),
 {name}_e2 AS (SELECT *, c1 - bc1 * bc1 / nullif(b1, 0) AS c2, z1 - bc1 * y1 / nullif(b1, 0) AS z2 FROM {name}_e1),
 {name}_ok AS (SELECT *, coalesce(aa * b1 * c2 > 1e-9 * aa * bb * cc, false) AS good FROM {name}_e2),
-{name}_w3 AS (SELECT *, if(good, z2 / c2, 0) AS wc FROM {name}_ok),
-{name}_w2 AS (SELECT *, if(good, (y1 - bc1 * wc) / b1, 0) AS wb FROM {name}_w3),
-{name}_w1 AS (SELECT *, if(good, (ay - ab * wb - ac * wc) / aa, 0) AS wa FROM {name}_w2),
+{name}_two AS (SELECT *, coalesce(aa * b1 > 1e-9 * aa * bb, false) AS fair FROM {name}_ok),
+{name}_w3 AS (SELECT *, if(good, z2 / c2, 0) AS wc FROM {name}_two),
+{name}_w2 AS (SELECT *, if(good OR fair, (y1 - bc1 * wc) / b1, coalesce(by_ / nullif(bb, 0), 0)) AS wb FROM {name}_w3),
+{name}_w1 AS (SELECT *, if(good OR fair, (ay - ab * wb - ac * wc) / aa, 0) AS wa FROM {name}_w2),
 {name}_fit AS (SELECT *, my - wa * ma - wb * mb - wc * mc AS base,
     if(m > 4, sqrt(greatest(yy - wa * ay - wb * by_ - wc * cy, 0) * m / (m - 4)), 0) AS sigma FROM {name}_w1),
 {name}_s AS (SELECT {part}, COUNT(*) AS n, MAX(date) AS train_end, arg_max(value, date) AS last_value,

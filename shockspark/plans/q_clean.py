@@ -26,10 +26,10 @@ def p4_filter_metrics(spark, sf_dir):
 
 
 @register("p4_filter_destination_market", with_fixtures("", f"""
-SELECT {FACT_COLS} FROM daily_metrics WHERE destination_id = 'NATION_7' AND source_market = 'NATION_3'"""))
+SELECT {FACT_COLS} FROM daily_metrics WHERE destination_id = 'NATION_3' AND source_market = 'NATION_19'"""))
 def p4_filter_destination_market(spark, sf_dir):
     """Destination and source-market filter."""
-    return FL.filter_metrics(fx.daily_metrics(spark, sf_dir), destination="NATION_7", source_market="NATION_3")
+    return FL.filter_metrics(fx.daily_metrics(spark, sf_dir), destination="NATION_3", source_market="NATION_19")
 
 
 FLIGHT_COLS = cols("date", "origin_country", "destination_id", "route", "flights_count", "seat_capacity:d",
@@ -55,6 +55,13 @@ def _split_at(fact, start_col_scalar):
         F.sum("bookings").alias("bookings"), F.count(F.lit(1)).alias("row_count"))
 
 
+@register("p5_filter_facts_type_case", with_fixtures("", f"""
+SELECT {FLIGHT_COLS} FROM fact_flights WHERE date >= DATE '1996-01-01' AND origin_country <> destination_id"""))
+def p5_filter_facts_type_case(spark, sf_dir):
+    """P5: the travel type in any case; an open end date."""
+    return FL.filter_facts(fx.fact_flights(spark, sf_dir), "1996-01-01", travel_type="InterNational")
+
+
 @register("p6_unknown_crisis_fallback", with_fixtures("", PREPOST_SQL.format(
     start="(SELECT MIN(crisis_start_date) FROM crisis_events)")))
 def p6_unknown_crisis_fallback(spark, sf_dir):
@@ -110,10 +117,11 @@ def p8_crisis_preset_range(spark, sf_dir):
 
 
 @register("p9_latest_matching_crisis", with_fixtures("", PREPOST_SQL.format(
-    start="(SELECT MAX(crisis_start_date) FROM crisis_events WHERE lower(crisis_name) LIKE '%crisis%')")))
+    start="(SELECT MAX(crisis_start_date) FROM crisis_events WHERE lower(crisis_name || coalesce(affected_regions, '')) LIKE '%region_1%')")))
 def p9_latest_matching_crisis(spark, sf_dir):
-    """The newest crisis matching 'crisis' (name or regions); fact split at it."""
-    c = WN.latest_crisis_matching(fx.crisis_events(spark), "crisis")
+    """The newest crisis matching 'region_1' (name or regions, any case; the newest
+    crisis of all does not match); fact split at it."""
+    c = WN.latest_crisis_matching(fx.crisis_events(spark), "region_1")
     return _split_at(fx.daily_metrics(spark, sf_dir), c.select("crisis_start_date").scalar())
 
 
@@ -138,6 +146,6 @@ SELECT d.date, c.crisis_id, c.crisis_name
 FROM (SELECT DISTINCT date FROM daily_metrics) d
 JOIN crisis_events c ON c.crisis_start_date <= d.date AND (c.crisis_end_date IS NULL OR c.crisis_end_date >= d.date)"""))
 def j7_crises_active_on_dates(spark, sf_dir):
-    """Crises active on each fact date (broadcast range join)."""
+    """Crises active on each fact date (days of the crises, equi-join)."""
     dates = fx.daily_metrics(spark, sf_dir).select("date").distinct()
     return WN.crises_active_on(dates, fx.crisis_events(spark)).select("date", "crisis_id", "crisis_name")

@@ -118,6 +118,15 @@ def m6_forecast_accuracy(spark, sf_dir):
     return _pipeline(spark, sf_dir, LINEAR_MODELS)["forecast_accuracy"]
 
 
+@register("j9_forecast_actual_join", with_fixtures(dense_sql(True) + "," + trend_season_sql(True), """
+SELECT fc.destination_id, fc.metric, fc.date, round(fc.forecast, 6) AS forecast, round(te.value, 6) AS y
+FROM fc JOIN te ON fc.destination_id = te.destination_id AND fc.metric = te.metric AND fc.date = te.date"""))
+def j9_forecast_actual_join(spark, sf_dir):
+    """Forecast and actual paired by (series, date)."""
+    tr, te = _prep(spark, sf_dir, DEST)
+    return FC.paired(FC.trend_season_forecast(tr, DEST), te, DEST).select("destination_id", "metric", "date", "forecast", "y")
+
+
 STITCH_SQL = dense_sql(False) + "," + trend_season_sql(False) + """,
 st AS (SELECT metric, model, MIN(date) AS fs FROM fc GROUP BY 1, 2),
 hh AS (SELECT d.metric, st.model, d.date, d.value FROM dense d JOIN st ON d.metric = st.metric WHERE d.date < st.fs AND d.value IS NOT NULL),

@@ -9,7 +9,7 @@ test tables.
 
 from __future__ import annotations
 
-import os
+import posixpath
 
 from pyspark.sql import functions as F
 
@@ -66,21 +66,18 @@ def s1_load_hotel_bookings(spark, sf_dir):
 
 
 @register("p1_clean_hotel_bookings", with_fixtures(HOTEL_SQL + """,
-med AS (SELECT median(adr) AS m FROM hb),
-filled AS (SELECT hb.* REPLACE (COALESCE(adr, med.m) AS adr) FROM hb, med),
-p AS (SELECT quantile_cont(adr, 0.99) AS p99 FROM filled),
-cl AS (SELECT arrival_date, hotel, is_canceled, lead_time, stays_in_weekend_nights, stays_in_week_nights, country,
-  CASE WHEN adr < 0 THEN 0.0 WHEN adr > p99 THEN p99 ELSE adr END AS adr FROM filled, p
-  WHERE year(arrival_date) BETWEEN 1995 AND 2030)""", f"""
+years AS (SELECT * FROM hb WHERE year(arrival_date) BETWEEN 1996 AND 2000),
+filled AS (SELECT * REPLACE (coalesce(adr, (SELECT median(adr) FROM years)) AS adr) FROM years),
+cl AS (SELECT * REPLACE (least(greatest(adr, 0.0), (SELECT quantile_cont(adr, 0.99) FROM filled)) AS adr) FROM filled)""", f"""
 SELECT {cols('arrival_date', 'hotel', 'is_canceled', 'lead_time', 'stays_in_weekend_nights',
              'stays_in_week_nights', 'country', 'adr:d')} FROM cl"""))
 def p1_clean_hotel_bookings(spark, sf_dir):
     """Cleaning with exact median fill and p99 clip.  The test data lies in
-    1995-2001, so the year window is [1995, 2030] instead of the default [2015, 2030]."""
-    # The exact median / p99 read their input several times: cut the CSV-parse
-    # lineage once (reliable checkpoint in the shared checkpoint folder).
+    1995-2001, so the year window is [1996, 2000] instead of the default [2015, 2030];
+    rows outside it take no part in the median."""
+    # The exact median / p99 read their input several times: parse the CSV once.
     b = cut_lineage(L.load_hotel_bookings(spark, hotel_csv(spark, sf_dir)))
-    c = CL.clean_hotel_bookings(b, 1995, 2030)
+    c = CL.clean_hotel_bookings(b, 1996, 2000)
     return c.select("arrival_date", "hotel", "is_canceled", "lead_time", "stays_in_weekend_nights",
                     "stays_in_week_nights", "country", "adr")
 
@@ -196,9 +193,9 @@ def s6_load_visas_csv(spark, sf_dir):
 def write_store(spark, sf_dir) -> str:
     """K1 + K2: the store (engineered fact by month, crisis and destination tables)."""
     root = scratch_path(spark, "store")
-    K.write_daily_metrics(engineered_fact(spark, sf_dir), os.path.join(root, "daily_metrics"))
-    K.replace_table(K.conform_crisis_events(fx.crisis_events(spark)), os.path.join(root, "crisis_events"))
-    K.replace_table(K.conform_destinations(fx.destinations(spark, sf_dir)), os.path.join(root, "destinations"))
+    K.write_daily_metrics(engineered_fact(spark, sf_dir), posixpath.join(root, "daily_metrics"))
+    K.replace_table(K.conform_crisis_events(fx.crisis_events(spark)), posixpath.join(root, "crisis_events"))
+    K.replace_table(K.conform_destinations(fx.destinations(spark, sf_dir)), posixpath.join(root, "destinations"))
     return root
 
 
@@ -213,7 +210,7 @@ STORE_COLS = cols("date", "destination_id", "crisis_id", "bookings", "cancellati
 def k1_write_read_fact(spark, sf_dir):
     """K1: engineered fact written partitioned by month and read back."""
     root = write_store(spark, sf_dir)
-    return K.read_daily_metrics(spark, os.path.join(root, "daily_metrics"))
+    return K.read_daily_metrics(spark, posixpath.join(root, "daily_metrics"))
 
 
 @register("s7_load_db_range", with_fixtures(FEAT_SQL, f"""
@@ -264,12 +261,48 @@ def k5_copy_and_reconcile(spark, sf_dir):
            "fact_visas": fx.fact_visas(spark, sf_dir)}
     pairs = {}
     for name, df in src.items():
-        p = os.path.join(root, name)
+        p = posixpath.join(root, name)
         K.replace_table(K.nullify_null_words(df), p)
         pairs[name] = (df, spark.read.parquet(p))
     return Q.reconcile_counts(pairs)
 
 
+NULL_WORDS = {"REGION_0": " NaN ", "REGION_1": "None", "REGION_2": "nat", "REGION_3": "  "}
+
+
+@register("k5_null_words", with_fixtures("", f"""
+SELECT destination_id, destination_name, IF(region IN ({", ".join(f"'{r}'" for r in NULL_WORDS)}), NULL, region) AS region FROM destinations"""))
+def k5_null_words(spark, sf_dir):
+    """K5: a table whose regions are partly spelled-out missing values, copied and read back."""
+    words = F.create_map(*[F.lit(x) for pair in NULL_WORDS.items() for x in pair])
+    d = fx.destinations(spark, sf_dir)
+    spelled = d.withColumn("region", F.coalesce(F.try_element_at(words, F.col("region")), F.col("region")))
+    path = scratch_path(spark, "null-words")
+    K.replace_table(K.nullify_null_words(spelled), path)
+    return spark.read.parquet(path).select("destination_id", "destination_name", "region")
+
+
+@register("k2_crisis_events", with_fixtures("", """
+SELECT crisis_id, crisis_name, crisis_start_date, CAST(NULL AS DATE) AS crisis_end_date, CAST(NULL AS VARCHAR[]) AS affected_regions
+FROM crisis_events"""))
+def k2_crisis_events(spark, sf_dir):
+    """K2: crises replaced from a frame without end dates and regions -> NULL."""
+    path = scratch_path(spark, "crises-k2")
+    K.replace_table(K.conform_crisis_events(fx.crisis_events(spark).drop("crisis_end_date", "affected_regions")), path)
+    return spark.read.parquet(path)
+
+
+@register("k6_json_special_numbers", with_fixtures("", """
+SELECT '{"destination_id":"' || destination_id || '","ratio":' || CASE WHEN bookings = 0 OR cancellations = 0 THEN 'null'
+  ELSE CAST(bookings AS VARCHAR) || '.0' END || '}' AS json FROM daily_metrics"""))
+def k6_json_special_numbers(spark, sf_dir):
+    """K6: NaN and infinite doubles become null."""
+    b, c = F.col("bookings"), F.col("cancellations")
+    special = F.when(b == 0, F.lit(float("nan"))).when((c == 0) & (b % 2 == 0), F.lit(float("inf"))).when(c == 0, F.lit(float("-inf")))
+    m = fx.daily_metrics(spark, sf_dir).select("destination_id", special.otherwise(b.cast("double")).alias("ratio"))
+    return K.to_json_records(m)
+
+
 @register("k6_json_records", with_fixtures("", """
 SELECT to_json(struct_pack(date := strftime(date, '%Y-%m-%d'), destination_id := destination_id,
   source_market := source_market, bookings := bookings, cancellations := cancellations,
@@ -295,17 +328,23 @@ def k7_key_and_null_checks(spark, sf_dir):
     return Q.key_and_null_checks(engineered_fact(spark, sf_dir))
 
 
-def indicator_pages(spark, sf_dir, per_page: int = 1000) -> str:
+# Nation and year parity whose values the indicator source does not know.
+UNKNOWN_NATION, UNKNOWN_PARITY = "NATION_3", 0
+
+
+def indicator_pages(spark, sf_dir, per_page: int = 50) -> str:
     """Yearly arrivals per origin nation (non-canceled reservations) as indicator JSON
-    pages, one page document per line; years with fewer than 20 arrivals are written
-    with a null value (the reader drops them)."""
+    pages of about ``per_page`` items, one page document per line; the even years of one
+    nation have a null value (the reader drops them)."""
     r = fx.reservations(spark, sf_dir)
-    yearly = r.groupBy(F.col("source_market").alias("cid"), F.year("arrival_date").alias("year")).agg(
-        F.count_if(F.col("is_canceled") == 0).alias("arrivals"))
+    yearly = cut_lineage(r.groupBy(F.col("source_market").alias("cid"), F.year("arrival_date").alias("year")).agg(
+        F.count_if(F.col("is_canceled") == 0).alias("arrivals")))
+    known = (F.col("cid") != UNKNOWN_NATION) | (F.col("year") % 2 != UNKNOWN_PARITY)
     item = F.struct(F.struct(F.col("cid").alias("id"), F.initcap(F.regexp_replace("cid", "_", " ")).alias("value"))
                     .alias("country"), F.col("year").cast("string").alias("date"),
-                    F.when(F.col("arrivals") >= 20, F.col("arrivals").cast("double")).alias("value"))
-    pages = yearly.withColumn("page", F.pmod(F.hash("cid", "year"), F.lit(max(1, per_page // 100))))
+                    F.when(known, F.col("arrivals").cast("double")).alias("value"))
+    n_pages = yearly.agg(F.ceil(F.count(F.lit(1)) / per_page)).scalar()
+    pages = yearly.withColumn("page", F.pmod(F.hash("cid", "year"), n_pages))
     docs = pages.groupBy("page").agg(F.collect_list(item).alias("items")).select(
         F.concat(F.lit("["), F.to_json(F.struct(F.col("page").alias("page"), F.lit(per_page).alias("per_page"))),
                  F.lit(","), F.to_json("items"), F.lit("]")).alias("value"))
@@ -314,11 +353,11 @@ def indicator_pages(spark, sf_dir, per_page: int = 1000) -> str:
     return path
 
 
-@register("s9_indicator_json", with_fixtures("", """
+@register("s9_indicator_json", with_fixtures("", f"""
 SELECT source_market AS country_code, 'Nation ' || substr(source_market, 8) AS country_name,
   CAST(year(arrival_date) AS INTEGER) AS year, CAST(COUNT(*) FILTER (WHERE is_canceled = 0) AS DOUBLE) AS arrivals
-FROM reservations GROUP BY source_market, year(arrival_date) HAVING COUNT(*) FILTER (WHERE is_canceled = 0) >= 20"""))
+FROM reservations WHERE source_market <> '{UNKNOWN_NATION}' OR year(arrival_date) % 2 <> {UNKNOWN_PARITY}
+GROUP BY source_market, year(arrival_date)"""))
 def s9_indicator_json(spark, sf_dir):
     """Indicator JSON pages -> (country_code, country_name, year, arrivals)."""
     return L.load_indicator_json(spark, indicator_pages(spark, sf_dir))
-

@@ -3,7 +3,7 @@ A46-A48, A51, A52, X8, X9)."""
 
 from __future__ import annotations
 
-from shockspark.functions.exprs import round_to
+from shockspark.functions.exprs import to_fixed
 from shockspark.operators import kpis as KP
 from shockspark.plans.catalog import register
 from shockspark.plans.sqlkit import cols
@@ -158,7 +158,7 @@ def t4_top12_market_share(spark, sf_dir):
 
     o = KP.ota_kpis(_fact(spark, sf_dir)).filter(F.col("market_share_pct") > 0)
     return o.orderBy(F.col("market_share_pct").desc(), "destination_id").limit(12).select(
-        "destination_id", round_to("market_share_pct", 2).alias("market_share_pct"))
+        "destination_id", to_fixed("market_share_pct", 2).alias("market_share_pct"))
 
 
 @register("a25_ota_rollup", with_fixtures(TL_SQL + """,
@@ -194,7 +194,7 @@ def _hist_sql(expr, src_where, bins, first_closed=False):
     return with_fixtures(f"vals AS (SELECT {expr} AS v FROM daily_metrics WHERE {src_where}),\nh AS (" +
                          "\n UNION ALL ".join(parts) + ")", """
 SELECT bin, category, count, CASE WHEN (SELECT SUM(count) FROM h) > 0
-  THEN round(count / (SELECT SUM(count) FROM h) * 100, 1) ELSE 0.0 END AS pct FROM h""")
+  THEN round_even(count / (SELECT SUM(count) FROM h) * 100, 1) ELSE 0.0 END AS pct FROM h""")
 
 
 @register("a29_length_of_stay_histogram", _hist_sql("avg_length_of_stay", "avg_length_of_stay IS NOT NULL", KP.LOS_BINS))
@@ -222,7 +222,7 @@ m4 AS (SELECT *, leisure + business + family + grp + luxury AS rt FROM m3),
 r AS (SELECT 1 AS ord, 'Leisure' AS category, leisure AS raw, tb, rt FROM m4
   UNION ALL SELECT 2, 'Business', business, tb, rt FROM m4 UNION ALL SELECT 3, 'Family', family, tb, rt FROM m4
   UNION ALL SELECT 4, 'Group', grp, tb, rt FROM m4 UNION ALL SELECT 5, 'Luxury', luxury, tb, rt FROM m4)""", """
-SELECT ord, category, CAST(floor(tb * raw / rt) AS BIGINT) AS count, round(raw / rt * 100, 1) AS pct FROM r"""))
+SELECT ord, category, CAST(floor(tb * raw / rt) AS BIGINT) AS count, round_even(raw / rt * 100, 1) AS pct FROM r"""))
 def a31_traveler_mix(spark, sf_dir):
     """Traveler-type mix heuristic."""
     return KP.traveler_mix(_fact(spark, sf_dir))
@@ -232,7 +232,7 @@ def a31_traveler_mix(spark, sf_dir):
 f AS (SELECT travel_type, CAST(SUM(bookings) AS BIGINT) AS bookings, SUM(search_demand) AS search_demand,
   SUM(room_nights) AS room_nights, AVG(adr) AS avg_adr FROM daily_metrics WHERE travel_type IS NOT NULL GROUP BY 1)""", """
 SELECT travel_type, bookings, round(search_demand, 6) AS search_demand, round(room_nights, 6) AS room_nights,
-  round(avg_adr, 6) AS avg_adr, round(bookings / (SELECT SUM(bookings) FROM f) * 100, 1) AS share_pct FROM f"""))
+  round(avg_adr, 6) AS avg_adr, round_even(bookings / (SELECT SUM(bookings) FROM f) * 100, 1) AS share_pct FROM f"""))
 def a32_travel_type_flows(spark, sf_dir):
     """Travel-type flows with booking share."""
     return KP.travel_type_flows(_fact(spark, sf_dir))

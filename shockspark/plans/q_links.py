@@ -53,8 +53,6 @@ _project("f6_destination_baseline_features", ["date", "destination_id", "adr_cha
          "J3: per-destination baseline left-joined (missing -> global mean, 0 -> 1).")
 _project("a9_sankey_flows", ["source", "target", "value"], "j6_losers_gainers_pairs",
          "J6: pairs of the top losers and top gainers (k x k, from two limit(k) frames).")
-_project("m4_accuracy_trend_season", ["destination_id", "metric", "model", "n"], "j9_forecast_actual_join",
-         "J9: forecast and actual paired by (series, date) with an inner join (n = paired days).")
 _project("a24_ota_kpis", ["destination_id", "bookings", "avg_lead_time_days"], "j11_lead_time_in_group",
          "J11: mean lead time folded into the same group-by instead of a LEFT join.")
 _project("m7_recovery_timeline", ["destination_id", "recovery_50_date", "recovery_90_date", "recovery_100_date"],

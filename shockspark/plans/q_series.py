@@ -254,3 +254,35 @@ FROM tr LEFT JOIN pm2 ON tr.destination_id = pm2.destination_id AND tr.metric =
 def w6_decompose_extrapolated(spark, sf_dir):
     """W6 option: decomposition with the trend extrapolated linearly at both ends."""
     return SE.decompose(dense(spark, sf_dir), extrapolate=True)
+
+
+INDEX_COLUMNS = ("bookings", "cancellations", "search_demand", "adr", "room_nights")
+
+
+@register("x5_index_to_30_day_mean", with_fixtures("""
+g AS (SELECT destination_id, date, SUM(bookings) AS bookings, SUM(cancellations) AS cancellations, SUM(search_demand) AS search_demand,
+  AVG(adr) AS adr, SUM(room_nights) AS room_nights FROM daily_metrics GROUP BY 1, 2),
+b AS (SELECT destination_id, """ + ", ".join(f"AVG({c}) AS {c}" for c in INDEX_COLUMNS) + """
+  FROM g WHERE date BETWEEN DATE '1998-05-02' AND DATE '1998-05-31' GROUP BY 1)""", "SELECT g.destination_id, g.date, " + ", ".join(
+    f"round(g.{c} / NULLIF(b.{c}, 0) * 100, 6) AS {c}_index" for c in INDEX_COLUMNS) + """
+FROM g LEFT JOIN b USING (destination_id)"""))
+def x5_index_to_30_day_mean(spark, sf_dir):
+    """X5 (documented extra): all metrics as an index of their 30-day pre-crisis mean."""
+    return SE.index_to_mean(fx.daily_metrics(spark, sf_dir), CRISIS_START)
+
+
+@register("x6_weekly_vs_prior_year", with_fixtures("""
+wk AS (SELECT destination_id, CAST(date_trunc('week', date) AS DATE) AS week, CAST(SUM(bookings) AS BIGINT) AS bookings FROM daily_metrics GROUP BY 1, 2)""", """
+SELECT a.destination_id, a.week, a.bookings, b.bookings AS prior_year, round(a.bookings / NULLIF(b.bookings, 0) * 100, 6) AS demand_index
+FROM wk a LEFT JOIN wk b ON a.destination_id = b.destination_id AND date_diff('day', b.week, a.week) = 364"""))
+def x6_weekly_vs_prior_year(spark, sf_dir):
+    """X6 (documented extra): weekly bookings against the same week of the prior year."""
+    return SE.weekly_vs_prior_year(fx.daily_metrics(spark, sf_dir))
+
+
+@register("x12_normalized_grid_weekly", with_fixtures("""
+m AS (SELECT destination_id, CAST(date_trunc('week', date) AS DATE) AS period, CAST(SUM(bookings) AS BIGINT) AS bookings FROM daily_metrics GROUP BY 1, 2)""", """
+SELECT destination_id, period, bookings, round(bookings / NULLIF(AVG(bookings) OVER (PARTITION BY destination_id), 0) * 100, 6) AS index FROM m"""))
+def x12_normalized_grid_weekly(spark, sf_dir):
+    """X12 (documented extra): destination x week normalized index grid."""
+    return SE.normalized_grid(fx.daily_metrics(spark, sf_dir), "week")

@@ -12,7 +12,7 @@ from shockspark.sources.fixture_sql import with_fixtures
 
 # Request context of the test queries: a summer window after crisis 1.
 CTX = TR.TravelContext.of("1998-06-01", "1998-08-31")
-CTX_DEST = TR.TravelContext.of("1998-06-01", "1998-08-31", destination="NATION_5", travel_type="international")
+CTX_DEST = TR.TravelContext.of("1998-06-01", "1998-08-31", destination="NATION_19", travel_type="international")
 W = CTX.windows()
 
 
@@ -129,7 +129,7 @@ def a41_travel_funnel(spark, sf_dir):
 @register("a42_monthly_load_factor", with_fixtures(f"""
 g AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, SUM(seat_capacity) AS sc,
   SUM(seat_capacity * load_factor) AS pax FROM fact_flights WHERE {_between('cur')} GROUP BY 1)""", """
-SELECT date, COALESCE(round(round(pax / NULLIF(sc, 0) * 100, 2), 6), 0.0) AS load_factor_pct FROM g ORDER BY date DESC LIMIT 24"""))
+SELECT date, COALESCE(round(round_even(pax / NULLIF(sc, 0) * 100, 2), 6), 0.0) AS load_factor_pct FROM g ORDER BY date DESC LIMIT 24"""))
 def a42_monthly_load_factor(spark, sf_dir):
     """Monthly load factor of the context, last 24 months."""
     return TR.monthly_load_factor(fx.fact_flights(spark, sf_dir), CTX)
@@ -138,7 +138,7 @@ def a42_monthly_load_factor(spark, sf_dir):
 @register("a42_monthly_load_factor_all", with_fixtures("""
 g AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, SUM(seat_capacity) AS sc,
   SUM(seat_capacity * load_factor) AS pax FROM fact_flights GROUP BY 1)""", """
-SELECT date, COALESCE(round(round(pax / NULLIF(sc, 0) * 100, 2), 6), 0.0) AS load_factor_pct FROM g ORDER BY date DESC LIMIT 24"""))
+SELECT date, COALESCE(round(round_even(pax / NULLIF(sc, 0) * 100, 2), 6), 0.0) AS load_factor_pct FROM g ORDER BY date DESC LIMIT 24"""))
 def a42_monthly_load_factor_all(spark, sf_dir):
     """Monthly load factor without a date filter (last 24 of all months)."""
     return TR.monthly_load_factor(fx.fact_flights(spark, sf_dir), TR.TravelContext())
@@ -213,11 +213,13 @@ def j8_windowed_flight_totals(spark, sf_dir):
 
 @register("j10_crisis_filter_present", with_fixtures("", """
 SELECT CAST(SUM(bookings) AS BIGINT) AS bookings, COUNT(*) AS row_count FROM daily_metrics
-WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-08-31' AND crisis_id = 1"""))
+WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-08-31' AND travel_type = 'international' AND total_reservations % 2 = 1"""))
 def j10_crisis_filter_present(spark, sf_dir):
-    """Crisis 1 occurs in the fact, so the crisis filter applies."""
-    ctx = TR.TravelContext.of("1998-06-01", "1998-08-31", crisis_id=1)
-    m = TR.filter_metrics_ctx(fx.daily_metrics(spark, sf_dir), ctx)
+    """Crisis 2 occurs in a part of the fact, so the crisis filter applies."""
+    ctx = TR.TravelContext.of("1998-06-01", "1998-08-31", crisis_id=2)
+    part = (F.col("travel_type") == "international") & (F.col("total_reservations") % 2 == 1)
+    fact = fx.daily_metrics(spark, sf_dir).withColumn("crisis_id", F.when(part, 2).otherwise(F.col("crisis_id")))
+    m = TR.filter_metrics_ctx(fact, ctx)
     return m.agg(F.sum("bookings").alias("bookings"), F.count(F.lit(1)).alias("row_count"))
 
 
@@ -234,22 +236,42 @@ def j10_crisis_filter_absent(spark, sf_dir):
 
 @register("a36_bookings_daily", with_fixtures("", """
 SELECT date, CAST(SUM(bookings) AS BIGINT) AS bookings, round(SUM(room_nights), 6) AS room_nights FROM daily_metrics
-WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-08-31' AND destination_id = 'NATION_5' AND travel_type = 'international'
+WHERE date BETWEEN DATE '1997-06-01' AND DATE '1998-08-31' AND destination_id = 'NATION_19' AND travel_type = 'international'
 GROUP BY date"""))
 def a36_bookings_daily(spark, sf_dir):
     """Daily bookings in a destination + travel-type context."""
-    return TR.bookings_daily(fx.daily_metrics(spark, sf_dir), CTX_DEST)
+    ctx = TR.TravelContext.of("1997-06-01", "1998-08-31", destination="NATION_19", travel_type="international")
+    return TR.bookings_daily(fx.daily_metrics(spark, sf_dir), ctx)
 
 
 @register("p5_travel_measures_filtered", with_fixtures(f"""
 ft AS (SELECT CAST(COALESCE(SUM(flights_count), 0) AS DOUBLE) AS flights_total FROM fact_flights
-  WHERE {_between('cur')} AND destination_id = 'NATION_5' AND origin_country <> destination_id),
+  WHERE {_between('cur')} AND destination_id = 'NATION_19' AND origin_country <> destination_id),
 vt AS (SELECT CAST(COALESCE(SUM(visa_issued), 0) AS DOUBLE) AS visa_issued FROM fact_visas
-  WHERE {_between('cur')} AND destination_id = 'NATION_5' AND origin_country <> destination_id),
+  WHERE {_between('cur')} AND destination_id = 'NATION_19' AND origin_country <> destination_id),
 bt AS (SELECT CAST(COALESCE(SUM(bookings), 0) AS DOUBLE) AS total_bookings FROM daily_metrics
-  WHERE {_between('cur')} AND destination_id = 'NATION_5' AND travel_type = 'international')""", """
+  WHERE {_between('cur')} AND destination_id = 'NATION_19' AND travel_type = 'international')""", """
 SELECT round(flights_total, 6) AS flights_total, round(visa_issued, 6) AS visa_issued,
   round(total_bookings, 6) AS total_bookings FROM ft, vt, bt"""))
 def p5_travel_measures_filtered(spark, sf_dir):
     """P5 in the payload: destination + international filter on all three facts."""
     return _measures(spark, sf_dir, CTX_DEST).select("flights_total", "visa_issued", "total_bookings")
+
+
+@register("p7_travel_context_of_crisis", with_fixtures("", """
+SELECT CAST(SUM(bookings) AS BIGINT) AS bookings, COUNT(DISTINCT date) AS days, MIN(date) AS first_day, MAX(date) AS last_day
+FROM daily_metrics, crisis_events e WHERE e.crisis_id = 2 AND date BETWEEN e.crisis_start_date AND e.crisis_end_date"""))
+def p7_travel_context_of_crisis(spark, sf_dir):
+    """A request with a crisis and no dates runs over that crisis's dates."""
+    ctx = TR.TravelContext.of(crisis_id=2).resolved(fx.crisis_events(spark))
+    daily = TR.bookings_daily(fx.daily_metrics(spark, sf_dir), ctx)
+    return daily.agg(F.sum("bookings").alias("bookings"), F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"),
+                     F.max("date").alias("last_day"))
+
+
+@register("a37_seats_vs_bookings", with_fixtures("", f"""
+SELECT 'Seat capacity' AS label, round_even(SUM(seat_capacity), 0) AS value FROM fact_flights WHERE {_between('cur')}
+UNION ALL SELECT 'Bookings', CAST(SUM(bookings) AS DOUBLE) FROM daily_metrics WHERE {_between('cur')}"""))
+def a37_seats_vs_bookings(spark, sf_dir):
+    """Seat capacity beside bookings."""
+    return TR.seats_vs_bookings(fx.fact_flights(spark, sf_dir), fx.daily_metrics(spark, sf_dir), CTX)

@@ -11,7 +11,8 @@ into the daily fact per (day, destination) with a watermark on the arrival date:
   ``overwrite`` of that one partition, so a batch replayed after a failure rewrites
   the same files (idempotent, no duplicates);
 * readers take the newest version of each key (``max_by`` over ``batch_id``), one
-  ``groupBy`` - the log-structured upsert a table format would do with MERGE.
+  ``groupBy`` - the log-structured upsert a table format would do with MERGE - from
+  the last snapshot that ``compact`` wrote and the batches after it.
 
 Rows older than the watermark when they arrive are dropped by the engine.  The
 checkpoint location keeps offsets and state, so a restarted query continues where it
@@ -20,8 +21,9 @@ stopped.
 
 from __future__ import annotations
 
-import os
+import posixpath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +64,7 @@ def _writer(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(os.path.join(out, "updates")))
+         .partitionBy("batch_id").parquet(posixpath.join(out, "updates")))
     return write
 
 
@@ -75,9 +77,35 @@ def run_incremental(spark: SparkSession, landing: str, out: str, checkpoint: str
     q.awaitTermination()
 
 
+def _snapshot(spark: SparkSession, out: str) -> tuple[int, DataFrame | None]:
+    """The last batch that a snapshot covers, and that snapshot (-1 and None without one)."""
+    try:
+        snapshots = spark.read.parquet(posixpath.join(out, "snapshots"))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return -1, None
+        raise
+    upto = snapshots.agg(F.max("upto")).first()[0]
+    return upto, snapshots.filter(F.col("upto") == upto).drop("upto")
+
+
 def read_incremental_fact(spark: SparkSession, out: str) -> DataFrame:
-    """Current fact: the newest version of every (date, destination) key."""
-    u = spark.read.parquet(os.path.join(out, "updates"))
-    vals = [c for c in u.columns if c not in KEY + ["batch_id"]]
-    latest = u.groupBy(*KEY).agg(F.max_by(F.struct(*vals), "batch_id").alias("v"))
-    return latest.select(*KEY, *[F.col(f"v.{c}").alias(c) for c in vals])
+    """Current fact: the newest version of every (date, destination) key, from the last
+    snapshot and the batches after it."""
+    upto, snapshot = _snapshot(spark, out)
+    log = spark.read.parquet(posixpath.join(out, "updates")).filter(F.col("batch_id") > upto)
+    if snapshot is not None:
+        log = log.unionByName(snapshot.withColumn("batch_id", F.lit(upto)))
+    values = [c for c in log.columns if c not in KEY + ["batch_id"]]
+    latest = log.groupBy(*KEY).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return latest.select(*KEY, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """Write the current fact as a snapshot, so that readers no longer fold the batches it
+    covers; these, and older snapshots, may then be removed."""
+    upto, snapshot = _snapshot(spark, out)
+    newest = spark.read.parquet(posixpath.join(out, "updates")).agg(F.max("batch_id")).first()[0]
+    if newest is not None and newest > upto:
+        (read_incremental_fact(spark, out).withColumn("upto", F.lit(newest)).write.mode("append").partitionBy("upto")
+         .parquet(posixpath.join(out, "snapshots")))

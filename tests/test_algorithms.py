@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from shockspark.functions.quantiles import quantiles
-from shockspark.functions.ranking import value_positions, with_average_rank, with_rank
+from shockspark.functions.ranking import spearman, value_positions, with_rank
 
 values = st.lists(st.one_of(st.none(), st.integers(-20, 20).map(float), st.floats(-1e3, 1e3, allow_nan=False)),
                   min_size=1, max_size=60)
@@ -31,13 +31,12 @@ def test_rank_matches_pandas(spark, xs, desc):
 
 
 @SETTINGS
-@given(xs=values)
-def test_average_rank_matches_pandas(spark, xs):
-    df = _frame(spark, xs)
-    got = {r["v"]: r["ar"] for r in with_average_rank(df, "v", "ar").distinct().collect() if r["v"] is not None}
-    s = pd.Series([x for x in xs if x is not None], dtype=float)
-    want = dict(zip(s, s.rank(method="average")))
-    assert got == pytest.approx(want)
+@given(pairs=st.lists(st.tuples(st.integers(-3, 3).map(float), st.integers(-3, 3).map(float)), min_size=2, max_size=60))
+def test_spearman_matches_pandas(spark, pairs):
+    got = spearman(spark.createDataFrame(pairs, "x double, y double"), "x", "y").first()[0]
+    x, y = (pd.Series(c).rank() for c in zip(*pairs))
+    want = x.corr(y) if x.nunique() > 1 and y.nunique() > 1 else None
+    assert got is None if want is None else got == pytest.approx(want, abs=1e-9)
 
 
 @SETTINGS

@@ -49,3 +49,35 @@ def test_travel_measures_run_each_aggregate_once(spark):
     jobs = sc.statusTracker().getJobIdsForGroup("travel-measures")
     sc.setJobGroup("other", "other")
     assert len(jobs) <= 12
+
+
+def test_no_catalogue_plan_holds_a_nested_loop_or_cartesian_join(spark):
+    """Initial plans of every reference query that is built without running models."""
+    import __spark_entry__ as E
+
+    slow = {"m2_gbt_lag_forecast", "m6_tree_accuracy", "r1_incremental_daily_fact", "pipeline"}
+    for name, query in E.queries().items():
+        if name in slow or name.startswith("op"):
+            continue
+        plan = query(spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_date_range_prunes_month_partitions(spark):
+    from shockspark.plans.q_io import write_store
+    from shockspark.sources.loaders import load_db
+
+    fact = load_db(spark, write_store(spark, SF0001), "1998-01-15", "1998-02-10")["daily_metrics"]
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.month for r in fact.select("month").distinct().collect()} == {"1998-01", "1998-02"}
+
+
+def test_travel_and_ota_measures_scan_each_fact_once(spark):
+    from shockspark.operators import kpis as K
+
+    facts = fx.fact_flights(spark, SF0001), fx.fact_visas(spark, SF0001), fx.daily_metrics(spark, SF0001)
+    for df, scans in ((TR.shock_trend(*facts, TR.TravelContext()), 3), (K.ota_rollup(facts[2]), 1), (K.volatility(facts[2]), 1),
+                      (K.booking_value_per_destination(facts[2]), 1)):
+        df.collect()
+        assert _plan(df).count("FileScan parquet") == scans
