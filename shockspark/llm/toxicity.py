@@ -21,7 +21,8 @@ the evidence of each labelled text and, where there is any, on the logarithm of
 length, with the classes weighted as they occur.
 
 Learning uses at most ``MAX_TEXTS`` labelled texts of each class (the least by a hash of
-the id), and at most ``MAX_SENTENCES`` of their sentences; scoring reads whole texts.
+the id), and for the first machine at most ``MAX_SENTENCES`` of their sentences of each
+class (evenly spaced ones); scoring reads whole texts.
 
 Defined results: null and empty texts have no evidence and the score of all such texts,
 the share of toxic ones among them as fitted; equal texts get equal scores; a training set without one of the classes gives the
@@ -47,7 +48,7 @@ DECAY, SPAN, LONGEST, CODES = 0.75, 5, 30, 64
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 LANDMARKS = (60, 24, 12)
 SUSPECT = -0.5
-MAX_TEXTS, MAX_SENTENCES, MEMORY = 3000, 80_000, 500_000
+MAX_TEXTS, MAX_SENTENCES, MEMORY = 1200, 25_000, 500_000
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\w(?:[ .*_-]{1,2}\w){2,}(?!\S)")
 NO_WORD = re.compile(r"[\W_]+")
@@ -161,23 +162,21 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def choose_landmarks(texts: list[list[list[str]]], labels: np.ndarray) -> Landmarks:
-    """Words typical of the toxic texts, look-alikes in clean texts, frequent clean words."""
-    toxic, clean = Counter(), Counter()
-    for sentences, y in zip(texts, labels):
-        (toxic if y else clean).update(set().union(*sentences) if sentences else ())
-    p, n = labels.sum(), len(labels) - labels.sum()
-    odds = {w: math.log((c + 0.5) / (p + 1) * (n + 1) / (clean[w] + 0.5)) for w, c in toxic.items()}
-    typical = sorted((w for w in toxic if toxic[w] > 1 and odds[w] > 1), key=lambda w: (-toxic[w] * odds[w], w))[:LANDMARKS[0]]
-    typical = typical or [w for w, _ in toxic.most_common(LANDMARKS[0])] or ["a"]
-    others = sorted((w for w in clean if odds.get(w, -1) < 0), key=lambda w: (-clean[w], w))
+def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> Landmarks:
+    """Words typical of the toxic texts, look-alikes in clean texts, frequent clean words;
+    ``toxic`` and ``clean``: in how many texts of each class a word stands, ``texts``: the
+    number of texts of each class."""
+    odds = np.log((toxic + 0.5) / (texts[0] + 1) * (texts[1] + 1) / (clean + 0.5))
+    order = np.lexsort((np.array(words), -toxic * odds))
+    typical = [words[i] for i in order if toxic[i] > 1 and odds[i] > 1][:LANDMARKS[0]]
+    typical = typical or [words[i] for i in np.argsort(-toxic, kind="stable")[:LANDMARKS[0]]]
     first = Landmarks(typical)
-    near: list[tuple[float, str]] = []
+    others = [i for i in np.lexsort((np.array(words), -clean)) if clean[i] and odds[i] < 0]
+    near = np.zeros(len(others))
     for a in range(0, len(others), 2000):
-        some = others[a:a + 2000]
-        near += [(-k * math.log1p(clean[w]), w) for k, w in zip(first.kernel(some).max(1).tolist(), some)]
-    alike = [w for _, w in sorted(near)[:LANDMARKS[1]]]
-    return Landmarks(list(dict.fromkeys([*typical, *alike, *others[:LANDMARKS[2]]])))
+        near[a:a + 2000] = first.kernel([words[i] for i in others[a:a + 2000]]).max(1)
+    alike = np.argsort(-near * np.log1p(clean[others]), kind="stable")[:LANDMARKS[1]]
+    return Landmarks(list(dict.fromkeys([*typical, *(words[others[i]] for i in alike), *(words[i] for i in others[:LANDMARKS[2]])])))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -188,8 +187,13 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     penalty[-1] = 1e-6
     active = np.ones(len(y), bool)
     for _ in range(25):
-        xa, ca = x[active], weight[active]
-        w = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(penalty), (xa * ca[:, None]).T @ y[active])
+        left, right = np.diag(penalty), np.zeros(x.shape[1])
+        for a in range(0, len(y), 8192):  # in blocks, to hold one block in double precision
+            some = active[a:a + 8192]
+            block, c = x[a:a + 8192][some].astype(np.float64), weight[a:a + 8192][some]
+            left = left + (block * c[:, None]).T @ block
+            right += block.T @ (c * y[a:a + 8192][some])
+        w = np.linalg.solve(left, right)
         now = y * (x @ w) < 1
         if (now == active).all():
             break
@@ -214,27 +218,36 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0, 0.0))
-    split = [sentence_words(t) for t in texts]
-    landmarks = choose_landmarks(split, y)
+    vocabulary: dict[str, int] = {}
+    flat, ends = [], []  # word numbers of each text, and where its sentences end
+    for text in texts:
+        sentences = sentence_words(text)
+        flat.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], np.int32))
+        ends.append(np.cumsum([len(s) for s in sentences], dtype=np.int32))
+    words = list(vocabulary)
+    if not words:
+        return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0, 0.0))
+    standing = np.zeros((2, len(words)), np.int64)
+    for t, numbers in enumerate(flat):
+        standing[y[t], np.unique(numbers)] += 1
+    landmarks = choose_landmarks(words, standing[1], standing[0], (int(y.sum()), int(len(y) - y.sum())))
     own = landmarks.kernel(landmarks.words).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-3
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: features = kernel @ root
-    every = max(1, math.ceil(sum(map(len, split)) / MAX_SENTENCES))
-    owner, chosen = [], []
-    for t, sentences in enumerate(split):
-        for i, s in enumerate(sentences):
-            if y[t] or (i + t) % every == 0:  # of clean texts
-                owner.append(t)
-                chosen.append(s)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in chosen for w in s))}
-    names = list(vocabulary)
-    mapped = np.zeros((len(names), root.shape[1]), np.float32)
-    for a in range(0, len(names), 2000):
-        mapped[a:a + 2000] = landmarks.kernel(names[a:a + 2000]) @ root
-    x = np.ones((len(chosen), root.shape[1] + 1))
-    for i, s in enumerate(chosen):
-        x[i, :-1] = mapped[[vocabulary[w] for w in s]].sum(0)
+    mapped = np.zeros((len(words), root.shape[1]), np.float32)
+    for a in range(0, len(words), 2000):
+        mapped[a:a + 2000] = landmarks.kernel(words[a:a + 2000]) @ root
+    every = [max(1, math.ceil(sum(len(e) for e, z in zip(ends, y) if z == c) / MAX_SENTENCES)) for c in (0, 1)]
+    rows, owner = [], []
+    for t, (numbers, end) in enumerate(zip(flat, ends)):
+        if len(end):
+            sums = np.add.reduceat(mapped[numbers], np.r_[0, end[:-1]], axis=0)[t % every[y[t]]::every[y[t]]]
+            rows.append(sums)
+            owner += [t] * len(sums)
+    x = np.ones((len(owner), root.shape[1] + 1), np.float32)
+    x[:, :-1] = np.concatenate(rows)
+    del rows
     owner = np.array(owner)
     of = y[owner]
     sign = np.where(of == 1, 1.0, -1.0)
@@ -245,15 +258,14 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, owner, margin)
         sign = np.where((of == 1) & ((margin > 0) | (margin >= best[owner])), 1.0, -1.0)
-    value = mapped @ w[:-1] + w[-1] > SUSPECT
-    known = {n: mapped[i] for i, n in enumerate(names) if value[i]}
+    suspect = mapped @ w[:-1] + w[-1] > SUSPECT
     z = np.zeros((len(y), root.shape[1] + 3))
     z[:, -3] = 1
-    for t, sentences in enumerate(split):
-        evidence = [known[n] for s in sentences for n in s if n in known]
-        if evidence:
-            z[t, :-3] = np.sum(evidence, axis=0)
-            z[t, -2:] = 1, math.log1p(sum(map(len, sentences)))
+    for t, numbers in enumerate(flat):
+        evidence = numbers[suspect[numbers]]
+        if len(evidence):
+            z[t, :-3] = mapped[evidence].sum(0)
+            z[t, -2:] = 1, math.log1p(len(numbers))
     u = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
     weights = np.stack([root @ w[:-1], root @ u[:-3]]).astype(np.float32)
     return ToxicityModel(landmarks, weights, float(w[-1]), tuple(u[-3:].tolist()))
