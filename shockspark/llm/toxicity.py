@@ -15,10 +15,12 @@ each distinct word is valued once per worker (a bounded memory, forgotten when f
 Training: sentences of the labelled texts, first labelled as their text; then, twice, the
 sentences of toxic texts that fall on the clean side count as clean (each toxic text keeps
 its best sentence) and the machine is fitted again.  Words that the machine values above
-``SUSPECT`` are the evidence of a text; how much one occurrence tells differs by word, so a
-second linear function of the same Nyström map, a logistic one, is fitted on the sums over
-the evidence of each labelled text and, where there is any, on the logarithm of the text's
-length, with the classes weighted as they occur.
+``SUSPECT`` are the evidence of a text; how much one tells differs by word, so a second
+linear function of the same Nyström map is fitted to the logarithm of how much more often
+a suspect word stands in toxic texts than in clean ones.  The score is a logistic function
+of the sums of the evidence for and against over a text's different words and, where there
+is any, of the logarithm of the text's length; it is fitted on the labelled texts with the
+classes weighted as they occur.
 
 Learning uses at most ``MAX_TEXTS`` labelled texts of each class (the least by a hash of
 the id), and for the first machine at most ``MAX_SENTENCES`` of their sentences of each
@@ -131,13 +133,12 @@ class Landmarks:
 @dataclass
 class ToxicityModel:
     """Landmarks; each landmark's weight in a word's margin (first row) and in its evidence
-    (second row); the margin's bias; of the logistic function the bias, and the bias and the
-    length weight of texts with evidence."""
+    (second row); the biases of both; the weights of the logistic function (see ``figures``)."""
 
     landmarks: Landmarks | None
     weights: np.ndarray
-    bias: float
-    logit: tuple[float, float, float]
+    bias: tuple[float, float]
+    logit: np.ndarray
     known: dict[str, float] = field(default_factory=dict)
 
     def learn(self, words: list[str]) -> None:
@@ -146,22 +147,29 @@ class ToxicityModel:
             self.known.clear()
         for a in range(0, len(words), 2000):
             some = words[a:a + 2000]
-            margin, evidence = (self.landmarks.kernel(some) @ self.weights.T).T
-            self.known.update(zip(some, np.where(margin + self.bias > SUSPECT, evidence, 0.0).tolist()))
+            margin, evidence = (self.landmarks.kernel(some) @ self.weights.T + np.array(self.bias)).T
+            self.known.update(zip(some, np.where(margin > SUSPECT, evidence, 0.0).tolist()))
 
     def score(self, text: str) -> float:
         """Likelihood of label 1."""
         if self.landmarks is None:
             return float(self.logit[0])
         words = [w for s in sentence_words(text) for w in s]
-        self.learn(list(set(words).difference(self.known)))
-        evidence = [v for v in map(self.known.__getitem__, words) if v]
-        z = self.logit[0]
-        if evidence:
-            z += self.logit[1] + self.logit[2] * math.log1p(len(words)) + sum(evidence)
+        different = set(words)
+        self.learn(list(different.difference(self.known)))
+        z = float(np.dot(self.logit, figures([v for v in map(self.known.__getitem__, different) if v], len(words))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def figures(evidence: list[float], length: int) -> tuple[float, float, float, float, float]:
+    """What the logistic function sees of a text: 1; if there is evidence, 1, the sums for
+    and against (in order, so that they do not depend on it), and the log of the length."""
+    if not evidence:
+        return 1.0, 0.0, 0.0, 0.0, 0.0
+    ordered = sorted(evidence)
+    return 1.0, 1.0, sum(v for v in ordered if v > 0), sum(v for v in ordered if v < 0), math.log1p(length)
+
+
 def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> Landmarks:
     """Words typical of the toxic texts, look-alikes in clean texts, frequent clean words;
     ``toxic`` and ``clean``: in how many texts of each class a word stands, ``texts``: the
@@ -217,7 +225,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
     """The model of labelled texts; ``toxic_share``: how often label 1 occurs."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0, 0.0))
+        return ToxicityModel(None, np.zeros((2, 0)), (0.0, 0.0), np.array([toxic_share]))
     vocabulary: dict[str, int] = {}
     flat, ends = [], []  # word numbers of each text, and where its sentences end
     for text in texts:
@@ -226,7 +234,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         ends.append(np.cumsum([len(s) for s in sentences], dtype=np.int32))
     words = list(vocabulary)
     if not words:
-        return ToxicityModel(None, np.zeros((2, 0)), 0.0, (toxic_share, 0.0, 0.0))
+        return ToxicityModel(None, np.zeros((2, 0)), (0.0, 0.0), np.array([toxic_share]))
     standing = np.zeros((2, len(words)), np.int64)
     for t, numbers in enumerate(flat):
         standing[y[t], np.unique(numbers)] += 1
@@ -259,16 +267,16 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         np.maximum.at(best, owner, margin)
         sign = np.where((of == 1) & ((margin > 0) | (margin >= best[owner])), 1.0, -1.0)
     suspect = mapped @ w[:-1] + w[-1] > SUSPECT
-    z = np.zeros((len(y), root.shape[1] + 3))
-    z[:, -3] = 1
-    for t, numbers in enumerate(flat):
-        evidence = numbers[suspect[numbers]]
-        if len(evidence):
-            z[t, :-3] = mapped[evidence].sum(0)
-            z[t, -2:] = 1, math.log1p(len(numbers))
-    u = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
-    weights = np.stack([root @ w[:-1], root @ u[:-3]]).astype(np.float32)
-    return ToxicityModel(landmarks, weights, float(w[-1]), tuple(u[-3:].tolist()))
+    odds = np.log((standing[1] + 0.5) / (y.sum() + 1) * (len(y) - y.sum() + 1) / (standing[0] + 0.5))
+    told = np.hstack([mapped[suspect].astype(np.float64), np.ones((int(suspect.sum()), 1))])
+    often = standing[:, suspect].sum(0)
+    u = np.linalg.solve((told * often[:, None]).T @ told + np.eye(told.shape[1]), (told * often[:, None]).T @ odds[suspect])
+    value = np.zeros(len(words))
+    value[suspect] = told @ u
+    z = np.array([figures([v for v in value[np.unique(numbers)].tolist() if v], len(numbers)) for numbers in flat])
+    logit = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
+    weights = np.stack([root @ w[:-1], root @ u[:-1]]).astype(np.float32)
+    return ToxicityModel(landmarks, weights, (float(w[-1]), float(u[-1])), logit)
 
 
 def held_out(key: Column) -> Column:
