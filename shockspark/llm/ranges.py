@@ -26,7 +26,7 @@ def range_of(value: Column, bounds: list) -> Column:
         F.coalesce(F.get(held, low + half - 1) <= value, F.lit(False)), low + half).otherwise(low))
 
 
-def deal(df: DataFrame, order: str, payload: str, rows_per_range: int = 1000) -> tuple[DataFrame, str, str]:
+def deal(df: DataFrame, order: str, payload: str, rows_per_range: int = 250) -> tuple[DataFrame, str, str]:
     """``df`` hash-partitioned by range of the text or number column ``order``, with the
     guests; returns it with the names of the added columns: the range and the side (0: a
     row of its own, -1 and 1: a guest from the range before or after, which has values
