@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shockspark.llm.common import at, fresh
 
 MAX_RANGES = 4096
+KEYS_PER_RANGE = 20
 
 
 def range_of(value: Column, bounds: list) -> Column:
@@ -33,12 +34,15 @@ def deal(df: DataFrame, order: str, payload: str, rows_per_range: int = 250) ->
     in ``order`` and ``payload`` only).  After the last range comes the first and the other
     way round (a guest that wrapped keeps its side)."""
     part, side = fresh(df, "key_range"), fresh(df, "guest_side")
-    ranges = max(1, min(MAX_RANGES, df.count() // rows_per_range))
+    count = df.count()
+    ranges = max(1, min(MAX_RANGES, count // rows_per_range))
     bounds = []
     if ranges > 1:
-        keys = df.select(at(order).alias("k")).repartitionByRange(ranges, "k")
-        found = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).collect()  # a row per range
-        bounds = sorted({r.k for r in found if r.k is not None})[1:]
+        # every n-th key by hash, about KEYS_PER_RANGE * MAX_RANGES at most, to place the bounds
+        every = max(1, count // (ranges * KEYS_PER_RANGE))
+        keys = df.select(at(order).alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).distinct()
+        drawn = sorted(r.k for r in keys.collect() if r.k is not None)
+        bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)} if drawn else ())
     keyed = df.withColumn(part, range_of(at(order), bounds))
     ends = sorted(keyed.groupBy(at(part).alias("r")).agg(F.min(at(order)).alias("a"), F.max(at(order)).alias("b")).collect())
     guests = []
