@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +47,9 @@ MARKED = set("ad ads advert adverts advertisement sponsor sponsored promo promot
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+HOLDERS = {"li", "td", "th", "dd", "blockquote"}
 KEPT_OPEN = BLOCKS - {"hr", "option"}
+NOTHING = ("", False, False, False, "")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|<[!?][^<>]*>",
                    re.S | re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|itemprop|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w=-])""", re.I)
@@ -75,7 +78,8 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, place) of every line of a page."""
     lines: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, marked, in article, in main
+    stack: list[tuple[str, bool, bool, bool, str]] = []  # tag, marked, in article, in main, kind of block
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     block = ""
 
@@ -83,7 +87,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, marked, article, main = stack[-1] if stack else ("", False, False, False)
+            _, marked, article, main, _ = stack[-1] if stack else NOTHING
             lines.append([text, marked, article, main, block in PARAGRAPHS])
 
     position = 0
@@ -102,18 +106,21 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         flush()
         if token[2]:
-            block = ""
-            if tag in KEPT_OPEN and any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                block = next((s[0] for s in reversed(stack) if s[0] in PARAGRAPHS), "")
+            if opened[tag]:
+                while True:
+                    ended = stack.pop()[0]
+                    opened[ended] -= 1
+                    if ended == tag:
+                        break
+            block = stack[-1][4] if stack else ""
         elif tag in KEPT_OPEN:
             if tag == "p" and stack and stack[-1][0] == "p" or tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
-                stack.pop()  # these end where the next one begins
-            _, marked, article, main = stack[-1] if stack else ("", False, False, False)
+                opened[stack.pop()[0]] -= 1  # these end where the next one begins
+            _, marked, article, main, outer = stack[-1] if stack else NOTHING
             own, is_main = _marked(tag, token[4], article or main) if token[4].strip() or tag in SKIPPED or tag in ("header", "main") else (False, False)
-            stack.append((tag, marked or own, article or tag == "article", main or is_main))
-            block = tag if tag in PARAGRAPHS else block if block in ("li", "td", "th", "dd", "blockquote") else ""
+            block = tag if tag in PARAGRAPHS else outer if outer in HOLDERS else ""
+            stack.append((tag, marked or own, article or tag == "article", main or is_main, block))
+            opened[tag] += 1
     parts.append(page[position:])
     flush()
     inside = 2 if any(x[2] and not x[1] for x in lines) else 3 if any(x[3] and not x[1] for x in lines) else None
