@@ -186,3 +186,14 @@ def test_autoregression_of_a_constant_and_of_a_short_series(spark):
     out = rows(FC.seasonal_ar_forecast(train, (), horizon=5), ["metric", "date"])
     assert [(r["forecast"], r["lower"], r["upper"]) for r in out[:5]] == [(7.0, 7.0, 7.0)] * 5
     assert [(r["forecast"], r["lower"], r["upper"]) for r in out[5:]] == [(11.0, 11.0 * 0.8, 11.0 * 1.2)] * 5
+
+
+def test_scratch_folders_can_be_removed(spark, tmp_path, monkeypatch):
+    from shockspark import session
+
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    df = session.cut_lineage(spark.range(5), "five")
+    assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    session.remove_scratch(spark)
+    assert list(tmp_path.iterdir()) == []
