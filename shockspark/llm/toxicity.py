@@ -52,25 +52,52 @@ LANDMARKS = (60, 24, 12)
 SUSPECT = -0.5
 MAX_TEXTS, MAX_SENTENCES, MEMORY = 1200, 25_000, 500_000
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
-SPELLED = re.compile(r"(?<!\S)\w(?:[ .*_-]{1,2}\w){2,}(?!\S)")
 NO_WORD = re.compile(r"[\W_]+")
+COMMON = ".,;:!?\"'()*#$%&-"
+
+
+def tokens_of(text: str) -> list[str]:
+    """The lower-case tokens of a text without the commonest characters that are no part of
+    a word."""
+    text = text.lower()
+    for mark in COMMON:
+        if mark in text:
+            text = text.replace(mark, "")
+    return text.split()
+
+
+def words_of(token: str) -> list[str]:
+    """The word of a lower-case token without white space: its letters and digits; a very
+    long one is cut into overlapping pieces."""
+    word = token if token.isalnum() else NO_WORD.sub("", token)
+    if len(word) > LONGEST:
+        return [word[i:i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    return [word] if word else []
+
+
+def spelled_words(tokens: list[str]) -> list[str]:
+    """Words spelled letter by letter: three or more tokens in a row with one letter each
+    (tokens without any are skipped)."""
+    if sum(len(t) < 3 for t in tokens) < 3:
+        return []
+    out, run = [], []
+    for token in [*tokens, "end"]:
+        word = token if token.isalnum() else NO_WORD.sub("", token) if len(token) < 4 else token
+        if len(word) == 1:
+            run.append(word)
+        elif word:
+            if len(run) > 2:
+                out += words_of("".join(run))
+            run = []
+    return out
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    """The words of each sentence that has any: lower case, letters and digits only; a
-    spelled-out word (letters one by one) is joined, a very long one cut into overlapping
-    pieces."""
-    text = SPELLED.sub(lambda m: NO_WORD.sub("", m[0]), text.lower())
+    """The words of each sentence that has any."""
     out = []
-    for sentence in SENTENCE_END.split(text):
-        words = []
-        for word in sentence.split():
-            if not word.isalnum():
-                word = NO_WORD.sub("", word)
-            if len(word) > LONGEST:
-                words += [word[i:i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
-            elif word:
-                words.append(word)
+    for sentence in SENTENCE_END.split(text.lower()):
+        tokens = sentence.split()
+        words = [w for token in tokens for w in words_of(token)] + spelled_words(tokens)
         if words:
             out.append(words)
     return out
@@ -139,25 +166,40 @@ class ToxicityModel:
     weights: np.ndarray
     bias: tuple[float, float]
     logit: np.ndarray
-    known: dict[str, float] = field(default_factory=dict)
-
-    def learn(self, words: list[str]) -> None:
-        """Evidence of words not met before: 0 unless the word is suspect."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
+    known: dict[str, tuple] = field(default_factory=dict)
+
+    def learn(self, tokens: list[str]) -> None:
+        """The words with evidence, and its size, of tokens not met before."""
+        plain, odd = [], []
+        for t in tokens:
+            (plain if len(t) <= LONGEST and t.isalnum() else odd).append(t)
+        pieces = {t: words_of(t) for t in odd}
+        words = [*plain, *{w for ws in pieces.values() for w in ws}]
+        found = {}
         for a in range(0, len(words), 2000):
             some = words[a:a + 2000]
             margin, evidence = (self.landmarks.kernel(some) @ self.weights.T + np.array(self.bias)).T
-            self.known.update(zip(some, np.where(margin > SUSPECT, evidence, 0.0).tolist()))
+            found.update((some[i], ((some[i], float(evidence[i])),)) for i in np.flatnonzero(margin > SUSPECT))
+        self.known.update(dict.fromkeys(plain, ()))
+        self.known.update((t, found[t]) for t in plain if t in found)
+        self.known.update((t, tuple(pair for w in ws for pair in found.get(w, ()))) for t, ws in pieces.items())
+
+    def evidence(self, tokens: list[str]) -> list[float]:
+        """The evidence of the different words of a text."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        different = {*tokens, *spelled_words(tokens)}
+        new = different.difference(self.known)
+        if new:
+            self.learn(list(new))
+        return list(dict(pair for found in filter(None, map(self.known.__getitem__, different)) for pair in found).values())
 
     def score(self, text: str) -> float:
         """Likelihood of label 1."""
         if self.landmarks is None:
             return float(self.logit[0])
-        words = [w for s in sentence_words(text) for w in s]
-        different = set(words)
-        self.learn(list(different.difference(self.known)))
-        z = float(np.dot(self.logit, figures([v for v in map(self.known.__getitem__, different) if v], len(words))))
+        tokens = tokens_of(text)
+        z = float(np.dot(self.logit, figures(self.evidence(tokens), len(tokens))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -228,6 +270,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         return ToxicityModel(None, np.zeros((2, 0)), (0.0, 0.0), np.array([toxic_share]))
     vocabulary: dict[str, int] = {}
     flat, ends = [], []  # word numbers of each text, and where its sentences end
+    length = [len(tokens_of(text)) for text in texts]
     for text in texts:
         sentences = sentence_words(text)
         flat.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], np.int32))
@@ -273,7 +316,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
     u = np.linalg.solve((told * often[:, None]).T @ told + np.eye(told.shape[1]), (told * often[:, None]).T @ odds[suspect])
     value = np.zeros(len(words))
     value[suspect] = told @ u
-    z = np.array([figures([v for v in value[np.unique(numbers)].tolist() if v], len(numbers)) for numbers in flat])
+    z = np.array([figures([v for v in value[np.unique(numbers)].tolist() if v], n) for numbers, n in zip(flat, length)])
     logit = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
     weights = np.stack([root @ w[:-1], root @ u[:-1]]).astype(np.float32)
     return ToxicityModel(landmarks, weights, (float(w[-1]), float(u[-1])), logit)

@@ -486,3 +486,17 @@ def test_quality_of_all_documents(spark):
     texts = texts_of(spark)
     for r in QUERIES["op10_quality_rules"](spark, SF0001).collect():
         assert tuple(r)[1:] == pytest.approx(brute_quality(texts[r.doc_id]))
+
+
+def test_forgetting_changes_no_result(monkeypatch, encoder, reference_tokenizer):
+    import pyarrow as pa
+
+    texts = ["you idiot, really", "a fine day. an idiot", "some words here no more", "the moron said", "a fine day", "you idiot, really"]
+    model = toxicity.fit(["you idiot", "an idiot", "the moron", "a moron here"] + ["a fine day", "some words here", "no more", "the text"] * 3,
+                         [1] * 4 + [0] * 12, 0.25)
+    scores = [model.score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMORY", 2)
+    assert [model.score(t) for t in texts] == scores
+    monkeypatch.setattr(bpe, "MEMORY", 2)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 5)
+    assert encoder.encode_array(pa.array(texts)).to_pylist() == [reference_tokenizer.encode_ordinary(t) for t in texts]
