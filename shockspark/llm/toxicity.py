@@ -7,7 +7,8 @@ away part of the likeness only.  Words carry a mark at either end, are normed by
 and the likeness is squared (a product of kernels).  Kernel of two sentences: the sum over
 their pairs of words.
 
-Landmarks are words of the labelled texts: those most typical of toxic texts, their nearest
+Landmarks are words of the labelled texts: those most typical of toxic texts (a large family
+of like words leaves room for others), their nearest
 look-alikes in clean texts, and frequent clean words.  With the Nyström map of these
 landmarks the machine is linear, so a sentence's margin is the sum of its words' values and
 each distinct word is valued once per worker (a bounded memory, forgotten when full).
@@ -49,8 +50,9 @@ from shockspark.llm.common import at, fresh, ship, text_or_empty, without
 DECAY, SPAN, LONGEST, CODES = 0.75, 5, 30, 64
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 LANDMARKS = (60, 24, 12)
+CANDIDATES, CROWD = 400, 2.5
 SUSPECT = -0.5
-MAX_TEXTS, MAX_SENTENCES, MEMORY = 1200, 25_000, 500_000
+MAX_TEXTS, MAX_SENTENCES, MEMORY = 1000, 25_000, 500_000
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
 NO_WORD = re.compile(r"[\W_]+")
 COMMON = ".,;:!?\"'()*#$%&-"
@@ -212,14 +214,29 @@ def figures(evidence: list[float], length: int) -> tuple[float, float, float, fl
     return 1.0, 1.0, sum(v for v in ordered if v > 0), sum(v for v in ordered if v < 0), math.log1p(length)
 
 
+def _spread(words: list[str], most: int) -> list[str]:
+    """The first words that are not crowded by earlier ones (by the sum of their kernels), so
+    that a large family of words leaves room for others; filled up in order."""
+    if not words:
+        return []
+    kernel = Landmarks(words).kernel(words)
+    taken, crowd = [], np.zeros(len(words))
+    for i in range(len(words)):
+        if len(taken) < most and crowd[i] < CROWD:
+            taken.append(i)
+            crowd += kernel[i]
+    rest = [i for i in range(len(words)) if i not in set(taken)]
+    return [words[i] for i in sorted(taken + rest[:most - len(taken)])]
+
+
 def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> Landmarks:
     """Words typical of the toxic texts, look-alikes in clean texts, frequent clean words;
     ``toxic`` and ``clean``: in how many texts of each class a word stands, ``texts``: the
     number of texts of each class."""
     odds = np.log((toxic + 0.5) / (texts[0] + 1) * (texts[1] + 1) / (clean + 0.5))
     order = np.lexsort((np.array(words), -toxic * odds))
-    typical = [words[i] for i in order if toxic[i] > 1 and odds[i] > 1][:LANDMARKS[0]]
-    typical = typical or [words[i] for i in np.argsort(-toxic, kind="stable")[:LANDMARKS[0]]]
+    likely = [words[i] for i in order if toxic[i] > 1 and odds[i] > 1][:CANDIDATES]
+    typical = _spread(likely, LANDMARKS[0]) or [words[i] for i in np.argsort(-toxic, kind="stable")[:LANDMARKS[0]]]
     first = Landmarks(typical)
     others = [i for i in np.lexsort((np.array(words), -clean)) if clean[i] and odds[i] < 0]
     near = np.zeros(len(others))
