@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from shockspark.llm.common import at, fresh, ship, text_or_empty, without
 
 MAX_RANKS = 1_000_000
-MEMORY = 400_000
+MEMORY = 250_000
 WIDE = 32
 CHUNK_CHARS = 1_000_000
 INF = np.int64(1) << 62
@@ -211,7 +211,10 @@ class Encoder:
                 some, chars = [], 0
         packed += self.encode(some)
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+        flat = b"".join(packed)
+        packed.clear()
+        ids = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])  # no copy
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
 
 
 _VOCABULARIES: dict[int, Vocabulary] = {}
