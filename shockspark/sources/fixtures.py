@@ -24,11 +24,11 @@ Scale notes
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shockspark.functions.broadcast import broadcast_rows
 from shockspark.schemas import CRISIS_EVENTS
 from shockspark.session import scratch_path
 
@@ -44,7 +44,7 @@ CRISIS_ROWS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _DIM_CHECKED: dict[tuple, bool] = {}
@@ -53,25 +53,22 @@ _DIM_CHECKED: dict[tuple, bool] = {}
 def _dimension(spark, sf_dir, name):
     """A dimension table, broadcast when its size check passes (checked once per
     session; nation and region have 25 and 5 rows at every scale factor)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     df = table(spark, sf_dir, name)
     if key not in _DIM_CHECKED:
-        _DIM_CHECKED[key] = df.limit(10_001).count() <= 10_000
+        _DIM_CHECKED[key] = df.limit(10_001).count() <= min(10_000, broadcast_rows(df))
     return F.broadcast(df) if _DIM_CHECKED[key] else df
 
 
-# Key -> attribute mappings (customer -> nation, supplier -> destination) are broadcast
-# while their row count is below this bound (a few dozen bytes per row, so well under
-# executor memory); beyond it they stay shuffle joins.  They grow with the scale factor
-# (1.5 M customers and 100 k suppliers per 10 GB), so the check is real.
-MAPPING_BROADCAST_ROWS = 2_000_000
-
-
 def _checked_broadcast(spark, sf_dir, name, df):
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), f"map-{name}")
+    """A key -> attribute mapping (customer -> nation, supplier -> destination; a row per row
+    of table ``name``), broadcast while its bytes allow; beyond that a shuffle join.  They
+    grow with the scale factor (1.5 M customers and 100 k suppliers per 10 GB), so the check
+    is real; it is made once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"map-{name}")
     if key not in _DIM_CHECKED:
-        n = table(spark, sf_dir, name).limit(MAPPING_BROADCAST_ROWS + 1).count()
-        _DIM_CHECKED[key] = n <= MAPPING_BROADCAST_ROWS
+        most = broadcast_rows(df)
+        _DIM_CHECKED[key] = table(spark, sf_dir, name).limit(most + 1).count() <= most
     return F.broadcast(df) if _DIM_CHECKED[key] else df
 
 
@@ -249,7 +246,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read the derived table ``name``; build and write it first if this session has
     not done so yet.  The files live in the shared checkpoint folder; the line-level
     join is written once and the daily facts are aggregated from it."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, f"fixture-{name}")
