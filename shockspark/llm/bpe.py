@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from shockspark.llm.common import at, fresh, ship, text_or_empty, without
 
 MAX_RANKS = 1_000_000
-MEMORY = 250_000
+MEMORY = 150_000
 WIDE = 32
 CHUNK_CHARS = 1_000_000
 INF = np.int64(1) << 62
@@ -201,19 +201,23 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
     def encode_array(self, texts: pa.Array) -> pa.Array:
-        packed: list[bytes] = []
+        flat, ends = bytearray(), [0]
         some, chars = [], 0
+
+        def add() -> None:
+            for packed in self.encode(some):
+                flat.extend(packed)
+                ends.append(len(flat) // 4)
+            some.clear()
+
         for t in texts:
             some.append(t.as_py() or "")
             chars += len(some[-1])
             if chars > CHUNK_CHARS:
-                packed += self.encode(some)
-                some, chars = [], 0
-        packed += self.encode(some)
-        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-        flat = b"".join(packed)
-        packed.clear()
-        ids = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])  # no copy
+                add()
+                chars = 0
+        add()
+        ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])  # no copy
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
 
 
@@ -239,8 +243,12 @@ def encoder(rank_file: bytes, pattern: str) -> Encoder:
 
 def decode_array(known: Vocabulary, ids: pa.Array) -> pa.Array:
     """The bytes of each id sequence."""
-    token = known.tokens.__getitem__
-    return pa.array([b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+    token, flat, ends = known.tokens.__getitem__, bytearray(), [0]
+    for x in ids:
+        if x.is_valid:
+            flat.extend(b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())))
+        ends.append(len(flat))
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.array(ends, "<i4")), pa.py_buffer(flat)])
 
 
 def _shared(spark: SparkSession, rank_path: str):
