@@ -379,6 +379,20 @@ def test_nothing_personal_stays(spark):
     assert len({b for s in swapped.values() for b in s}) == len({a.lower() for a in swapped})
 
 
+def test_whole_names_and_bare_surnames(spark):
+    text = ("Mr James Wilson met Mr. John Smith, Dr Brown, Emma Johnson, Mrs McDonald, Miss O'Brien, Prof. Dr. J. R. Tolkien, Herr Xaver von Aue and Mary-Jane Ray. "
+            "Smith and WILSON left; Brown's hat and O'Brien's bag stayed, Smithers and the Wilsons too.")
+    rows = [(1, text), (2, "The Smith sings, Brown is a colour. 10.0.0.1"), (3, "Mr Smith")]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k", counted="n").collect()}
+    m = re.fullmatch(r"Mr (\w+) ([A-Z][a-z]{5}) met Mr\. (\w+) ([A-Z][a-z]{4}), Dr ([A-Z][a-z]{4}), (\w+) ([A-Z][a-z]{6}), Mrs ([A-Z][a-z][A-Z][a-z]{5}), "
+                     r"Miss ([A-Z]'[A-Z][a-z]{4}), Prof\. Dr\. ([A-Z]\. [A-Z]\.) ([A-Z][a-z]{6}), Herr ([A-Z][a-z]{4}) von ([A-Z][a-z]{2}) and (\w+-\w+) ([A-Z][a-z]{2})\. "
+                     r"(\w+) and (\w+) left; (\w+)'s hat and (\w'\w+)'s bag stayed, Smithers and the Wilsons too\.", got[1].text)
+    assert m and got[1].n == 13, got[1]
+    assert not {"James", "Wilson", "John", "Smith", "Brown", "Emma", "Johnson", "McDonald", "O'Brien", "Tolkien", "Xaver", "Aue", "Mary-Jane", "Ray"} & set(m.groups())
+    assert m[16] == m[4] and m[17] == m[2].upper() and m[18] == m[5] and m[19] == m[9]
+    assert got[2].text.startswith("The Smith sings, Brown is a colour. ") and got[2].n == 1 and got[3].text == f"Mr {m[4]}"
+
+
 def test_colliding_surrogates_draw_again(spark):
     """Social security numbers have few forms here: 300 of 1000 with three digits that vary."""
     from pyspark.sql import functions as F
