@@ -393,6 +393,35 @@ def test_whole_names_and_bare_surnames(spark):
     assert got[2].text.startswith("The Smith sings, Brown is a colour. ") and got[2].n == 1 and got[3].text == f"Mr {m[4]}"
 
 
+PHONES = ["555-123-4567", "+15551234567", "+44 20 7946 0958", "+33 1 42 68 53 00", "+49 30 901820", "+34 612 34 56 78", "0171 1234567", "0044 20 7946 0958",
+          "01 42 68 53 00", "612 34 56 78", "030/901820", "+33.1.42.68.53.01", "+1 (555) 123-4567"]
+CARDS = ["378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000", "5555-5555-5555-4444"]
+IBANS = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+
+
+def test_telephone_card_and_account_forms(spark):
+    rows = list(enumerate(PHONES + CARDS + IBANS))
+    plain = ["378282246310006", "on 01-02-2024 or 2024-01-02", "12345678", "DE88 3704 0044 0532 0130 00", "3.141592653589", "1,234,567 or 0.1234567"]
+    text = [(i, f"see {x}, ok") for i, x in rows] + [(100 + i, x) for i, x in enumerate(plain)]
+    text.append((200, "+44 20 7946 0958 10.1.2.3 +49 30 901820 4111111111111111"))
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(text, "doc_id long, text string"), "k", counted="n").collect()}
+    new = {}
+    for i, x in rows:
+        shown = re.fullmatch("see (.*), ok", got[i].text)[1]
+        assert got[i].n == 1 and shown != x and re.sub(r"\d", "0", shown) == re.sub(r"\d", "0", x), (x, got[i])
+        new[x] = shown
+    for x, code in {"+15551234567": "+1", "+44 20 7946 0958": "+44 ", "+34 612 34 56 78": "+34 ", "+49 30 901820": "+49 ", "0171 1234567": "0"}.items():
+        assert new[x].startswith(code)
+    assert re.sub(r"\D", "", new["555-123-4567"]) == new["+15551234567"][2:]
+    assert new["0044 20 7946 0958"][5:] == new["+44 20 7946 0958"][4:] and new["030/901820"][1:].replace("/", "") == new["+49 30 901820"][4:].replace(" ", "")
+    assert all(luhn(re.sub(r"\D", "", new[x]).rjust(20, "0")) for x in CARDS)
+    for x in IBANS:
+        whole = new[x].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
+    assert [got[100 + i].text for i in range(len(plain))] == plain and all(got[100 + i].n == 0 for i in range(len(plain)))
+    assert got[200].n == 4
+
+
 def test_colliding_surrogates_draw_again(spark):
     """Social security numbers have few forms here: 300 of 1000 with three digits that vary."""
     from pyspark.sql import functions as F
