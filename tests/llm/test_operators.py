@@ -432,6 +432,19 @@ def test_colliding_surrogates_draw_again(spark):
     assert len(got) == 300 == len(known) == len({r.surrogate for r in got}) and not known & {r.surrogate for r in got}
 
 
+def test_formats_with_few_free_values(spark):
+    """105 surnames of consonant and vowel: the first 52 leave 53 free values, all 105 none."""
+    names = [c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    for n in (52, 105):
+        rows = [("surname", x) for x in names[:n]] + [("email", f"{x}@a.aa") for x in "bcdfg"] + [("surname", "smith")]
+        got = surrogates.distinct_surrogates(spark.createDataFrame(rows, "kind string, entity string"), "key").collect()
+        known = set(rows)
+        assert {(r.kind, r.entity) for r in got} == known and len({(r.kind, r.surrogate) for r in got}) == len(rows) == len(got)
+        assert not known & {(r.kind, r.surrogate) for r in got}
+        short = sum(len(r.surrogate) == 2 for r in got)
+        assert short == (52 if n == 52 else 0)
+
+
 # 9 ------------------------------------------------------------------------------------
 
 def brute_kernel(a, b, landmarks):
