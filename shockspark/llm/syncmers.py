@@ -8,10 +8,12 @@ overlap it.  The fingerprint is the sequence of the chosen k-mers' hashes in tex
 8 hex digits each; their word positions can be had, too.
 
 Likeness of two fingerprints: twice the number of shared distinct anchors over the sum of
-the distinct anchors (1 if both are empty).
+the distinct anchors (1 if both are empty).  It compares sets: order, positions and
+repetitions do not count.
 
-Defined results: a null or empty text has no anchors (an empty fingerprint); a text of
-fewer than k words has one anchor, the hash of all its words; equal texts have equal
+Defined results: a null or empty text has no anchors (an empty fingerprint); a text in
+which no k-mer is chosen (fewer than k words, or few more) has one anchor, the hash of all
+its words; equal texts have equal
 fingerprints; an empty table gives an empty table; input columns that clash with output
 names are replaced.
 """
@@ -54,14 +56,16 @@ def anchors(df: DataFrame, text: str = "text", out: str = "anchors", positions:
     # two steps of their own: inside one expression each use would be worked out again
     hashed = df.withColumn(h, F.transform(F.filter(cut, lambda w: w != ""), lambda w: F.xxhash64(w)))
     hashed = hashed.withColumn(m, F.transform(at(h), lambda x, i: F.xxhash64(x, *[F.get(at(h), i + t) for t in range(1, s)])))
-    few = F.size(at(h)) < k
     whole = F.when(F.size(at(h)) > 0, F.array(F.shiftright(F.aggregate(at(h), F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x)), 32).cast("int"))).otherwise(
         F.array().cast("array<int>"))
     kmer = _picked(at(h), at(m), k, s, lambda i: F.shiftright(F.xxhash64(*[F.get(at(h), i + t) for t in range(k)]), 32).cast("int"))
-    found = {out: F.when(few, whole).otherwise(kmer)}
+    c = fresh(df, "chosen_kmers")
+    hashed = hashed.withColumn(c, kmer)
+    none = F.size(at(c)) == 0
+    found = {out: F.when(none, whole).otherwise(at(c))}
     if positions:
-        found[positions] = F.when(few, F.transform(whole, lambda _: F.lit(0))).otherwise(_picked(at(h), at(m), k, s, lambda i: i))
-    return hashed.select(*[at(c) for c in without(df, *found).columns], *[c.alias(name) for name, c in found.items()])
+        found[positions] = F.when(none, F.transform(whole, lambda _: F.lit(0))).otherwise(_picked(at(h), at(m), k, s, lambda i: i))
+    return hashed.select(*[at(x) for x in without(df, *found).columns], *[x.alias(name) for name, x in found.items()])
 
 
 def as_text(marks: Column) -> Column:

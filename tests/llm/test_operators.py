@@ -169,6 +169,14 @@ def test_anchor_positions(spark, k, s):
     assert got[3].anchors == [] and got[3].places == []
 
 
+def test_texts_of_few_words_have_an_anchor(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n)) for n in (5, 6, 7) for _ in range(60)]
+    got = [r.anchors for r in syncmers.anchors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), positions="places").orderBy("doc_id").collect()]
+    assert all(got) and any(not brute_anchors(t) for t in texts) and len({tuple(a) for a in got}) == len(texts)
+    assert all(a == [x for x, _ in brute_anchors(t)] for a, t in zip(got, texts) if brute_anchors(t))
+
+
 def test_next_text_over_many_ranges(spark):
     rng = random.Random(2)
     ids = rng.sample(range(-10 ** 12, 10 ** 12), 4000)
