@@ -2,7 +2,8 @@
 
 A page is read into its text lines (one per block, in page order) with their places:
 inside an element that is never main text by its tag, role, class or hidden state
-(``MARKED``), inside the article or not, paragraph-like or not.  Pages of a host are
+(``MARKED``; by class only as a whole token, and not where it holds most of the paragraph
+text), inside the article or not, paragraph-like or not.  Pages of a host are
 ordered by url path; a page's partner is that of its two neighbours whose path agrees
 longer (the earlier one at a tie).  The lines of both are aligned by a longest common
 subsequence, and shared lines are taken for the site's frame and deleted.
@@ -44,27 +45,43 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 MARKED = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup "
              "modal newsletter subscribe signup sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer comment comments "
              "reply replies respond disqus share sharing social related recommended widget login toolbar pagination pager skip".split())
+#: Words that only say where or how something stands.
+LAYOUT = set("main site page global primary secondary left right top bottom upper lower inner outer box bar container wrapper wrap area block section list "
+             "item items slot unit links link buttons header".split())
+#: Raw elements whose text ends at their end tag or with the page, whatever their tag looks like.
+TEXT_ONLY = set("script style textarea title iframe".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 HOLDERS = {"li", "td", "th", "dd", "blockquote"}
 KEPT_OPEN = BLOCKS - {"hr", "option"}
-NOTHING = ("", False, False, False, "")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|<[!?][^<>]*>",
+NOTHING = ("", False, False, False, "", 0)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^<>]*>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|<[!?][^<>]*>",
                    re.S | re.I)
+END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|style|itemprop|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w=-])""", re.I)
 #: Places of a line.
 DROPPED, BARE, OPEN, KEPT = range(4)
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no main text, and whether it is the main part."""
-    marked, main = tag in SKIPPED or tag == "header" and not in_article, tag == "main"
+def _class_marked(value: str) -> bool:
+    """Whether a class or id has a token that is a marked word, or marked words together
+    with words of layout (not one of several other words, as in "has-sidebar")."""
+    for token in value.split():
+        words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+        if words & MARKED and words <= MARKED | LAYOUT:
+            return True
+    return False
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no main text for sure, whether by its class, and whether it is
+    the main part."""
+    marked, by_class, main = tag in SKIPPED or tag == "header" and not in_article, False, tag == "main"
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            marked |= bool(words & MARKED) or "header" in words and not in_article
+            by_class |= _class_marked(value) or "header" in re.split(r"[^a-z0-9]+", value) and not in_article
         elif name == "role":
             marked |= value in ROLES
             main |= value == "main"
@@ -72,13 +89,31 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             main |= value == "articlebody"
         else:
             marked |= bool(hidden) or value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return marked and tag not in ("body", "html"), main
+    free = tag in ("body", "html")
+    return marked and not free, by_class and not (free or main or tag == "article"), main
+
+
+def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
+    """The tags, comments and raw elements of a page, with the place where each ends.  A raw
+    element that is closed in its tag, or never, ends at once unless it is text only."""
+    position, missing = 0, set()
+    while token := TOKEN.search(page, position):
+        position, raw = token.end(), (token[1] or "").lower()
+        if raw and (raw in TEXT_ONLY or not token[0].endswith("/>")):
+            end = None if raw in missing else END[raw].search(page, position)
+            if end:
+                position = end.end()
+            else:
+                missing.add(raw)
+                position = len(page) if raw in TEXT_ONLY else position
+        yield token, position
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, place) of every line of a page."""
     lines: list[list] = []
-    stack: list[tuple[str, bool, bool, bool, str]] = []  # tag, marked, in article, in main, kind of block
+    stack: list[tuple[str, bool, bool, bool, str, int]] = []  # tag, marked, in article, in main, kind of block, element marked by class
+    parent: list[int] = [0]  # of each element marked by class, the one around it
     opened: Counter[str] = Counter()
     parts: list[str] = []
     block = ""
@@ -87,14 +122,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, marked, article, main, _ = stack[-1] if stack else NOTHING
-            lines.append([text, marked, article, main, block in PARAGRAPHS])
+            _, marked, article, main, _, element = stack[-1] if stack else NOTHING
+            lines.append([text, marked, article, main, block in PARAGRAPHS, element])
 
     position = 0
-    for token in TOKEN.finditer(page):
+    for token, end in _tokens(page):
         if token.start() > position:
             parts.append(page[position:token.start()])
-        position = token.end()
+        position = end
         tag = (token[3] or "").lower()
         if not tag:
             if token[1] and token[1].lower() == "title":
@@ -116,13 +151,30 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         elif tag in KEPT_OPEN:
             if tag == "p" and stack and stack[-1][0] == "p" or tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                 opened[stack.pop()[0]] -= 1  # these end where the next one begins
-            _, marked, article, main, outer = stack[-1] if stack else NOTHING
-            own, is_main = _marked(tag, token[4], article or main) if token[4].strip() or tag in SKIPPED or tag in ("header", "main") else (False, False)
+            _, marked, article, main, outer, element = stack[-1] if stack else NOTHING
+            own, by_class, is_main = _marked(tag, token[4], article or main) if token[4].strip() or tag in SKIPPED or tag in ("header", "main") else (False, False, False)
+            if by_class:
+                parent.append(element)
+                element = len(parent) - 1
             block = tag if tag in PARAGRAPHS else outer if outer in HOLDERS else ""
-            stack.append((tag, marked or own, article or tag == "article", main or is_main, block))
+            stack.append((tag, marked or own, article or tag == "article", main or is_main, block, element))
             opened[tag] += 1
     parts.append(page[position:])
     flush()
+    # an element marked by its class that holds most of the paragraph text is not marked
+    held = [0] * len(parent)
+    for x in lines:
+        if x[4] and not x[1]:
+            held[x[5]] += len(x[0])
+    total = sum(held)
+    for i in range(len(parent) - 1, 0, -1):
+        if parent[i]:
+            held[parent[i]] += held[i]
+    shut = [False] * len(parent)
+    for i in range(1, len(parent)):
+        shut[i] = shut[parent[i]] or 2 * held[i] <= total
+    for x in lines:
+        x[1] = x[1] or shut[x[5]]
     inside = 2 if any(x[2] and not x[1] for x in lines) else 3 if any(x[3] and not x[1] for x in lines) else None
     out = []
     for x in lines:

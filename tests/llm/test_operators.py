@@ -243,6 +243,18 @@ def test_marks_and_differencing(spark):
     assert got[5] == "Head\n\nBody" and got[6] == "" and got[7] == "open text & more"
 
 
+def test_classes_and_raw_elements_that_hold_text():
+    def text(page):
+        return pages.main_text(("h", "/", pages.lines_of(page)), None, None)
+
+    assert text("<article class='post has-sidebar'><p>one</p></article>") == "one" == text("<article class=comments><p>one</p></article>")
+    assert text("<p>long first text</p><div class='content no-comments'><p>b</p></div><div id=related-work><p>c</p></div><section class=social-policy><p>d</p></section>"
+                ) == "long first text\n\nb\n\nc\n\nd"
+    assert text("<div class=sidebar><p>all of the text stands here</p></div><p>end</p>") == "all of the text stands here\n\nend"
+    assert text("<p>the text of the page</p><div class='ad-banner'><p>buy</p></div><div class='left sidebar'><p>more</p></div>") == "the text of the page"
+    assert text("<p>a <svg d='x'/> b</p><p>c <object data=x> d</p><svg><p>no</p></svg><script>if (a) '<p>'</script><p>e</p>") == "a b\n\nc d\n\ne"
+
+
 # 6 ------------------------------------------------------------------------------------
 
 def brute_rule(rules, host, path):
