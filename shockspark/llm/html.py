@@ -222,23 +222,29 @@ def _agreement(a: str, b: str) -> int:
     return n
 
 
-def main_text(page: tuple, before: tuple | None, after: tuple | None) -> str:
-    """The main text of (host, path, lines) given its neighbours in path order."""
+def differenced(page: tuple, before: tuple | None, after: tuple | None) -> tuple[str, int]:
+    """The main text of (host, path, lines) given its neighbours in path order, and the
+    number of lines that the differencing deleted."""
     host, path, lines = page
     near = [p for p in (before, after) if p and p[0] == host]
     partner = max(near, key=lambda p: _agreement(path, p[1])) if near else None
-    asked = [i for i, (_, place) in enumerate(lines) if place in (BARE, OPEN)]
-    gone: set[int] = set()
-    if partner and asked:
-        shared = shared_lines([t for t, _ in lines], [t for t, _ in partner[2]])
-        gone = {i for i in asked if i in shared}
-        if len(gone) == len(asked) and not any(place == KEPT for _, place in lines):
-            gone = set()
-    return "\n\n".join(t for i, (t, place) in enumerate(lines) if place != DROPPED and i not in gone)
-
-
-def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str = "page_id", out: str = "text") -> DataFrame:
-    """The columns of ``df`` but the html, with the main text of each page as ``out``."""
+    gone = shared_lines([t for t, _ in lines], [t for t, _ in partner[2]]) if partner else set()
+    # the check: article paragraphs come back, all of a copy does, marked lines go
+    gone = {i for i in gone if lines[i][1] != KEPT}
+    asked = {i for i, (_, place) in enumerate(lines) if place in (BARE, OPEN)}
+    if asked <= gone and not any(place == KEPT for _, place in lines):
+        gone -= asked
+    return "\n\n".join(t for i, (t, place) in enumerate(lines) if place != DROPPED and i not in gone), len(gone)
+
+
+def main_text(page: tuple, before: tuple | None, after: tuple | None) -> str:
+    return differenced(page, before, after)[0]
+
+
+def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str = "page_id", out: str = "text",
+                 counted: str | None = None) -> DataFrame:
+    """The columns of ``df`` but the html, with the main text of each page as ``out``;
+    ``counted`` names an added column with the number of lines that differencing deleted."""
     ship(df.sparkSession)
     order, where = fresh(df, "url_order"), fresh(df, "url_parts")
     host, path = host_and_path(at(url))
@@ -249,8 +255,8 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
     keyed = parts.withColumn(order, sortable).drop(where)
     dealt, part, side = deal(keyed, order, html)
     dealt = dealt.sortWithinPartitions(part, side, order)
-    keep = [c for c in without(df, out).columns if c != html]
-    schema = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("text", T.StringType())])
+    keep = [c for c in without(df, out, *[counted] * bool(counted)).columns if c != html]
+    schema = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("text", T.StringType()), T.StructField("deleted", T.LongType())])
     dealt = dealt.select(*[at(c).alias(f"c{i}") for i, c in enumerate(keep)], at(part).alias("part"), at(side).alias("side"), at(order).alias("order"),
                          at(html).alias("html"))  # plain names for the Arrow batches
 
@@ -268,18 +274,20 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
         def finish(found, batch, following):
             """Texts of a batch's own rows; ``following``: the row after the batch."""
             nonlocal held
-            texts, take = [], []
+            texts, deleted, take = [], [], []
             for i, (p, s, _, page) in enumerate(found):
                 if s == 0:
                     before = held[1] if held and held[0] == p else None
                     nxt = found[i + 1] if i + 1 < len(found) else following
                     after = nxt[3] if nxt and nxt[0] == p and nxt[1] >= 0 else None
-                    texts.append(main_text(page, before, after))
+                    text, n = differenced(page, before, after)
+                    texts.append(text)
+                    deleted.append(n)
                     take.append(i)
                 if s <= 0:
                     held = (p, page)
             own = batch.take(pa.array(take, pa.int64()))
-            return pa.RecordBatch.from_arrays([*own.columns[:len(keep)], pa.array(texts, pa.string())], names=schema.names)
+            return pa.RecordBatch.from_arrays([*own.columns[:len(keep)], pa.array(texts, pa.string()), pa.array(deleted, pa.int64())], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -292,4 +300,4 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", key: str =
             yield finish(*waiting, None)
 
     found = dealt.mapInArrow(extracted, schema)
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(out))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(out), *[F.col("deleted").alias(counted) for _ in range(bool(counted))])

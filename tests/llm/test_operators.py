@@ -255,6 +255,12 @@ def test_classes_and_raw_elements_that_hold_text():
     assert text("<p>a <svg d='x'/> b</p><p>c <object data=x> d</p><svg><p>no</p></svg><script>if (a) '<p>'</script><p>e</p>") == "a b\n\nc d\n\ne"
 
 
+def test_differencing_runs_before_the_check():
+    frame = "<head><title>Site</title></head><nav>menu</nav><article><p>{}</p><p>quoted</p></article><footer>rights</footer>"
+    a, b = (("h", f"/{i}", pages.lines_of(frame.format(i))) for i in (1, 2))
+    assert pages.differenced(a, None, b) == ("1\n\nquoted", 2) and pages.differenced(a, None, None) == ("1\n\nquoted", 0)
+
+
 # 6 ------------------------------------------------------------------------------------
 
 def brute_rule(rules, host, path):
