@@ -75,3 +75,26 @@ placed as (select r.*, (select min(last) from ends where last >= bin) * {align}
                   substr(md5(concat_ws('/', doc_id, part, length)), 1, 3) as shard from rows r),
 numbered as (select *, row_number() over (partition by bucket order by shard, doc_id, part, length) - 1 as nth from placed)
 select doc_id, part, start, length, bucket, nth // ({budget} // bucket) as batch, nth % ({budget} // bucket) as place from numbered"""
+
+
+def hard_negatives() -> str:
+    """Every anchor's scores with all rows."""
+    return """
+with shifted as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.q, r.q)::bigint as score
+  from shifted a join shifted r on a.vec_id <> r.vec_id and len(a.q) = len(r.q) where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::integer as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5"""
