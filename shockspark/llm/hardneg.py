@@ -19,8 +19,8 @@ Rows without an id, a label or a vector, and those with a null or non-finite com
 (also after scaling), take no part.  Vectors of different lengths are not compared; those
 of no component score 0.  Ties go to the smaller id.  Repeated rows count as rows, but equal
 anchor rows are one anchor, and a row that bears the anchor's id is none of its partners.
-Scores beyond a long end the job with OverflowError.  An empty table gives no row.  Other
-columns are not read.
+Rows whose score with an anchor a long cannot hold are none of its partners.  An empty table
+gives no row.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -268,7 +268,8 @@ def reading(groups: DataFrame, batches: DataFrame, same: bool) -> DataFrame:
 # scores -------------------------------------------------------------------------------
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the whole-numbered rows of ``a`` and ``b``, exact, as int64."""
+    """Inner products of the whole-numbered rows of ``a`` and ``b``, exact, as int64; those
+    beyond a long become its least or greatest value."""
     if not a.shape[1] or not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     largest = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
@@ -276,7 +277,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         kind = np.float32 if largest < 1 << 24 else np.float64
         return (a.astype(kind, copy=False) @ b.astype(kind, copy=False).T).astype(np.int64)
     exact = np.frompyfunc(int, 1, 1)
-    return (exact(a) @ exact(b.astype(np.float64)).T).astype(np.int64)  # OverflowError beyond a long
+    return np.clip(exact(a) @ exact(b.astype(np.float64)).T, LEAST, MOST).astype(np.int64)
 
 
 def best_of_group(batch: Batch, group: dict, same: bool, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +297,7 @@ def best_of_group(batch: Batch, group: dict, same: bool, k: int, block: int) ->
         rows = slice(b * block, (b + 1) * block)
         found = products(batch.vectors[anchors], vectors[rows])
         fits = (labels[rows] == batch.labels[anchors][:, None]) == same
-        fits &= ids[rows] != batch.ids[anchors][:, None]
+        fits &= (ids[rows] != batch.ids[anchors][:, None]) & (found > LEAST) & (found < MOST)
         score = found[row]
         hit, column = np.nonzero(fits[row] & (score >= least[asking][:, None]) & (score <= batch.most[asking][:, None]))
         if not hit.size:
