@@ -5,8 +5,8 @@ The reference re-reads and re-filters both fact tables for each of seven shifted
 windows.  Here every window of a request is a literal date range and each fact is
 scanned **once**: one aggregate with a conditional sum per (window, measure), and the
 union of the window ranges is a pushed-down scan filter.  ``windowed_totals`` is the
-general form for a table of many windows (day-expanded equi-join, size-checked
-broadcast, one ``groupBy(window)``).
+general form for a table of many windows: each is the difference of two running totals
+(``cumulative.py``).
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockspark.functions.broadcast import bounded_broadcast
 from shockspark.functions.exprs import round_python, safe_div
+from shockspark.operators.cumulative import running_totals, window_totals
 
 # Lead-window shifts (days) and the stay estimate per booking.
 FLIGHT_LEADS = (30, 60)
@@ -370,12 +370,10 @@ def seats_vs_bookings(flights: DataFrame, fact: DataFrame, ctx: TravelContext) -
 
 
 def windowed_totals(df: DataFrame, windows: DataFrame, measures: dict) -> DataFrame:
-    """J8 general form: ``windows`` = (window, date_from, date_to); every window is
-    expanded to its days (size-checked broadcast) and equi-joined on ``date``; one
-    ``groupBy(window)`` gives all window totals from one scan of ``df``."""
-    days = windows.select("window", F.explode(F.sequence("date_from", "date_to")).alias("date"))
-    j = df.join(bounded_broadcast(days), "date")
-    return j.groupBy("window").agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in measures.items()])
+    """J8 general form: totals of every window (window, date_from, date_to) that has rows
+    in it, from the running totals of ``df`` (read once; no window is expanded)."""
+    totals = running_totals(df, {"_rows": F.lit(1).cast("bigint"), **measures})
+    return window_totals(totals, windows, ["_rows", *measures]).filter("_rows > 0").select("window", *measures)
 
 
 def context_windows(spark: SparkSession, ctx: TravelContext) -> DataFrame:

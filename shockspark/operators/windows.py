@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockspark.functions.broadcast import bounded_broadcast
+from shockspark.operators.cumulative import running_totals, window_totals
 
 PRE_CRISIS_DAYS = 30
 POST_CRISIS_DAYS = 30
@@ -96,6 +97,20 @@ def window_days(crises: DataFrame, pre_days: int = PRE_CRISIS_DAYS,
     return bounded_broadcast(days)
 
 
+def crisis_totals(fact: DataFrame, crises: DataFrame, measures: dict, key: str = "destination_id", pre_days: int = PRE_CRISIS_DAYS,
+                  post_days: int = POST_CRISIS_DAYS) -> DataFrame:
+    """SURVEY J4 by running totals: the sums of ``measures`` before and after every crisis
+    for every key, two look-ups a side instead of the fact's rows of each crisis window."""
+    totals = running_totals(fact.filter(F.col(key).isNotNull()), measures, (key,))
+    w = crisis_windows(crises, pre_days, post_days)
+    sides = w.select("crisis_id", F.explode(F.array(
+        F.struct(F.lit("pre").alias("side"), F.col("pre_start").alias("date_from"), F.col("pre_end").alias("date_to")),
+        F.struct(F.lit("post").alias("side"), F.col("post_start").alias("date_from"), F.col("post_end").alias("date_to")))).alias("w")).select("crisis_id", "w.*")
+    found = window_totals(totals, sides, list(measures), (key,))
+    return found.groupBy(key, "crisis_id").agg(*[F.sum(F.when(F.col("side") == side, F.col(m))).alias(f"{side}_{m}")
+                                                 for side in ("pre", "post") for m in measures])
+
+
 def lookup_crisis(crises: DataFrame, crisis_id: int | None = None) -> DataFrame:
     """SURVEY P6: the crisis with ``crisis_id``; an unknown (or no) id gives the earliest
     crisis.  One aggregate over the crisis table, returns one row."""

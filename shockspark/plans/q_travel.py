@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shockspark.operators import travel as TR
+from shockspark.operators.cumulative import running_totals, window_totals
 from shockspark.plans.catalog import register
 from shockspark.plans.sqlkit import cols, d
 from shockspark.sources import fixtures as fx
@@ -204,13 +205,29 @@ SELECT w.window_name AS window, CAST(COALESCE(SUM(f.flights_count), 0) AS BIGINT
   round(COALESCE(SUM(f.seat_capacity), 0), 6) AS seats
 FROM fact_flights f JOIN w ON f.date BETWEEN w.date_from AND w.date_to GROUP BY w.window_name"""))
 def j8_windowed_flight_totals(spark, sf_dir):
-    """Totals of all shifted windows from one scan (window table, day-expanded
-    equi-join, one group by)."""
+    """Totals of all shifted windows from running totals (one scan, two look-ups a window)."""
     wins = TR.context_windows(spark, CTX)
     return TR.windowed_totals(fx.fact_flights(spark, sf_dir), wins,
                               {"flights": F.col("flights_count").cast("bigint"), "seats": F.col("seat_capacity")})
 
 
+@register("j8_trailing_windows", with_fixtures("""
+ends AS (SELECT DISTINCT destination_id, date AS date_to FROM fact_flights),
+daily AS (SELECT destination_id, date, SUM(flights_count) AS n, SUM(seat_capacity) AS s FROM fact_flights GROUP BY ALL),
+lengths(days) AS (VALUES (7), (30), (90))""", """
+SELECT e.destination_id, e.date_to, days, CAST(SUM(n) AS BIGINT) AS flights, round(SUM(s), 6) AS seats
+FROM ends e, lengths, daily d WHERE d.destination_id = e.destination_id AND d.date <= e.date_to AND d.date > e.date_to - days
+GROUP BY e.destination_id, e.date_to, days"""))
+def j8_trailing_windows(spark, sf_dir):
+    """The trailing 7, 30 and 90 days of every destination and day with flights, all from
+    one table of running totals."""
+    flights = fx.fact_flights(spark, sf_dir)
+    ends = flights.select("destination_id", F.col("date").alias("date_to"), F.explode(F.array(*map(F.lit, (7, 30, 90)))).alias("days")).distinct()
+    totals = running_totals(flights, {"flights": F.col("flights_count"), "seats": F.col("seat_capacity")}, ("destination_id",))
+    windows = ends.withColumn("date_from", F.expr("date_add(date_to, 1 - days)"))
+    return window_totals(totals, windows, ["flights", "seats"], ("destination_id",)).drop("date_from")
+
+
 @register("j10_crisis_filter_present", with_fixtures("", """
 SELECT CAST(SUM(bookings) AS BIGINT) AS bookings, COUNT(*) AS row_count FROM daily_metrics
 WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-08-31' AND travel_type = 'international' AND total_reservations % 2 = 1"""))

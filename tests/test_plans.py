@@ -81,3 +81,16 @@ def test_travel_and_ota_measures_scan_each_fact_once(spark):
                       (K.booking_value_per_destination(facts[2]), 1)):
         df.collect()
         assert _plan(df).count("FileScan parquet") == scans
+
+
+def test_table_function_is_one_pushed_down_scan(spark):
+    from shockspark.functions.sql_objects import register_shock_sql
+
+    register_shock_sql(spark, fx.daily_metrics(spark, SF0001), "1998-06-01")
+    calls = {"SELECT * FROM demand_shock(DATE '1998-06-01', 30, 31)": ("1998-05-02", "1998-07-02"),
+             "SELECT destination_id FROM demand_shock(DATE '1997-01-10', 7, 10) WHERE crisis_id = 1": ("1997-01-03", "1997-01-20"),
+             "SELECT * FROM v_demand_shock_metrics": ("1998-05-02", "1998-07-02")}
+    for sql, (first, end) in calls.items():
+        plan = spark.sql(sql)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+        assert f"GreaterThanOrEqual(date,{first})" in plan and f"LessThan(date,{end})" in plan
