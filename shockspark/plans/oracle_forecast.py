@@ -129,3 +129,59 @@ left_side AS ({side('nc')}),
 right_side AS ({side('al')}),
 x16 AS (SELECT l.destination_id, l.metric, l.date, {ends('l', 'no_crisis')}, {ends('r', 'crisis')}, round(r.forecast - l.forecast, 6) AS impact
   FROM left_side l JOIN right_side r ON l.destination_id = r.destination_id AND l.metric = r.metric AND l.date = r.date)"""
+
+
+def regression_sql(name: str, src: str, part: str, y: str, xs: list[str], where: str = "true") -> str:
+    """Least squares of ``y`` on ``xs`` with intercept over the complete rows of ``src`` -> CTE
+    ``name`` (part, m, mean, variance, beta, base, sigma), by elimination in a recursive query."""
+    n, g = len(xs), f"GROUP BY {part}"
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])
+
+    def cell(a, b):
+        known = f"{a}_{b}" if (a, b) in pairs else f"{b}_{a}"
+        return f"{known} * (1 + 1e-6)" if a == b else known
+
+    rows = ", ".join("[" + ", ".join([*(cell(a, b) for b in xs), f"y_{a}"]) + "]" for a in xs)
+    own = " + ".join(f"beta[{xs.index(a) + 1}] * beta[{xs.index(b) + 1}] * {a}_{b} * {1 if a == b else 2}" for a, b in pairs)
+    return f"""
+{name}_m AS (SELECT {part}, COUNT(*) AS m, AVG({y}) AS mean, var_pop({y}) AS variance, {', '.join(f'AVG({x}) AS m_{x}' for x in xs)},
+  {', '.join(f'covar_pop({x}, {y}) AS y_{x}' for x in xs)}, {', '.join(f'covar_pop({a}, {b}) AS {a}_{b}' for a, b in pairs)}
+  FROM {src} WHERE {whole} AND {where} {g}),
+{name}_e AS (SELECT {part}, 1 AS k, [{rows}] AS a FROM {name}_m
+  UNION ALL SELECT {part}, k + 1, if(a[k][k] > 0, list_transform(a, lambda r, i: if(i = k, r, list_transform(r, lambda v, j: v - r[k] / a[k][k] * a[k][j]))), a)
+  FROM {name}_e WHERE k <= {n}),
+{name}_b AS (SELECT {part}, list_transform(a, lambda r, i: if(r[i] > 0, r[{n + 1}] / r[i], 0)) AS beta FROM {name}_e WHERE k = {n + 1}),
+{name} AS (SELECT {part}, m, mean, variance, beta, mean - ({' + '.join(f'beta[{i}] * m_{x}' for i, x in enumerate(xs, 1))}) AS base,
+  if(m > {n + 1}, sqrt(greatest(variance - 2 * ({' + '.join(f'beta[{i}] * y_{x}' for i, x in enumerate(xs, 1))}) + ({own}), 0) * m / (m - {n + 1})), 0) AS sigma
+  FROM {name}_m JOIN {name}_b USING ({part}))"""
+
+
+def seasonal_arma_sql(keyed: bool, src: str = "tr", horizon: int = 90, name: str = "sa") -> str:
+    """The two regressions of M3 with moving-average terms, the recursion of the forecast and
+    that of the psi weights -> CTE ``name``.  The enclosing WITH must be RECURSIVE."""
+    part = "destination_id, metric" if keyed else "metric"
+    long, own = (1, 2, 3, 7, 8, 14, 15, 21, 22), (1, 7, 8)
+    w = f"WINDOW w AS (PARTITION BY {part} ORDER BY date)"
+    return f"""
+{name}_l AS (SELECT {part}, date, value AS y, {', '.join(f'LAG(value, {k}) OVER w AS y{k}' for k in long)} FROM {src} {w}),{regression_sql(
+        name + '_long', name + '_l', part, 'y', [f'y{k}' for k in long])},
+{name}_r AS (SELECT l.*, y - base - ({' + '.join(f'beta[{i}] * y{k}' for i, k in enumerate(long, 1))}) AS e FROM {name}_l l JOIN {name}_long USING ({part})),
+{name}_t AS (SELECT *, {', '.join(f'LAG(e, {k}) OVER w AS e{k}' for k in own)} FROM {name}_r {w}),{regression_sql(
+        name + '_two', name + '_t', part, 'y', [f'y{k}' for k in own] + [f'e{k}' for k in own])},
+{name}_s AS (SELECT {part}, MAX(date) AS train_end, arg_max(y, date) AS last_value, list(y ORDER BY date)[-8:] AS recent,
+  list(coalesce(e, 0) ORDER BY date)[-8:] AS es FROM {name}_t GROUP BY {part}),
+{name}_f AS (SELECT * FROM {name}_s JOIN {name}_two USING ({part})),
+{name}_w AS (SELECT {part}, 1 AS n, [1.0::double] AS psi FROM {name}_f
+  UNION ALL SELECT {part}, n + 1, list_append(psi, CASE n WHEN 1 THEN beta[4] WHEN 7 THEN beta[5] WHEN 8 THEN beta[6] ELSE 0 END
+    + beta[1] * psi[n] + if(n >= 7, beta[2] * psi[n - 6], 0) + if(n >= 8, beta[3] * psi[n - 7], 0)) FROM {name}_w JOIN {name}_f USING ({part}) WHERE n < {horizon}),
+{name}_p AS (SELECT {part}, psi, list_max(list_transform(psi[{max(1, horizon - 13)}:], lambda x: abs(x))) <= 1 AS settled FROM {name}_w WHERE n = {horizon}),
+{name}_h AS (SELECT {part}, 0 AS h, recent FROM {name}_f
+  UNION ALL SELECT {part}, h + 1, list_append(p.recent[-7:], base + beta[1] * p.recent[-1] + beta[2] * p.recent[-7] + beta[3] * p.recent[-8]
+    + if(h < 1, beta[4] * es[-1], 0) + if(h < 7, beta[5] * es[h + 2], 0) + if(h < 8, beta[6] * es[h + 1], 0))
+  FROM {name}_h p JOIN {name}_f f USING ({part}) WHERE h < {horizon}),
+{name}_o AS (SELECT {part}, CAST(train_end + h AS DATE) AS date, m, last_value, if(settled, p.recent[-1], mean) AS f,
+  1.2815515655446004 * if(settled, sigma * sqrt(list_sum(list_transform(psi[:h], lambda x: x * x))), sqrt(variance)) AS band
+  FROM {name}_h p JOIN {name}_f f USING ({part}) JOIN {name}_p USING ({part}) WHERE h > 0),
+{name} AS (SELECT {part}, 'seasonal_arma' AS model, date, if(m < 30, last_value, f) AS forecast,
+  if(m < 30, last_value * 0.8, f - band) AS lower, if(m < 30, last_value * 1.2, f + band) AS upper FROM {name}_o)"""

@@ -11,8 +11,9 @@ from shockspark.operators import forecast as FC
 from shockspark.operators import kpis as KP
 from shockspark.operators import recovery as RC
 from shockspark.operators import shock as S
+from shockspark.operators.arma import seasonal_arma_forecast
 from shockspark.plans.catalog import register
-from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, trend_season_sql
+from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, seasonal_arma_sql, trend_season_sql
 from shockspark.plans.oracle_shock import resilience_cte, shock_cte
 from shockspark.plans.q_series import CHG_SQL
 from shockspark.plans.q_shock import W
@@ -75,6 +76,37 @@ def m3_seasonal_ar_forecast(spark, sf_dir):
     return FC.seasonal_ar_forecast(tr, DEST)
 
 
+_ARMA_COLS = cols("destination_id", "metric", "model", "date", "round(forecast, 4) AS forecast:d", "round(lower, 4) AS lower:d", "round(upper, 4) AS upper:d")
+
+
+@register("m3_seasonal_arma_forecast", _recursive(with_fixtures(dense_sql(True) + "," + seasonal_arma_sql(True), f"SELECT {_ARMA_COLS} FROM sa")))
+def m3_seasonal_arma_forecast(spark, sf_dir):
+    """M3: seasonal ARMA (1,0,1)(1,0,1)_7 per destination x metric by two regressions, with a band
+    that widens with the horizon (values to 4 places)."""
+    tr, _ = _prep(spark, sf_dir, DEST)
+    found = seasonal_arma_forecast(tr, DEST)
+    return found.select("destination_id", "metric", "model", "date", *[F.round(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@register("m3_band_coverage", _recursive(with_fixtures(dense_sql(True) + "," + seasonal_arma_sql(True, horizon=30), """
+SELECT sa.metric, COUNT(*) AS n, round(AVG(CAST(value BETWEEN lower AND upper AS DOUBLE)), 6) AS covered,
+  round(round(AVG(upper - lower) FILTER (WHERE date_diff('day', last_day, sa.date) <= 7), 3), 6) AS width_week_1,
+  round(round(AVG(upper - lower) FILTER (WHERE date_diff('day', last_day, sa.date) > 23), 3), 6) AS width_week_4
+FROM sa JOIN te USING (destination_id, metric, date) JOIN (SELECT destination_id, metric, MAX(date) AS last_day FROM tr GROUP BY ALL) USING (destination_id, metric)
+GROUP BY sa.metric""")))
+def m3_band_coverage(spark, sf_dir):
+    """M3 + M4: share of the held-out days inside the 80 % band, and its width in the first and
+    the last week."""
+    tr, te = _prep(spark, sf_dir, DEST)
+    sk = [*DEST, "metric"]
+    ends = tr.groupBy(*sk).agg(F.max("date").alias("last_day"))
+    both = seasonal_arma_forecast(tr, DEST, 30).join(te.select(*sk, "date", "value"), [*sk, "date"]).join(ends, sk)
+    ahead, width = F.datediff("date", "last_day"), F.col("upper") - F.col("lower")
+    return both.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("value").between(F.col("lower"), F.col("upper")).cast("double")).alias("covered"),
+                                      F.round(F.avg(F.when(ahead <= 7, width)), 3).alias("width_week_1"),
+                                      F.round(F.avg(F.when(ahead > 23, width)), 3).alias("width_week_4"))
+
+
 LINEAR_MODELS = ("trend_season", "seasonal_ar")
 TREES = ("gbt_lags",)
 _PIPELINES: dict[tuple, dict] = {}
