@@ -149,7 +149,7 @@ def test_awkward_texts_keep_the_job_alive(spark):
     assert "ACGT" * 100_000 in got["letters in a row"] and "Smith" not in got["letters in a row"]
     assert "?" not in got["astral letters"] and "𝒂𝒃" not in got["astral letters"] and ".com and" in got["astral letters"] and got["astral letters"].endswith(" 😀") and "😀😀" in got["astral letters"]
     other = got["other alphabets"]
-    assert not any(c in other for c in ("Š", "č", "ễ", "公", "司", "Ё", "юля")) and ".cn" in other
+    assert not any(c in other for c in ("Šim", "mič", "Nguy", "ễn", "公", "司", "Ёлк", "юля", "почта")) and ".cn" in other
 
 
 def test_awkward_texts_pass_the_pipeline_stage(spark, tmp_path):
