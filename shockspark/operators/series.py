@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shockspark.functions.distributions import normal_p, signed_rank_p, student_p
 from shockspark.functions.exprs import safe_div
 from shockspark.functions.ranking import value_positions
 
@@ -237,18 +238,57 @@ def period_over_period(fact: DataFrame, keys=("destination_id",)) -> DataFrame:
                     (safe_div(F.col("bookings") - F.col("_py"), "_py") * 100).alias("yoy_pct"))
 
 
-def paired_t(fact: DataFrame, crisis_start, days: int = 30, keys=("destination_id",)) -> DataFrame:
-    """Paired t statistic of daily bookings, post day i vs pre day i (same offset
-    from the window starts); the p-value is not computed (no scipy)."""
+def window_pairs(fact: DataFrame, crisis_start, days: int = 30, keys=("destination_id",)) -> DataFrame:
+    """(keys, i, pre, post): daily bookings of the i-th day before and after the crisis start
+    (same offset from the window starts)."""
     s = _d(crisis_start)
     d = dense_daily(fact, keys)
     off = F.datediff("date", F.lit(s))
     pre = d.filter((off >= -days) & (off < 0)).select(*keys, (off + days).alias("i"), F.col("bookings").alias("pre"))
     post = d.filter((off >= 0) & (off < days)).select(*keys, off.alias("i"), F.col("bookings").alias("post"))
-    pairs = pre.join(post, list(keys) + ["i"])
+    return pre.join(post, list(keys) + ["i"])
+
+
+def paired_t(fact: DataFrame, crisis_start, days: int = 30, keys=("destination_id",)) -> DataFrame:
+    """Paired t statistic of daily bookings, post day i vs pre day i, with its two-sided
+    p-value.  No p-value with fewer than two pairs; without spread it is 0 (1 if the mean
+    difference is 0, too)."""
+    pairs = window_pairs(fact, crisis_start, days, keys)
     g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("post") - F.col("pre")).alias("mean_diff"),
                                  F.stddev_samp(F.col("post") - F.col("pre")).alias("sd_diff"))
-    return g.withColumn("t_stat", safe_div("mean_diff", F.col("sd_diff") / F.sqrt("n")))
+    g = g.withColumn("t_stat", safe_div("mean_diff", F.col("sd_diff") / F.sqrt("n")))
+    flat = F.when(F.col("mean_diff") == 0, 1.0).otherwise(0.0)
+    return g.withColumn("p_value", F.when(F.col("n") >= 2, F.when(F.col("sd_diff") == 0, flat).otherwise(student_p(F.col("t_stat"), F.col("n") - 1))))
+
+
+def signed_rank(pairs: DataFrame, keys=("destination_id",), before: str = "pre", after: str = "post", exact: int = 20) -> DataFrame:
+    """Wilcoxon's signed-rank test of ``after`` - ``before`` for each key: n (pairs that differ),
+    w_plus and w_minus (sums of mean ranks), z and the two-sided p_value.  Up to ``exact``
+    differing pairs the p-value is that of all sign patterns of the ranks, ties included; above it
+    is the normal tail with the variance corrected for ties (no continuity correction).
+    Pairs with a missing or non-finite side are left out; without a differing pair the p-value
+    is 1.  Equal differences are counted first, so a key's ranks are a window over its
+    different values, not over its pairs."""
+    sk = list(keys)
+    diff = (F.col(after) - F.col(before)).cast("double")
+    known = pairs.select(*sk, diff.alias("d")).filter(F.col("d").isNotNull() & ~F.isnan("d") & (F.abs("d") < float("inf")))
+    ties = known.groupBy(*sk, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    some = F.col("size") > 0
+    by_size = Window.partitionBy(*sk).orderBy("size")
+    count = F.when(some, F.col("t")).otherwise(0)
+    ranked = ties.withColumns({"c": count, "below": F.coalesce(F.sum(count).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                               "n": F.sum(count).over(Window.partitionBy(*sk))})
+    twice = F.when(some, 2 * F.col("below") + F.col("t") + 1)
+    small = F.when(some & (F.col("n") <= exact), F.array_repeat(twice.cast("int"), F.col("t").cast("int")))
+    sums = ranked.groupBy(*sk).agg(F.max("n").alias("n"), F.coalesce(F.sum(twice * F.col("up")), F.lit(0)).alias("up2"),
+                                   F.coalesce(F.sum(F.when(some, F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")), F.lit(0.0)).alias("tied"),
+                                   F.flatten(F.collect_list(small)).alias("ranks"))
+    n = F.col("n").cast("double")
+    plus, whole = F.col("up2") / 2, n * (n + 1) / 2
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
+    z = safe_div(plus - whole / 2, spread)
+    p = F.when(F.col("n") == 0, 1.0).when(F.col("n") <= exact, signed_rank_p(F.col("ranks"), F.col("up2").cast("int"))).otherwise(normal_p(z))
+    return sums.select(*sk, "n", plus.alias("w_plus"), (whole - plus).alias("w_minus"), z.alias("z"), p.alias("p_value"))
 
 
 def normalized_grid(fact: DataFrame, grain: str = "month", keys=("destination_id",)) -> DataFrame:

@@ -155,17 +155,79 @@ def x6_period_over_period(spark, sf_dir):
     return SE.period_over_period(fx.daily_metrics(spark, sf_dir))
 
 
-@register("x10_paired_t", with_fixtures(DD_SQL + f""",
+def _pairs_sql(days: int) -> str:
+    """Daily bookings of the days before and after the crisis, by offset -> CTE pr."""
+    return DD_SQL + f""",
 o AS (SELECT *, date_diff('day', DATE '{CRISIS_START}', date) AS off FROM dd),
 pr AS (SELECT a.destination_id, b.bookings - a.bookings AS d FROM o a JOIN o b
-  ON a.destination_id = b.destination_id AND a.off + 30 = b.off WHERE a.off >= -30 AND a.off < 0)""", """
-SELECT destination_id, COUNT(*) AS n, round(AVG(d), 6) AS mean_diff, round(STDDEV_SAMP(d), 6) AS sd_diff,
-  round(AVG(d) / NULLIF(STDDEV_SAMP(d) / sqrt(COUNT(*)), 0), 6) AS t_stat FROM pr GROUP BY 1"""))
+  ON a.destination_id = b.destination_id AND a.off + {days} = b.off WHERE a.off >= -{days} AND a.off < 0)"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.strip()[len("WITH"):]
+
+
+# Student's t with a whole number v of degrees of freedom has a finite sum over powers of the
+# cosine of atan(t / sqrt(v)), with different coefficients for odd and even v.
+T_SQL = _pairs_sql(30) + """,
+st AS (SELECT destination_id, COUNT(*) AS n, AVG(d) AS mean_diff, STDDEV_SAMP(d) AS sd_diff,
+  AVG(d) / NULLIF(STDDEV_SAMP(d) / sqrt(COUNT(*)), 0) AS t_stat, COUNT(*) - 1 AS v, atan(abs(t_stat) / sqrt(v)) AS theta FROM pr GROUP BY 1),
+terms AS (SELECT destination_id, v, theta, 0 AS k, if(v % 2 = 1, cos(theta), 1.0) AS term, if(v = 1, 0.0, if(v % 2 = 1, cos(theta), 1.0)) AS total
+    FROM st WHERE t_stat IS NOT NULL AND v >= 1
+  UNION ALL SELECT destination_id, v, theta, k + 1,
+    term * cos(theta) * cos(theta) * if(v % 2 = 1, (2.0 * k + 2) / (2 * k + 3), (2.0 * k + 1) / (2 * k + 2)),
+    total + term * cos(theta) * cos(theta) * if(v % 2 = 1, (2.0 * k + 2) / (2 * k + 3), (2.0 * k + 1) / (2 * k + 2))
+  FROM terms WHERE k + 1 <= if(v % 2 = 1, (v - 3) // 2, (v - 2) // 2)),
+p AS (SELECT destination_id, 1 - if(v % 2 = 1, 2 / pi() * (theta + sin(theta) * total), sin(theta) * total) AS p_value FROM terms
+  QUALIFY row_number() OVER (PARTITION BY destination_id ORDER BY k DESC) = 1)"""
+
+
+@register("x10_paired_t", _recursive(with_fixtures(T_SQL, """
+SELECT destination_id, n, round(mean_diff, 6) AS mean_diff, round(sd_diff, 6) AS sd_diff, round(t_stat, 6) AS t_stat,
+  round(if(n < 2, NULL, if(sd_diff = 0, if(mean_diff = 0, 1.0, 0.0), p_value)), 6) AS p_value FROM st LEFT JOIN p USING (destination_id)""")))
 def x10_paired_t(spark, sf_dir):
-    """X10 (documented extra): paired t statistic of 30 post vs 30 pre days."""
+    """X10 (documented extra): paired t statistic and two-sided p-value of 30 post vs 30 pre days."""
     return SE.paired_t(fx.daily_metrics(spark, sf_dir), CRISIS_START, 30)
 
 
+def _signed_rank_sql(days: int) -> str:
+    """Mean ranks by a window over the pairs; up to 20 of them the numbers of sign patterns by
+    twice their sum, rank by rank, above the series of erf."""
+    return _pairs_sql(days) + """,
+rk AS (SELECT destination_id, d, rank() OVER w + (COUNT(*) OVER (PARTITION BY destination_id, abs(d)) - 1) / 2 AS r,
+    row_number() OVER w AS i, COUNT(*) OVER (PARTITION BY destination_id) AS n FROM pr WHERE d <> 0 WINDOW w AS (PARTITION BY destination_id ORDER BY abs(d))),
+sm AS (SELECT k.destination_id, COUNT(r) AS n, COALESCE(SUM(r) FILTER (WHERE d > 0), 0.0) AS w_plus, COALESCE(SUM(r) FILTER (WHERE d < 0), 0.0) AS w_minus
+  FROM (SELECT DISTINCT destination_id FROM pr) k LEFT JOIN rk USING (destination_id) GROUP BY 1),
+ti AS (SELECT destination_id, SUM(t * t * t - t) AS tied FROM (SELECT destination_id, COUNT(*)::double AS t FROM rk GROUP BY destination_id, abs(d)) GROUP BY 1),
+zs AS (SELECT *, (w_plus - n * (n + 1) / 4) / NULLIF(sqrt(n * (n + 1) * (2 * n + 1) / 24 - COALESCE(tied, 0) / 48), 0) AS z FROM sm LEFT JOIN ti USING (destination_id)),
+ways AS (SELECT destination_id, 0 AS i, n, list_transform(range(0, (n * (n + 1) + 1)::bigint), lambda s: if(s = 0, 1::double, 0::double)) AS c FROM sm WHERE n BETWEEN 1 AND 20
+  UNION ALL SELECT w.destination_id, w.i + 1, w.n, list_transform(w.c, lambda v, s: v + if(s > 2 * r, w.c[(s - 2 * r)::bigint], 0))
+  FROM ways w JOIN rk ON rk.destination_id = w.destination_id AND rk.i = w.i + 1),
+ex AS (SELECT destination_id, least(1, 2 * list_sum(c[:(2 * least(w_plus, w_minus) + 1)::bigint]) / pow(2, n)) AS p
+  FROM ways JOIN sm USING (destination_id, n) WHERE i = n),
+se AS (SELECT destination_id, 0 AS k, least(abs(z) / sqrt(2), 6.5) AS x, x AS term, x AS total FROM zs WHERE n > 20
+  UNION ALL SELECT destination_id, k + 1, x, -term * x * x * (2 * k + 1) / ((k + 1) * (2 * k + 3)), total - term * x * x * (2 * k + 1) / ((k + 1) * (2 * k + 3))
+  FROM se WHERE k < 150),
+no AS (SELECT destination_id, greatest(1 - 2 / sqrt(pi()) * total, 0) AS p FROM se WHERE k = 150)"""
+
+
+_SIGNED_COLS = """
+SELECT destination_id, zs.n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(z, 6) AS z,
+  round(if(zs.n = 0, 1.0, COALESCE(ex.p, no.p)), 6) AS p_value FROM zs LEFT JOIN ex USING (destination_id) LEFT JOIN no USING (destination_id)"""
+
+
+@register("x10_signed_rank", _recursive(with_fixtures(_signed_rank_sql(30), _SIGNED_COLS)))
+def x10_signed_rank(spark, sf_dir):
+    """X10's second half (documented extra): Wilcoxon's signed-rank test of 30 post vs 30 pre days."""
+    return SE.signed_rank(SE.window_pairs(fx.daily_metrics(spark, sf_dir), CRISIS_START, 30))
+
+
+@register("x10_signed_rank_two_weeks", _recursive(with_fixtures(_signed_rank_sql(14), _SIGNED_COLS)))
+def x10_signed_rank_two_weeks(spark, sf_dir):
+    """X10's second half with 14 days a side: the exact distribution for every destination."""
+    return SE.signed_rank(SE.window_pairs(fx.daily_metrics(spark, sf_dir), CRISIS_START, 14))
+
+
 @register("x12_normalized_grid", with_fixtures("""
 m AS (SELECT destination_id, CAST(date_trunc('month', date) AS DATE) AS period, CAST(SUM(bookings) AS BIGINT) AS bookings
   FROM daily_metrics GROUP BY 1, 2)""", """
