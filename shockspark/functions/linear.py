@@ -25,11 +25,12 @@ def solve(matrix: Column, n: int) -> Column:
     return F.transform(done, lambda row, i: F.when(F.get(row, i) > 0, F.get(row, F.lit(n)) / F.get(row, i)).otherwise(F.lit(0.0)))
 
 
-def regression(rows: DataFrame, keys: list[str], y: str, xs: list[str], *more: Column, penalty: dict[str, float] | None = None) -> DataFrame:
+def regression(rows: DataFrame, keys: list[str], y: str, xs: list[str], *more: Column, penalty: dict[str, str] | None = None) -> DataFrame:
     """(keys, m, mean, beta, base, sigma, variance, more): regression of ``y`` on ``xs`` with an
     intercept for each series over the rows where none of them is missing.  ``more``
-    aggregates see all rows.  ``penalty`` adds so many times the variance of ``y`` to the
-    squares of a coefficient; beside it each regressor's variance grows by RIDGE."""
+    aggregates see all rows.  ``penalty``, SQL over m, mean, variance and ``more``, is added
+    to the variance of a regressor (it pulls the coefficient to 0); beside it each regressor's
+    variance grows by RIDGE."""
     # as SQL text: some hundred terms are much faster to build than as column objects
     n = len(xs)
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
@@ -42,7 +43,7 @@ def regression(rows: DataFrame, keys: list[str], y: str, xs: list[str], *more: C
 
     def cell(a: str, b: str) -> str:
         known = f"{a}_{b}" if (a, b) in pairs else f"{b}_{a}"
-        return f"{known} * {1 + RIDGE!r}D + variance * {float((penalty or {}).get(a, 0.0))!r}D" if a == b else known
+        return f"{known} * {1 + RIDGE!r}D + {(penalty or {}).get(a, '0D')}" if a == b else known
 
     matrix = F.expr("array(" + ", ".join("array(" + ", ".join([*(cell(a, b) for b in xs), f"y_{a}"]) + ")" for a in xs) + ")")
     fit = sums.withColumn("beta", F.when(F.col("m") > 0, solve(matrix, n)))

@@ -131,7 +131,7 @@ x16 AS (SELECT l.destination_id, l.metric, l.date, {ends('l', 'no_crisis')}, {en
   FROM left_side l JOIN right_side r ON l.destination_id = r.destination_id AND l.metric = r.metric AND l.date = r.date)"""
 
 
-def regression_sql(name: str, src: str, part: str, y: str, xs: list[str], where: str = "true") -> str:
+def regression_sql(name: str, src: str, part: str, y: str, xs: list[str], penalty: dict[str, str] | None = None, more: str = "") -> str:
     """Least squares of ``y`` on ``xs`` with intercept over the complete rows of ``src`` -> CTE
     ``name`` (part, m, mean, variance, beta, base, sigma), by elimination in a recursive query."""
     n, g = len(xs), f"GROUP BY {part}"
@@ -140,14 +140,14 @@ def regression_sql(name: str, src: str, part: str, y: str, xs: list[str], where:
 
     def cell(a, b):
         known = f"{a}_{b}" if (a, b) in pairs else f"{b}_{a}"
-        return f"{known} * (1 + 1e-6)" if a == b else known
+        return f"{known} * (1 + 1e-6) + {(penalty or {}).get(a, 0)}" if a == b else known
 
     rows = ", ".join("[" + ", ".join([*(cell(a, b) for b in xs), f"y_{a}"]) + "]" for a in xs)
     own = " + ".join(f"beta[{xs.index(a) + 1}] * beta[{xs.index(b) + 1}] * {a}_{b} * {1 if a == b else 2}" for a, b in pairs)
     return f"""
 {name}_m AS (SELECT {part}, COUNT(*) AS m, AVG({y}) AS mean, var_pop({y}) AS variance, {', '.join(f'AVG({x}) AS m_{x}' for x in xs)},
-  {', '.join(f'covar_pop({x}, {y}) AS y_{x}' for x in xs)}, {', '.join(f'covar_pop({a}, {b}) AS {a}_{b}' for a, b in pairs)}
-  FROM {src} WHERE {whole} AND {where} {g}),
+  {', '.join(f'covar_pop({x}, {y}) AS y_{x}' for x in xs)}, {', '.join(f'covar_pop({a}, {b}) AS {a}_{b}' for a, b in pairs)}{more}
+  FROM {src} WHERE {whole} {g}),
 {name}_e AS (SELECT {part}, 1 AS k, [{rows}] AS a FROM {name}_m
   UNION ALL SELECT {part}, k + 1, if(a[k][k] > 0, list_transform(a, lambda r, i: if(i = k, r, list_transform(r, lambda v, j: v - r[k] / a[k][k] * a[k][j]))), a)
   FROM {name}_e WHERE k <= {n}),
@@ -185,3 +185,29 @@ def seasonal_arma_sql(keyed: bool, src: str = "tr", horizon: int = 90, name: str
   FROM {name}_h p JOIN {name}_f f USING ({part}) JOIN {name}_p USING ({part}) WHERE h > 0),
 {name} AS (SELECT {part}, 'seasonal_arma' AS model, date, if(m < 30, last_value, f) AS forecast,
   if(m < 30, last_value * 0.8, f - band) AS lower, if(m < 30, last_value * 1.2, f + band) AS upper FROM {name}_o)"""
+
+
+def trend_breaks_sql(keyed: bool, breaks: int, bend: float, crisis: tuple[str, str], src: str = "tr", horizon: int = 90, name: str = "tb") -> str:
+    """M1 with breaks on the same basis -> CTE ``name``.  The enclosing WITH must be RECURSIVE."""
+    part = "destination_id, metric" if keyed else "metric"
+    corners = [0.8 * (i + 1) / (breaks + 1) for i in range(breaks)]
+    xs = ["u", *[f"h{i}" for i in range(breaks)], "crisis"]
+    hinges = lambda u: ", ".join(f"greatest({u} - {c!r}, 0) AS h{i}" for i, c in enumerate(corners))
+    inside = lambda d: f"CAST({d} BETWEEN DATE '{crisis[0]}' AND DATE '{crisis[1]}' AS DOUBLE) AS crisis"
+    line = "base + " + " + ".join(f"beta[{i}] * {x}" for i, x in enumerate(xs, 1))
+    return f"""
+{name}_u AS (SELECT {part}, date, value AS y, t / greatest(MAX(t) OVER (PARTITION BY {part}), 1)::double AS u, {inside('date')},
+  value - LAG(value, 7) OVER (PARTITION BY {part} ORDER BY date) AS week FROM {src}),
+{name}_x AS (SELECT *, {hinges('u')} FROM {name}_u),{regression_sql(name + '_g', name + '_x', part, 'y', xs, {
+        x: f"coalesce(least(noise / nullif(variance, 0), 1), 1) / (m * {bend * bend!r})" for x in xs[1:-1]}, ', var_pop(week) / 2 AS noise')},
+{name}_r AS (SELECT {part}, date, dayofweek(date) AS dow, y - ({line}) AS r FROM {name}_x JOIN {name}_g USING ({part})),
+{name}_s AS (SELECT {part}, dow, AVG(r) AS season FROM {name}_r GROUP BY {part}, dow),
+{name}_v AS (SELECT {part}, COALESCE(STDDEV_SAMP(r - season), 0) AS spread FROM {name}_r JOIN {name}_s USING ({part}, dow) GROUP BY {part}),
+{name}_e AS (SELECT {part}, COUNT(*) AS n, MAX(date) AS train_end, arg_max(value, date) AS last_value, greatest(MAX(t), 1)::double AS t_end FROM {src} GROUP BY {part}),
+{name}_d AS (SELECT e.*, h, CAST(train_end + CAST(h AS INTEGER) AS DATE) AS date, (t_end + h) / t_end AS u FROM {name}_e e, unnest(generate_series(1, {horizon})) AS q(h)),
+{name}_f AS (SELECT *, {hinges('u')}, {inside('date')}, dayofweek(date) AS dow FROM {name}_d),
+{name}_o AS (SELECT f.*, {line} + COALESCE(season, 0) AS v,
+  1.28 * sqrt(spread * spread + {breaks / 0.8!r} * ({' + '.join(f'beta[{i + 2}] * beta[{i + 2}]' for i in range(breaks))}) / {breaks} * pow(h / t_end, 3) / 3) AS band
+  FROM {name}_f f JOIN {name}_g USING ({part}) JOIN {name}_v USING ({part}) LEFT JOIN {name}_s USING ({part}, dow)),
+{name} AS (SELECT {part}, 'trend_breaks' AS model, date, if(n < 14, last_value, v) AS forecast, if(n < 14, last_value * 0.8, v - band) AS lower,
+  if(n < 14, last_value * 1.2, v + band) AS upper FROM {name}_o)"""

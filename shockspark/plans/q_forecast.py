@@ -11,9 +11,10 @@ from shockspark.operators import forecast as FC
 from shockspark.operators import kpis as KP
 from shockspark.operators import recovery as RC
 from shockspark.operators import shock as S
+from shockspark.operators import trend_breaks as TB
 from shockspark.operators.arma import seasonal_arma_forecast
 from shockspark.plans.catalog import register
-from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, seasonal_arma_sql, trend_season_sql
+from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, seasonal_arma_sql, trend_breaks_sql, trend_season_sql
 from shockspark.plans.oracle_shock import resilience_cte, shock_cte
 from shockspark.plans.q_series import CHG_SQL
 from shockspark.plans.q_shock import W
@@ -46,6 +47,10 @@ FC_COLS_D = cols("destination_id", "metric", "model", "date", "forecast:d", "low
 FC_COLS_N = cols("metric", "model", "date", "forecast:d", "lower:d", "upper:d")
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @register("m1_trend_season_forecast", with_fixtures(dense_sql(True) + "," + trend_season_sql(True),
                                                     f"SELECT {FC_COLS_D} FROM fc"))
 def m1_trend_season_forecast(spark, sf_dir):
@@ -54,6 +59,37 @@ def m1_trend_season_forecast(spark, sf_dir):
     return FC.trend_season_forecast(tr, DEST)
 
 
+CRISIS_DAYS = ("1998-06-01", "1998-06-30")
+_BREAKS_SQL = trend_breaks_sql(True, TB.BREAKS, TB.BEND, CRISIS_DAYS)
+_FC_COLS_4 = cols("destination_id", "metric", "model", "date", "round(forecast, 4) AS forecast:d", "round(lower, 4) AS lower:d", "round(upper, 4) AS upper:d")
+
+
+@register("m1_trend_breaks_forecast", _recursive(with_fixtures(dense_sql(True) + "," + _BREAKS_SQL, f"SELECT {_FC_COLS_4} FROM tb")))
+def m1_trend_breaks_forecast(spark, sf_dir):
+    """M1: trend with breaks, crisis days and weekly season per destination x metric, with a band
+    that widens with the horizon (values to 4 places)."""
+    tr, _ = _prep(spark, sf_dir, DEST)
+    found = TB.trend_breaks_forecast(tr, DEST, crises=[CRISIS_DAYS])
+    return found.select("destination_id", "metric", "model", "date", *[F.round(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@register("m1_breaks_accuracy", _recursive(with_fixtures(dense_sql(True) + "," + trend_season_sql(True) + "," + _BREAKS_SQL + """,
+pair AS (SELECT * FROM tb UNION ALL BY NAME SELECT * FROM fc)""", """
+SELECT metric, model, COUNT(*) AS n, round(round(AVG(abs(value - forecast)), 4), 6) AS mae,
+  round(round(AVG(abs((value - forecast) / value)) FILTER (WHERE abs(value) > 1e-8) * 100, 4), 6) AS mape,
+  round(AVG(CAST(value BETWEEN lower AND upper AS DOUBLE)), 6) AS covered
+FROM pair JOIN te USING (destination_id, metric, date) GROUP BY metric, model""")))
+def m1_breaks_accuracy(spark, sf_dir):
+    """M1 + M4: the held-out days of all series under the single line and the trend with breaks."""
+    tr, te = _prep(spark, sf_dir, DEST)
+    both = TB.trend_breaks_forecast(tr, DEST, crises=[CRISIS_DAYS]).unionByName(FC.trend_season_forecast(tr, DEST))
+    met = both.join(te.select(*DEST, "metric", "date", "value"), [*DEST, "metric", "date"])
+    off = F.abs(F.col("value") - F.col("forecast"))
+    return met.groupBy("metric", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(off), 4).alias("mae"), F.round(F.avg(F.when(F.abs("value") > 1e-8, off / F.abs("value"))) * 100, 4).alias("mape"),
+        F.avg(F.col("value").between(F.col("lower"), F.col("upper")).cast("double")).alias("covered"))
+
+
 ACC_COLS_D = cols("destination_id", "metric", "model", "mae:d", "rmse:d", "mape:d", "mase:d", "mase_ref:d", "n")
 
 
@@ -65,10 +101,6 @@ def m4_accuracy_trend_season(spark, sf_dir):
     return FC.accuracy(FC.trend_season_forecast(tr, DEST), te, FC.train_scales(tr, DEST), DEST)
 
 
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @register("m3_seasonal_ar_forecast", _recursive(with_fixtures(dense_sql(True) + "," + seasonal_ar_sql(True), f"SELECT {FC_COLS_D} FROM ar")))
 def m3_seasonal_ar_forecast(spark, sf_dir):
     """M3: seasonal AR(1)x(1)_7 per destination x metric (normal equations, recursion in the JVM)."""
