@@ -19,7 +19,7 @@ from shockspark.plans.oracle_shock import resilience_cte, shock_cte
 from shockspark.plans.q_series import CHG_SQL
 from shockspark.plans.q_shock import W
 from shockspark.plans.sqlkit import cols
-from shockspark.session import cut_lineage, scratch_path
+from shockspark.session import cut_lineage, scratch_path, session_cache
 from shockspark.sources import fixtures as fx
 from shockspark.sources import loaders as L
 from shockspark.sources import sinks as K
@@ -30,7 +30,7 @@ DEST = ("destination_id",)
 NATIONAL = ()
 
 
-_PREPARED: dict[tuple, object] = {}
+_PREPARED: dict[tuple, object] = session_cache()
 
 
 def _prep(spark, sf_dir, keys):
@@ -141,7 +141,7 @@ def m3_band_coverage(spark, sf_dir):
 
 LINEAR_MODELS = ("trend_season", "seasonal_ar")
 TREES = ("gbt_lags",)
-_PIPELINES: dict[tuple, dict] = {}
+_PIPELINES: dict[tuple, dict] = session_cache()
 
 
 def _pipeline(spark, sf_dir, models):

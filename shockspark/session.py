@@ -72,6 +72,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: dict[str, list[str]] = {}
+_CACHES: list[dict] = []
+
+
+def session_cache() -> dict[tuple, object]:
+    """A cache of what was written to scratch folders, by keys that begin with the id of the
+    application; ``remove_scratch`` empties it together with the folders."""
+    _CACHES.append({})
+    return _CACHES[-1]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -83,7 +91,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete every scratch folder that this application has named, by the file system that
-    holds it.  Frames that read them are of no use afterwards."""
+    holds it, and forget what was cached of them: the next query builds its tables anew.
+    Frames that read them are of no use afterwards."""
+    for cache in _CACHES:
+        for key in [k for k in cache if k[0] == spark.sparkContext.applicationId]:
+            del cache[key]
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

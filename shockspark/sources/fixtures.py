@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from shockspark.functions.broadcast import broadcast_rows
 from shockspark.schemas import CRISIS_EVENTS
-from shockspark.session import scratch_path
+from shockspark.session import scratch_path, session_cache
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.001"
 
@@ -239,7 +239,7 @@ _BUILDERS = {
     "fact_visas": fact_visas_raw,
     "destinations": destinations_raw,
 }
-_MATERIALIZED: dict[tuple, str] = {}
+_MATERIALIZED: dict[tuple, str] = session_cache()
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

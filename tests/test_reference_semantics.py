@@ -192,8 +192,11 @@ def test_scratch_folders_can_be_removed(spark, tmp_path, monkeypatch):
     from shockspark import session
 
     monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(session, "_CACHES", [])
     monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    cache, app = session.session_cache(), spark.sparkContext.applicationId
+    cache.update({(app, "sf"): "a folder", ("another", "sf"): "its folder"})
     df = session.cut_lineage(spark.range(5), "five")
     assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
     session.remove_scratch(spark)
-    assert list(tmp_path.iterdir()) == []
+    assert list(tmp_path.iterdir()) == [] and cache == {("another", "sf"): "its folder"}
