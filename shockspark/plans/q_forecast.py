@@ -13,6 +13,7 @@ from shockspark.operators import recovery as RC
 from shockspark.operators import shock as S
 from shockspark.operators import trend_breaks as TB
 from shockspark.operators.arma import seasonal_arma_forecast
+from shockspark.operators.bootstrap import NAMES, trend_season_bootstrap
 from shockspark.plans.catalog import register
 from shockspark.plans.oracle_forecast import accuracy_sql, crisis_pair_sql, dense_sql, seasonal_ar_sql, seasonal_arma_sql, trend_breaks_sql, trend_season_sql
 from shockspark.plans.oracle_shock import resilience_cte, shock_cte
@@ -90,6 +91,25 @@ def m1_breaks_accuracy(spark, sf_dir):
         F.avg(F.col("value").between(F.col("lower"), F.col("upper")).cast("double")).alias("covered"))
 
 
+@register("m1_bootstrap_intervals", with_fixtures(dense_sql(True) + "," + trend_season_sql(True, horizon=28) + """,
+rs AS (SELECT destination_id, metric, list(r - season ORDER BY t) AS rs FROM fc_res JOIN fc_seas USING (destination_id, metric, dow) GROUP BY 1, 2),
+ends AS (SELECT destination_id, metric, MAX(date) AS train_end FROM tr GROUP BY 1, 2),
+dr AS (SELECT destination_id, metric, date, forecast, rs, date_diff('day', train_end, date) AS h, b, least(len(rs), 7) AS m
+  FROM fc JOIN rs USING (destination_id, metric) JOIN ends USING (destination_id, metric), range(1, 201) u(b)),
+sa AS (SELECT destination_id, metric, date, forecast, forecast + rs[1 + (h - 1) % 7 % m
+    + ('0x' || substr(md5(concat_ws('/', destination_id, metric, b, (h - 1) // 7)), 1, 15))::bigint % (len(rs) - m + 1)] AS x FROM dr)""", """
+SELECT destination_id, metric, date, round(round(MIN(forecast), 4), 6) AS forecast,
+  round(round(quantile_cont(x, 0.025), 4), 6) AS lower_95, round(round(quantile_cont(x, 0.1), 4), 6) AS lower_80,
+  round(round(quantile_cont(x, 0.9), 4), 6) AS upper_80, round(round(quantile_cont(x, 0.975), 4), 6) AS upper_95
+FROM sa GROUP BY destination_id, metric, date"""))
+def m1_bootstrap_intervals(spark, sf_dir):
+    """M1 + bootstrap (the 80 % and 95 % intervals of 200 keyed draws of weekly residual blocks), four
+    weeks per destination x metric (values to 4 places)."""
+    tr, _ = _prep(spark, sf_dir, DEST)
+    found = trend_season_bootstrap(tr, DEST, 28)
+    return found.select("destination_id", "metric", "date", *[F.round(c, 4).alias(c) for c in ("forecast", *NAMES)])
+
+
 ACC_COLS_D = cols("destination_id", "metric", "model", "mae:d", "rmse:d", "mape:d", "mase:d", "mase_ref:d", "n")
 
 
