@@ -5,7 +5,9 @@ inside an element that is never main text by its tag, role, class or hidden stat
 (``MARKED``; by class only as a whole token, and not where it holds most of the paragraph
 text), inside the article or not, paragraph-like or not.  Pages of a host are
 ordered by url path; a page's partner is that of its two neighbours whose path agrees
-longer (the earlier one at a tie).  The lines of both are aligned by a longest common
+longer (the earlier one at a tie), unless it is a copy or near copy, which shares over half
+of the page's paragraph text and so tells nothing of the frame: then the other one, or none
+if that is a copy too.  The lines of both are aligned by a longest common
 subsequence, and shared lines are taken for the site's frame and deleted.
 
 The plain method also deletes what two articles of a host quote alike, and copies of a
@@ -13,6 +15,7 @@ page delete each other.  So, as the exact check that follows: marked lines are d
 any case, lines outside an article (or, without one, ``main``) element too where the page
 has one; paragraphs, headings, quotes, lists and tables inside it are kept even when
 shared; and a partner that shares every line in question is a copy and tells nothing.
+Buttons, labels and hidden or advertising elements inside a block go without ending it.
 
 Rows are dealt to ranges of (host, path) so that a hot host is split; every page is
 shuffled once and a task holds the lines of one Arrow batch at a time.
@@ -28,6 +31,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +52,10 @@ MARKED = set("ad ads advert adverts advertisement sponsor sponsored promo promot
 #: Words that only say where or how something stands.
 LAYOUT = set("main site page global primary secondary left right top bottom upper lower inner outer box bar container wrapper wrap area block section list "
              "item items slot unit links link buttons header".split())
+#: Words that mark together with words of parts, whoever wrote or sold what they name.
+STRONG = set("ad ads adsense advert adverts advertisement advertising sponsored comment comments disqus".split())
+PARTS = set("post user users reader readers visitor visitors customer google facebook fb body content text entry article c o b m slot zone space "
+            "native inline mid thread author form meta count title label".split())
 #: Raw elements whose text ends at their end tag or with the page, whatever their tag looks like.
 TEXT_ONLY = set("script style textarea title iframe".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -56,20 +64,27 @@ PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".
 HOLDERS = {"li", "td", "th", "dd", "blockquote"}
 KEPT_OPEN = BLOCKS - {"hr", "option"}
 NOTHING = ("", False, False, False, "", 0)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^<>]*>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|<[!?][^<>]*>",
+#: What stands in a tag after its name: a quoted value is read whole, whatever is in it.
+INSIDE = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + rf")(?![\w:-]){INSIDE}>|<(/?)([a-zA-Z][\w:-]*)({INSIDE})>|<[!?][^<>]*>",
                    re.S | re.I)
 END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
-ATTRIBUTE = re.compile(r"""(class|id|role|style|itemprop|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w=-])""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"']++)))?+""")
+#: Elements inside a block that may be marked: by what they are, and by their class.
+CONTROLS = {"button", "label"}
+INLINE = set("span a b i em strong small font ins mark".split())
+INLINE_BY_CLASS = {"span", "a", "small", "ins"}
 #: Places of a line.
 DROPPED, BARE, OPEN, KEPT = range(4)
 
 
-def _class_marked(value: str) -> bool:
+def _class_marked(value: str, inline: bool = False) -> bool:
     """Whether a class or id has a token that is a marked word, or marked words together
-    with words of layout (not one of several other words, as in "has-sidebar")."""
+    with words of layout (not one of several other words, as in "has-sidebar"), adverts and
+    comments with words of parts too ("user-comments", "ad-slot-1"); inside a block these only."""
     for token in value.split():
-        words = set(re.split(r"[^a-z0-9]+", token)) - {""}
-        if words & MARKED and words <= MARKED | LAYOUT:
+        words = {word for word in re.split(r"[^a-z0-9]+", token) if word and not word.isdigit()}
+        if not inline and words & MARKED and words <= MARKED | LAYOUT or words & STRONG and words <= MARKED | STRONG | LAYOUT | PARTS:
             return True
     return False
 
@@ -78,17 +93,21 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bo
     """Whether an element is no main text for sure, whether by its class, and whether it is
     the main part."""
     marked, by_class, main = tag in SKIPPED or tag == "header" and not in_article, False, tag == "main"
-    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
+        if tag in INLINE and name in ("class", "id"):
+            by_class |= name == "class" and tag in INLINE_BY_CLASS and _class_marked(value, inline=True)
+        elif name in ("class", "id"):
             by_class |= _class_marked(value) or "header" in re.split(r"[^a-z0-9]+", value) and not in_article
         elif name == "role":
             marked |= value in ROLES
             main |= value == "main"
         elif name == "itemprop":
             main |= value == "articlebody"
+        elif name == "style":
+            marked |= "display:none" in "".join(value.split())
         else:
-            marked |= bool(hidden) or value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+            marked |= name == "hidden" or name == "aria-hidden" and value == "true" and tag not in INLINE
     free = tag in ("body", "html")
     return marked and not free, by_class and not (free or main or tag == "article"), main
 
@@ -109,14 +128,16 @@ def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
         yield token, position
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, place) of every line of a page."""
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, place, whether paragraph-like) of every line of a page."""
     lines: list[list] = []
     stack: list[tuple[str, bool, bool, bool, str, int]] = []  # tag, marked, in article, in main, kind of block, element marked by class
     parent: list[int] = [0]  # of each element marked by class, the one around it
     opened: Counter[str] = Counter()
     parts: list[str] = []
     block = ""
+    muted: tuple[str, int] | None = None  # a marked element inside a block: its name, the height of the stack
+    within = 0  # elements of that name open in it
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -127,7 +148,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
     position = 0
     for token, end in _tokens(page):
-        if token.start() > position:
+        if token.start() > position and not muted:
             parts.append(page[position:token.start()])
         position = end
         tag = (token[3] or "").lower()
@@ -138,6 +159,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
+            if muted and tag == muted[0]:
+                within += -1 if token[2] else 1
+                muted = muted if within else None
+            elif not muted and not token[2] and (tag in CONTROLS or tag in INLINE and token[4].strip()) and not token[4].endswith("/"):
+                _, _, article, main, _, _ = stack[-1] if stack else NOTHING
+                own, by_class, _ = _marked(tag, token[4], article or main)
+                if own or by_class:
+                    muted, within = (tag, len(stack)), 1
             continue
         flush()
         if token[2]:
@@ -148,9 +177,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     if ended == tag:
                         break
             block = stack[-1][4] if stack else ""
+            if muted and len(stack) < muted[1]:
+                muted = None  # never closed: it ends with the block around it
         elif tag in KEPT_OPEN:
             if tag == "p" and stack and stack[-1][0] == "p" or tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                 opened[stack.pop()[0]] -= 1  # these end where the next one begins
+                if muted and len(stack) < muted[1]:
+                    muted = None
             _, marked, article, main, outer, element = stack[-1] if stack else NOTHING
             own, by_class, is_main = _marked(tag, token[4], article or main) if token[4].strip() or tag in SKIPPED or tag in ("header", "main") else (False, False, False)
             if by_class:
@@ -159,7 +192,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             block = tag if tag in PARAGRAPHS else outer if outer in HOLDERS else ""
             stack.append((tag, marked or own, article or tag == "article", main or is_main, block, element))
             opened[tag] += 1
-    parts.append(page[position:])
+    if not muted:
+        parts.append(page[position:])
     flush()
     # an element marked by its class that holds most of the paragraph text is not marked
     held = [0] * len(parent)
@@ -182,37 +216,69 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             place = DROPPED
         else:
             place = BARE if not inside else KEPT if x[4] else OPEN
-        out.append((x[0], place))
+        out.append((x[0], place, x[4]))
     return out
 
 
 def shared_lines(own: list[str], other: list[str]) -> set[int]:
-    """Indexes of the lines of ``own`` in a longest common subsequence with ``other``, by
-    rows of bits: a 0 bit marks a column at which the common length grows."""
-    both = set(own) & set(other)
-    rows = [i for i, line in enumerate(own) if line in both]
-    columns = [line for line in other if line in both]
+    """Indexes of the lines of ``own`` in a longest common subsequence with ``other``.
+
+    Equal heads and tails are shared at once.  Between them rows of bits are kept, in which
+    a 0 bit marks a column where the common length grows: one row of every block of rows,
+    as many rows as blocks, so that memory grows with the lines times the root of the lines;
+    the trace back computes the rows of a block anew."""
+    head = 0
+    while head < min(len(own), len(other)) and own[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(own), len(other)) - head and own[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    found = {*range(head), *range(len(own) - tail, len(own))}
+    both = set(own[head:len(own) - tail]) & set(other[head:len(other) - tail])
+    rows = [i for i in range(head, len(own) - tail) if own[i] in both]
+    columns = [line for line in other[head:len(other) - tail] if line in both]
     where: dict[str, int] = {}
-    for j, line in enumerate(columns):
-        where[line] = where.get(line, 0) | 1 << j
+    for line, places in _places(columns).items():
+        bits = bytearray(len(columns) // 8 + 1)
+        for j in places:
+            bits[j >> 3] |= 1 << (j & 7)
+        where[line] = int.from_bytes(bits, "little")
     full = (1 << len(columns)) - 1
-    history, v = [], full
-    for i in rows:
+
+    def following(v: int, i: int) -> int:
         u = v & where[own[i]]
-        v = ((v + u) | (v - u)) & full
-        history.append(v)
-    found, j, r = set(), len(columns) - 1, len(rows) - 1
-    while r >= 0 and j >= 0:
-        if history[r] >> j & 1:
-            j -= 1
-        elif r and not history[r - 1] >> j & 1:
-            r -= 1
-        else:
-            found.add(rows[r])
-            r, j = r - 1, j - 1
+        return ((v + u) | (v - u)) & full
+
+    size = isqrt(len(rows)) + 1
+    starts, v = [], full  # the row before each block
+    for n, i in enumerate(rows):
+        if n % size == 0:
+            starts.append(v)
+        v = following(v, i)
+    j = len(columns) - 1
+    for b in range(len(starts) - 1, -1, -1):
+        history = [starts[b]]
+        for i in rows[b * size:(b + 1) * size]:
+            history.append(following(history[-1], i))
+        r = len(history) - 1
+        while r and j >= 0:
+            if history[r] >> j & 1:
+                j -= 1
+            elif not history[r - 1] >> j & 1:
+                r -= 1
+            else:
+                found.add(rows[b * size + r - 1])
+                r, j = r - 1, j - 1
     return found
 
 
+def _places(lines: list[str]) -> dict[str, list[int]]:
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(lines):
+        places.setdefault(line, []).append(j)
+    return places
+
+
 def _agreement(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -222,19 +288,29 @@ def _agreement(a: str, b: str) -> int:
     return n
 
 
+def _copied(lines: list[tuple], shared: set[int]) -> bool:
+    """Whether over half of the paragraph text that may be main text is shared."""
+    sizes = [len(x[0]) if x[2] and x[1] != DROPPED else 0 for x in lines]
+    return 2 * sum(sizes[i] for i in shared) > sum(sizes)
+
+
 def differenced(page: tuple, before: tuple | None, after: tuple | None) -> tuple[str, int]:
     """The main text of (host, path, lines) given its neighbours in path order, and the
     number of lines that the differencing deleted."""
     host, path, lines = page
     near = [p for p in (before, after) if p and p[0] == host]
-    partner = max(near, key=lambda p: _agreement(path, p[1])) if near else None
-    gone = shared_lines([t for t, _ in lines], [t for t, _ in partner[2]]) if partner else set()
+    asked = {i for i, x in enumerate(lines) if x[1] in (BARE, OPEN)}
+    gone: set[int] = set()
+    for partner in sorted(near, key=lambda p: -_agreement(path, p[1])):
+        shared = shared_lines([x[0] for x in lines], [x[0] for x in partner[2]])
+        if not (asked and _copied(lines, shared)):
+            gone = shared
+            break
     # the check: article paragraphs come back, all of a copy does, marked lines go
     gone = {i for i in gone if lines[i][1] != KEPT}
-    asked = {i for i, (_, place) in enumerate(lines) if place in (BARE, OPEN)}
-    if asked <= gone and not any(place == KEPT for _, place in lines):
+    if asked <= gone and not any(x[1] == KEPT for x in lines):
         gone -= asked
-    return "\n\n".join(t for i, (t, place) in enumerate(lines) if place != DROPPED and i not in gone), len(gone)
+    return "\n\n".join(t for i, (t, place, _) in enumerate(lines) if place != DROPPED and i not in gone), len(gone)
 
 
 def main_text(page: tuple, before: tuple | None, after: tuple | None) -> str:

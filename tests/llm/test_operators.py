@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,6 +256,46 @@ def test_classes_and_raw_elements_that_hold_text():
     assert text("<p>a <svg d='x'/> b</p><p>c <object data=x> d</p><svg><p>no</p></svg><script>if (a) '<p>'</script><p>e</p>") == "a b\n\nc d\n\ne"
 
 
+def test_tags_controls_adverts_and_comments_inside_an_article():
+    def text(body):
+        return pages.main_text(("h", "/", pages.lines_of(f"<article><p>the text of the page is here</p>{body}</article>")), None, None).removeprefix(
+            "the text of the page is here").strip()
+
+    assert text('<p data-x="a>b" title=\'c>d\'>Text</p>') == "Text" and text('<p title="open>Text</p>') == "Text"
+    assert text("<p title=5\">a</p><p>x = \"y\"</p>") == 'a\n\nx = "y"' and text("<p data-class='ad' data-y=\"class='ad'\">a</p>") == "a"
+    assert text("<p>Buy<button type=button>L</button> it<label>or <b>not</b></label></p><p>on</p>") == "Buy it\n\non"
+    assert text("<p>a<span hidden>b<span>c</span></span>d <span class='ad'>e</span>f<i style='display : none'>g</i></p>") == "ad f"
+    assert text("<p>a <span class=ad>never closed</p><p>b <a class=popup>c</a> <span class=note>d</span></p>") == "a\n\nb c d"
+    for mark in ("class=post-comments", "id=user-comments", "class='x comment-body'", "class=google-ads", "class=ad-slot-1", "class=c-advert__body"):
+        assert text(f"<div {mark}><p>gone</p></div><p>kept</p>") == "kept", mark
+    for mark in ("class=ad-hoc", "class=has-comments", "id=comments-on-law", "class=badge", "class=content"):
+        assert text(f"<div {mark}><p>kept</p></div>") == "kept", mark
+
+
+def test_near_copies_are_no_partners():
+    def page(path, *lines):
+        return "h", path, pages.lines_of("".join(f"<p>{x}</p>" for x in lines))
+
+    a, b = page("/a/1", "Home", "Story one", "of many words", "Date 1"), page("/a/2", "Home", "Story one", "of many words", "Date 2")
+    other = page("/b", "Home", "Another text altogether", "with its own words")
+    assert pages.main_text(a, None, b) == "Home\n\nStory one\n\nof many words\n\nDate 1"
+    assert pages.main_text(b, a, other) == "Story one\n\nof many words\n\nDate 2" and pages.main_text(other, b, None) == "Another text altogether\n\nwith its own words"
+    cells = "".join(f"<tr><td>{i % 50}</td></tr>" for i in range(20000))
+    one, two = (("h", f"/t/{i}", pages.lines_of(f"<p>{i}</p><table>{cells}</table>")) for i in (1, 2))
+    assert pages.main_text(one, None, two).count("\n\n") == 20000
+
+
+def test_alignment_of_many_equal_lines_stays_small():
+    a, b = [f"{i * 7 % 40}" for i in range(6000)], [f"{i * 11 % 41}" for i in range(6000)]
+    tracemalloc.start()
+    found = pages.shared_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = iter(b)
+    assert all(a[i] in rest for i in sorted(found)) and len(found) > 500 and peak < 6_000_000
+    assert len(pages.shared_lines(["x"] * 100_000 + ["y"], ["x"] * 99_999 + ["y"])) == 100_000
+
+
 def test_differencing_runs_before_the_check():
     frame = "<head><title>Site</title></head><nav>menu</nav><article><p>{}</p><p>quoted</p></article><footer>rights</footer>"
     a, b = (("h", f"/{i}", pages.lines_of(frame.format(i))) for i in (1, 2))
