@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["q_shock", "q_features", "q_io", "q_clean", "q_kpis", "q_travel", "q_series", "q_forecast", "q_stream", "q_links"]
+MODULES = ["q_shock", "q_features", "q_io", "q_clean", "q_kpis", "q_travel", "q_series", "q_forecast", "q_stream", "q_store", "q_links"]
 
 
 def load_all() -> dict[str, tuple[Query, str | None]]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shockspark import schemas
 from shockspark.functions.exprs import null_words_to_null
+from shockspark.sources.versioned import read_table, replace_atomically, replace_partitions
 
 # Columns of the stored fact table, required and optional ones.
 FACT_BASE = ["date", "destination_id", "crisis_id", "bookings", "cancellations", "total_reservations",
@@ -54,6 +55,17 @@ def read_daily_metrics(spark, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(path).drop("month")
 
 
+def replace_daily_metrics(df: DataFrame, path: str, months_only: bool = False) -> int:
+    """K1 in one step: the fact by month as the next version of a versioned table (of only the
+    months present in ``df`` with ``months_only``).  If the write fails the old table stays."""
+    out = conform_daily_metrics(df).withColumn("month", F.date_format("date", "yyyy-MM"))
+    return replace_partitions(out, path, "month") if months_only else replace_atomically(out, path, "month")
+
+
+def read_stored_metrics(spark, path: str, version: int | None = None) -> DataFrame:
+    return read_table(spark, path, version).drop("month")
+
+
 def conform_destinations(df: DataFrame) -> DataFrame:
     """K2: destination dimension; a missing ``region`` becomes NULL."""
     have = set(df.columns)
