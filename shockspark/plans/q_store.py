@@ -1,5 +1,5 @@
-"""Catalogue entries: tables replaced in one step and the reservation log
-with deduplication and a ledger of late rows (R1)."""
+"""Catalogue entries: tables replaced in one step, the reservation log with
+deduplication and a ledger of late rows (R1), summaries from daily sketches (A15, P1)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import posixpath
 
 from pyspark.sql import functions as F
 
+from shockspark.operators import sketches as S
 from shockspark.plans.catalog import register
 from shockspark.plans.q_features import FEAT_SQL, engineered_fact
 from shockspark.plans.q_io import FLIGHT_COLS, STORE_COLS
@@ -67,3 +68,40 @@ def r1_reservation_log(spark, sf_dir):
         if n == 1:
             compact_log(spark, out)
     return read_reservation_fact(spark, out, with_late=True)
+
+
+def sketch_store(spark, sf_dir):
+    """The fact's daily sketches, stored by month and read back."""
+    path = scratch_path(spark, "sketches")
+    S.store_sketches(S.daily_sketches(fx.daily_metrics(spark, sf_dir), sums=("bookings", "room_nights"), distinct=("destination_id",),
+                                      spread=("adr",)), path)
+    return read_table(spark, path)
+
+
+@register("a15_sketch_summary", with_fixtures("", """
+SELECT MIN(date) AS date_min, MAX(date) AS date_max, CAST(SUM(bookings) AS BIGINT) AS total_bookings,
+  CAST(trunc(SUM(room_nights)) AS BIGINT) AS total_room_nights, COUNT(DISTINCT destination_id) AS destinations_count,
+  COUNT(*) AS records_count FROM daily_metrics WHERE date BETWEEN DATE '1997-03-10' AND DATE '1998-11-20'"""))
+def a15_sketch_summary(spark, sf_dir):
+    """Summary of a date range merged from daily sketches; the fact is not read for it (the
+    number of destinations is an estimate, exact for so few)."""
+    return S.summary_of_range(sketch_store(spark, sf_dir), "1997-03-10", "1998-11-20")
+
+
+@register("p1_sketch_bounds_error", with_fixtures("", """
+SELECT COUNT(adr) AS n, true AS median_within, true AS p99_within FROM daily_metrics
+WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"""))
+def p1_sketch_bounds_error(spark, sf_dir):
+    """The median and 99th percentile of five years merged from daily sketches, held against
+    the rows: whether each is within 0.012 of its rank."""
+    first, last = "1996-01-01", "2000-12-31"
+    bounds = cut_lineage(S.clean_bounds(sketch_store(spark, sf_dir), first, last))
+    adr = fx.daily_metrics(spark, sf_dir).filter(F.col("date").between(first, last) & F.col("adr").isNotNull())
+    held = adr.select("adr", *[bounds.select(c).scalar().alias(c) for c in ("median", "p99")])
+
+    def within(c, q):
+        below, upto = F.count_if(F.col("adr") < F.col(c)), F.count_if(F.col("adr") <= F.col(c))
+        n = F.count(F.lit(1))
+        return ((below <= (q + 0.012) * n) & (upto >= (q - 0.012) * n)).alias(f"{c}_within")
+
+    return held.agg(F.count(F.lit(1)).alias("n"), within("median", 0.5), within("p99", 0.99))
