@@ -15,21 +15,23 @@ each distinct word is valued once per worker (a bounded memory, forgotten when f
 
 Training: sentences of the labelled texts, first labelled as their text; then, twice, the
 sentences of toxic texts that fall on the clean side count as clean (each toxic text keeps
-its best sentence) and the machine is fitted again.  Words that the machine values above
-``SUSPECT`` are the evidence of a text; how much one tells differs by word, so a second
-linear function of the same Nyström map is fitted to the logarithm of how much more often
-a suspect word stands in toxic texts than in clean ones.  The score is a logistic function
-of the sums of the evidence for and against over a text's different words and, where there
-is any, of the logarithm of the text's length; it is fitted on the labelled texts with the
-classes weighted as they occur.
+its best sentence) and the machine is fitted again.  Words that this machine of sentences
+values above ``SUSPECT`` are the evidence of a text.  The machine of texts has the same
+kernel over the different words of evidence of a text (a text is one long sentence of
+them) and is trained on the labelled texts and the empty one, a clean text that weighs
+``EMPTY`` of all; its margin is the sum of its words' values.  The score is this margin
+calibrated by a logistic function of its own (Platt), fitted on the labelled texts' margins
+by machines trained without them (``FOLDS`` folds), with the classes weighted as they occur.
 
 Learning uses at most ``MAX_TEXTS`` labelled texts of each class (the least by a hash of
-the id), and for the first machine at most ``MAX_SENTENCES`` of their sentences of each
-class (evenly spaced ones); scoring reads whole texts.
+the id), of these the ones of at most ``MAX_CHARS`` characters, and for the first machine at
+most ``MAX_SENTENCES`` of their sentences of each class (evenly spaced ones); scoring reads
+whole texts of any length.  Features are made of the ``CODES - 3`` commonest characters of
+the landmarks; a triple with another character counts for nothing.
 
 Defined results: null and empty texts have no evidence and the score of all such texts,
-the share of toxic ones among them as fitted; equal texts get equal scores; a training set without one of the classes gives the
-share of toxic labels (0 without labels) as every score; an empty table gives an empty
+that of the machine's bias; equal texts get equal scores; a training set without one of
+the classes gives the share of toxic labels (0 without labels) as every score; an empty table gives an empty
 table; input columns that clash with output names are replaced.
 """
 
@@ -47,12 +49,12 @@ from pyspark.sql import functions as F
 
 from shockspark.llm.common import at, fresh, ship, text_or_empty, without
 
-DECAY, SPAN, LONGEST, CODES = 0.75, 5, 30, 64
+DECAY, SPAN, LONGEST, CODES = 0.75, 5, 30, 128
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 LANDMARKS = (60, 24, 12)
 CANDIDATES, CROWD = 400, 2.5
-SUSPECT = -0.5
-MAX_TEXTS, MAX_SENTENCES, MEMORY = 1000, 25_000, 500_000
+SUSPECT, RIDGE, FOLDS, EMPTY = -0.5, 1.0, 5, 0.1
+MAX_TEXTS, MAX_CHARS, MAX_SENTENCES, MEMORY = 1000, 50_000, 25_000, 500_000
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
 NO_WORD = re.compile(r"[\W_]+")
 COMMON = ".,;:!?\"'()*#$%&-"
@@ -107,12 +109,12 @@ def sentence_words(text: str) -> list[list[str]]:
 
 def _features(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, weight) of every known feature of the words; ``codes``: the code of
-    every character of the basic plane, 0 for a character that no landmark has."""
+    every character, 0 for one that no landmark has."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     points = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "replace"), "<u4")
     size = int(lengths.max())
     table = np.zeros((len(words), size + SPAN), np.int32)
-    table[:, :size][np.arange(size) < lengths[:, None]] = codes[np.where(points < len(codes), points, 0)]
+    table[:, :size][np.arange(size) < lengths[:, None]] = codes[points]
     rows, features, weights = [], [], []
     for a, b in GAPS:
         x, y, z = table[:, :size], table[:, a:size + a], table[:, b:size + b]
@@ -136,8 +138,8 @@ class Landmarks:
 
     def __post_init__(self):
         common = Counter(c for w in self.words for c in w).most_common(CODES - 3)
-        self.codes = np.zeros(1 << 16, np.int32)
-        for i, point in enumerate([2, 3, *(ord(c) for c, _ in common if ord(c) < 1 << 16)]):
+        self.codes = np.zeros(0x110000, np.int32)
+        for i, point in enumerate([2, 3, *(ord(c) for c, _ in common)]):
             self.codes[point] = i + 1
         rows, features, weights = _features(self.words, self.codes)
         known, self.place = np.unique(features), np.full(CODES ** 3, -1, np.int32)
@@ -161,8 +163,9 @@ class Landmarks:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks; each landmark's weight in a word's margin (first row) and in its evidence
-    (second row); the biases of both; the weights of the logistic function (see ``figures``)."""
+    """Landmarks; each landmark's weight in the value of a word by the machine of sentences
+    (first row) and by that of texts (second row); what every word's value has besides; the
+    logistic function of a text's margin: its value at no evidence, and its slope."""
 
     landmarks: Landmarks | None
     weights: np.ndarray
@@ -171,7 +174,7 @@ class ToxicityModel:
     known: dict[str, tuple] = field(default_factory=dict)
 
     def learn(self, tokens: list[str]) -> None:
-        """The words with evidence, and its size, of tokens not met before."""
+        """The words of evidence, with their values, of tokens not met before."""
         plain, odd = [], []
         for t in tokens:
             (plain if len(t) <= LONGEST and t.isalnum() else odd).append(t)
@@ -187,7 +190,7 @@ class ToxicityModel:
         self.known.update((t, tuple(pair for w in ws for pair in found.get(w, ()))) for t, ws in pieces.items())
 
     def evidence(self, tokens: list[str]) -> list[float]:
-        """The evidence of the different words of a text."""
+        """The values of a text's different words of evidence."""
         if len(self.known) > MEMORY:
             self.known.clear()
         different = {*tokens, *spelled_words(tokens)}
@@ -197,23 +200,15 @@ class ToxicityModel:
         return list(dict(pair for found in filter(None, map(self.known.__getitem__, different)) for pair in found).values())
 
     def score(self, text: str) -> float:
-        """Likelihood of label 1."""
+        """Likelihood of label 1: the calibrated margin of the text."""
         if self.landmarks is None:
             return float(self.logit[0])
         tokens = tokens_of(text)
-        z = float(np.dot(self.logit, figures(self.evidence(tokens), len(tokens))))
+        # summed exactly, so that the order of the words does not matter
+        z = float(self.logit[0] + self.logit[1] * math.fsum(self.evidence(tokens)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def figures(evidence: list[float], length: int) -> tuple[float, float, float, float, float]:
-    """What the logistic function sees of a text: 1; if there is evidence, 1, the sums for
-    and against (in order, so that they do not depend on it), and the log of the length."""
-    if not evidence:
-        return 1.0, 0.0, 0.0, 0.0, 0.0
-    ordered = sorted(evidence)
-    return 1.0, 1.0, sum(v for v in ordered if v > 0), sum(v for v in ordered if v < 0), math.log1p(length)
-
-
 def _spread(words: list[str], most: int) -> list[str]:
     """The first words that are not crowded by earlier ones (by the sum of their kernels), so
     that a large family of words leaves room for others; filled up in order."""
@@ -287,7 +282,6 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         return ToxicityModel(None, np.zeros((2, 0)), (0.0, 0.0), np.array([toxic_share]))
     vocabulary: dict[str, int] = {}
     flat, ends = [], []  # word numbers of each text, and where its sentences end
-    length = [len(tokens_of(text)) for text in texts]
     for text in texts:
         sentences = sentence_words(text)
         flat.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for s in sentences for w in s], np.int32))
@@ -327,16 +321,20 @@ def fit(texts: list[str], labels: list[int], toxic_share: float) -> ToxicityMode
         np.maximum.at(best, owner, margin)
         sign = np.where((of == 1) & ((margin > 0) | (margin >= best[owner])), 1.0, -1.0)
     suspect = mapped @ w[:-1] + w[-1] > SUSPECT
-    odds = np.log((standing[1] + 0.5) / (y.sum() + 1) * (len(y) - y.sum() + 1) / (standing[0] + 0.5))
-    told = np.hstack([mapped[suspect].astype(np.float64), np.ones((int(suspect.sum()), 1))])
-    often = standing[:, suspect].sum(0)
-    u = np.linalg.solve((told * often[:, None]).T @ told + np.eye(told.shape[1]), (told * often[:, None]).T @ odds[suspect])
-    value = np.zeros(len(words))
-    value[suspect] = told @ u
-    z = np.array([figures([v for v in value[np.unique(numbers)].tolist() if v], n) for numbers, n in zip(flat, length)])
-    logit = _logistic(z, y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
-    weights = np.stack([root @ w[:-1], root @ u[:-1]]).astype(np.float32)
-    return ToxicityModel(landmarks, weights, (float(w[-1]), float(u[-1])), logit)
+    told = np.hstack([mapped[suspect], np.ones((int(suspect.sum()), 1), np.float32)]).astype(np.float64)
+    place = np.cumsum(suspect) - 1
+    bags = np.ones((len(y) + 1, told.shape[1] + 1))
+    bags[-1, :-1] = 0.0  # the empty text, which is clean, seen by every machine and weighs EMPTY of all
+    for t, numbers in enumerate(flat):
+        different = np.unique(numbers)
+        bags[t, :-1] = told[place[different[suspect[different]]]].sum(0)
+    sign, costs, fold = np.append(np.where(y == 1, 1.0, -1.0), -1.0), np.append(np.where(y == 1, 2.0, 1.0), EMPTY * len(y)), np.append(np.arange(len(y)) % FOLDS, FOLDS)
+    u, margin = _machine(bags, sign, costs, RIDGE), np.zeros(len(y))
+    for f in range(FOLDS):  # margins by machines that have not seen the text
+        margin[fold[:-1] == f] = bags[fold == f] @ _machine(bags[fold != f], sign[fold != f], costs[fold != f], RIDGE)
+    start, slope = _logistic(np.stack([np.ones(len(y)), margin], 1), y, np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean())))
+    weights = np.stack([root @ w[:-1], root @ u[:-2]]).astype(np.float32)
+    return ToxicityModel(landmarks, weights, (float(w[-1]), float(u[-2])), np.array([start + slope * u[-1], slope]))
 
 
 def held_out(key: Column) -> Column:
@@ -346,13 +344,14 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """The model of the labelled rows of ``docs`` that are not held out.  A key with
-    several labels has the largest, a key with several texts one of them."""
+    several labels has the largest, a key with several texts one of them.  Texts of more
+    than ``MAX_CHARS`` characters are not learned from."""
     known = (labels.select(at(key).alias("key"), at(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
              .filter(~held_out(F.col("key"))).groupBy("key").agg(F.max("label").alias("label")))
     counts = dict(known.groupBy("label").count().collect())  # two rows at most
     drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64("key"), "key").limit(MAX_TEXTS) for y in (0, 1)]
     some = drawn[0].union(drawn[1])  # at most 2 * MAX_TEXTS rows
-    texts = docs.select(at(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(some), "key")
+    texts = docs.select(at(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(some), "key").filter(F.char_length("text") <= MAX_CHARS)
     rows = texts.groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).collect()
     rows.sort(key=lambda r: r.key)
     share = counts.get(1, 0) / max(1, sum(counts.values()))

@@ -2,12 +2,14 @@
 
 import hashlib
 import html as entities
+import math
 import random
 import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -623,3 +625,30 @@ def test_forgetting_changes_no_result(monkeypatch, encoder, reference_tokenizer)
     monkeypatch.setattr(bpe, "MEMORY", 2)
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 5)
     assert encoder.encode_array(pa.array(texts)).to_pylist() == [reference_tokenizer.encode_ordinary(t) for t in texts]
+
+
+def test_toxicity_score_is_the_calibrated_margin_of_the_machine():
+    model = toxicity.fit(["you idiot", "an idiot!", "the m.o.r.o.n", "a moron here"] * 3 + ["a fine day", "some words here", "no more", "the text"] * 6,
+                         [1] * 12 + [0] * 24, 0.2)
+    texts = ["you id.iot and moron", "a fine day. no more words", "moron idiot", "the the moron", "", "nothing known"]
+    margins = []
+    for text in texts:
+        words = sorted({w for sentence in toxicity.sentence_words(text) for w in sentence})
+        kernel = model.landmarks.kernel(words)
+        gate, value = (kernel @ model.weights.T + np.array(model.bias)).T
+        margins.append(sum(v for g, v in zip(gate, value) if g > toxicity.SUSPECT))
+    scores = [model.score(text) for text in texts]
+    expected = [1 / (1 + math.exp(-(model.logit[0] + model.logit[1] * m))) for m in margins]
+    assert scores == pytest.approx(expected, abs=1e-6)
+    assert model.logit[1] > 0 and scores[2] > 0.5 > scores[4]
+
+
+def test_long_texts_are_scored_but_not_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 40)
+    rows = [(i, "you idiot" if i % 2 else "a fine day", i % 2) for i in range(1, 40)]
+    plain = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1001, 0), (1002, 0)], "doc_id long, toxic int")
+    longer = plain.union(spark.createDataFrame([(1001, "idiot " * 50), (1002, "moron " * 50)], "doc_id long, text string"))
+    model = toxicity.train(longer, labels)
+    found = {r.doc_id: r.score for r in toxicity.scores(longer, model).collect()}
+    assert len(found) == 41 and found[1001] > 0.5 and "moron" not in model.landmarks.words
