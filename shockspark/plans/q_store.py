@@ -1,5 +1,6 @@
 """Catalogue entries: tables replaced in one step, the reservation log with
-deduplication and a ledger of late rows (R1), summaries from daily sketches (A15, P1)."""
+deduplication and a ledger of late rows (R1), summaries from daily sketches (A15, P1), the
+store as a data source (K5, S7)."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import posixpath
 
 from pyspark.sql import functions as F
 
+from shockspark.operators import quality as Q
 from shockspark.operators import sketches as S
 from shockspark.plans.catalog import register
 from shockspark.plans.q_features import FEAT_SQL, engineered_fact
@@ -14,6 +16,7 @@ from shockspark.plans.q_io import FLIGHT_COLS, STORE_COLS
 from shockspark.session import cut_lineage, scratch_path
 from shockspark.sources import fixtures as fx
 from shockspark.sources import sinks as K
+from shockspark.sources import store_format
 from shockspark.sources.fixture_sql import with_fixtures
 from shockspark.sources.versioned import expire, read_table, replace_atomically
 from shockspark.streaming.reservation_log import compact_log, read_reservation_fact, run_log
@@ -105,3 +108,29 @@ def p1_sketch_bounds_error(spark, sf_dir):
         return ((below <= (q + 0.012) * n) & (upto >= (q - 0.012) * n)).alias(f"{c}_within")
 
     return held.agg(F.count(F.lit(1)).alias("n"), within("median", 0.5), within("p99", 0.99))
+
+
+def stored(spark, df, name):
+    """A copy of ``df`` through the library's data source."""
+    store_format.register(spark)
+    path = scratch_path(spark, name)
+    df.write.format(store_format.NAME).mode("overwrite").save(path)
+    return spark.read.format(store_format.NAME).load(path)
+
+
+@register("k5_data_source_copy", with_fixtures("", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS source_rows, COUNT(*) AS target_rows, true AS match FROM {t}"
+    for t in ("daily_metrics", "destinations", "crisis_events", "fact_flights", "fact_visas"))))
+def k5_data_source_copy(spark, sf_dir):
+    """K5: the five tables copied through the data source, and their rows reconciled."""
+    sources = {"daily_metrics": fx.daily_metrics(spark, sf_dir), "destinations": fx.destinations(spark, sf_dir),
+               "crisis_events": fx.crisis_events(spark), "fact_flights": fx.fact_flights(spark, sf_dir), "fact_visas": fx.fact_visas(spark, sf_dir)}
+    return Q.reconcile_counts({name: (df, stored(spark, K.nullify_null_words(df), f"{name}-copy")) for name, df in sources.items()})
+
+
+@register("s7_data_source_range", with_fixtures("", f"""
+SELECT {FLIGHT_COLS} FROM fact_flights WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND origin_country <> destination_id"""))
+def s7_data_source_range(spark, sf_dir):
+    """A date range of flights from the data source; the dates reach its scan."""
+    flights = stored(spark, K.conform_flights(fx.fact_flights(spark, sf_dir)), "flights-store")
+    return flights.filter("date BETWEEN DATE'1998-01-01' AND DATE'1998-12-31' AND origin_country <> destination_id")
