@@ -14,8 +14,10 @@ Scale notes
   never hinted; AQE may still turn a join into a broadcast at run time from measured
   shuffle sizes.
 * ``lineitem`` x ``orders`` is the one large join; it shuffles both sides once on
-  the order key.  The per-day aggregates that follow use partial (map-side)
-  aggregation, so their shuffle is bounded by the number of groups, not rows.
+  the order key.  The daily facts join narrow rows (``_line_codes``): nation keys in
+  place of names, no column that they do not sum, the orders hashed by partition and
+  neither side sorted or written.  They aggregate by nation keys and put the names to
+  the sums, of which there are at most days x nations x nations.
 * ``materialized`` writes each derived table once per session into the shared
   checkpoint folder and reads it back: the lineage is cut and every later query
   scans columnar files with filter pushdown instead of recomputing the joins.
@@ -65,7 +67,7 @@ def _checked_broadcast(spark, sf_dir, name, df):
     of table ``name``), broadcast while its bytes allow; beyond that a shuffle join.  They
     grow with the scale factor (1.5 M customers and 100 k suppliers per 10 GB), so the check
     is real; it is made once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"map-{name}")
+    key = (spark.sparkContext.applicationId, sf_dir, f"map-{name}", *df.columns)
     if key not in _DIM_CHECKED:
         most = broadcast_rows(df)
         _DIM_CHECKED[key] = table(spark, sf_dir, name).limit(most + 1).count() <= most
@@ -91,14 +93,19 @@ def _order_customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey", "c_nationkey")
 
 
-def _supplier_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> (destination nation, region)."""
+def _destination_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation key -> (destination nation, region)."""
     nation = _nation(spark, sf_dir)
     region = _region(spark, sf_dir)
-    dest = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("s_nationkey"),
         F.col("n_name").alias("destination_id"),
         F.col("r_name").alias("region"))
+
+
+def _supplier_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> (destination nation, region)."""
+    dest = _destination_nation(spark, sf_dir)
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     sup = sup.join(F.broadcast(dest), "s_nationkey").drop("s_nationkey")
     return _checked_broadcast(spark, sf_dir, "supplier", sup)
@@ -150,47 +157,80 @@ def reservations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reservations_from(line_facts_raw(spark, sf_dir))
 
 
-def daily_metrics_raw(spark: SparkSession, sf_dir: str, lf: DataFrame | None = None) -> DataFrame:
+def _line_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with what the daily facts sum, and the nation keys of supplier and
+    customer.  Orders grow with the data: a shuffle join, whose hashed side holds a key, a
+    day and a nation key per order of its partition."""
+    sup = _checked_broadcast(spark, sf_dir, "supplier", table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    cust = _checked_broadcast(spark, sf_dir, "customer", table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+    li = table(spark, sf_dir, "lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "s_nationkey",
+        F.col("l_shipdate").cast("date").alias("arrival_date"),
+        F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("canceled"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"))
+    orders = table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("order_date"), "c_nationkey")
+    return li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _named(spark: SparkSession, sf_dir: str, sums: DataFrame, market: str) -> DataFrame:
+    """Sums by nation keys with the nations' names, the customer's as ``market``."""
+    origin = _nation(spark, sf_dir).select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias(market))
+    return sums.join(F.broadcast(_destination_nation(spark, sf_dir)), "s_nationkey").join(origin, "c_nationkey")
+
+
+def daily_metrics_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily fact at (date, destination_id, source_market) grain (FIXTURES.md §2.2)."""
-    r = _reservations_from(lf if lf is not None else line_facts_raw(spark, sf_dir))
-    canceled = F.col("is_canceled") == 1
-    n = F.count(F.lit(1))
-    agg = r.groupBy(F.col("arrival_date").alias("date"), "destination_id", "source_market").agg(
-        F.count_if(~canceled).cast("int").alias("bookings"),
-        F.count_if(canceled).cast("int").alias("cancellations"),
-        n.cast("int").alias("total_reservations"),
-        F.sum("quantity").cast("double").alias("search_demand"),
-        (F.sum("price_cents").cast("double") / 100 / (F.lit(100) * n)).alias("adr"),
-        F.sum(F.when(~canceled, F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"))
-              .otherwise(0)).cast("double").alias("room_nights"),
-        (F.sum("stay_len").cast("double") / n).alias("avg_length_of_stay"),
-        F.max("lead_time_days").alias("lead_time_days"),
-        F.least(F.lit(0.95), F.sum("quantity").cast("double") / (F.lit(50) * n)).alias("occupancy_rate"),
+    part = F.col("l_partkey")
+    nights = (F.col("l_linenumber") % 3).cast("int") + (F.lit(1) + part % 5).cast("int")
+    added = ["n", "cancellations", "quantity", "price_cents", "room_nights", "stay_len"]
+    sums = _line_codes(spark, sf_dir).groupBy(F.col("arrival_date").alias("date"), "s_nationkey", "c_nationkey").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("canceled").alias("cancellations"),
+        F.sum("quantity").alias("quantity"),
+        # Exact cents as a long: the sum is exact and order-independent like a
+        # DECIMAL(18,2) sum, but stays on the primitive (non-BigDecimal) path.
+        F.sum("price_cents").alias("price_cents"),
+        F.sum(F.when(~F.col("canceled"), nights).otherwise(0)).alias("room_nights"),
+        F.sum((F.lit(1) + part % 20).cast("bigint")).alias("stay_len"),
+        F.max(((F.col("l_orderkey") + F.col("l_linenumber")) % 45).cast("int")).alias("lead_time_days"),
     )
+    # Several nation keys may have one name, and a key several rows.
+    agg = _named(spark, sf_dir, sums, "source_market").groupBy("date", "destination_id", "source_market").agg(
+        *[F.sum(c).alias(c) for c in added], F.max("lead_time_days").alias("lead_time_days"))
+    n, quantity = F.col("n"), F.col("quantity").cast("double")
     return agg.select(
         "date", "destination_id", "source_market", F.lit(1).alias("crisis_id"),
-        "bookings", "cancellations", "total_reservations", "search_demand", "adr", "room_nights",
-        "avg_length_of_stay",
+        (n - F.col("cancellations")).cast("int").alias("bookings"),
+        F.col("cancellations").cast("int").alias("cancellations"),
+        n.cast("int").alias("total_reservations"),
+        quantity.alias("search_demand"),
+        (F.col("price_cents").cast("double") / 100 / (F.lit(100) * n)).alias("adr"),
+        F.col("room_nights").cast("double").alias("room_nights"),
+        (F.col("stay_len").cast("double") / n).alias("avg_length_of_stay"),
         F.when(F.col("source_market") == F.col("destination_id"), "domestic")
          .otherwise("international").alias("travel_type"),
-        "lead_time_days", "occupancy_rate")
+        "lead_time_days",
+        F.least(F.lit(0.95), quantity / (F.lit(50) * n)).alias("occupancy_rate"))
 
 
-def fact_flights_raw(spark: SparkSession, sf_dir: str, lf: DataFrame | None = None) -> DataFrame:
+def fact_flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights fact (FIXTURES.md §2.4)."""
-    j = lf if lf is not None else line_facts_raw(spark, sf_dir)
-    n = F.count(F.lit(1))
-    return j.groupBy(F.col("order_date").alias("date"),
-                     F.col("source_market").alias("origin_country"), "destination_id").agg(
-        n.cast("int").alias("flights_count"),
-        F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("seat_capacity"),
-        ((F.lit(45) + F.min(F.col("l_partkey") % 50)).cast("double") / 100).alias("load_factor"),
-        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double") / 100
-         / (F.lit(100) * n)).alias("avg_airfare"),
-        F.concat(F.lit("AL"), (F.min("l_suppkey") % 10).cast("string")).alias("airline"),
-    ).select("date", "origin_country", "destination_id",
-             F.concat_ws("-", "origin_country", "destination_id").alias("route"),
-             "flights_count", "seat_capacity", "load_factor", "avg_airfare", "airline")
+    added, least = ["n", "quantity", "price_cents"], ["part", "l_suppkey"]
+    sums = _line_codes(spark, sf_dir).groupBy(F.col("order_date").alias("date"), "s_nationkey", "c_nationkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.sum("price_cents").alias("price_cents"),
+        F.min(F.col("l_partkey") % 50).alias("part"), F.min("l_suppkey").alias("l_suppkey"))
+    agg = _named(spark, sf_dir, sums, "origin_country").groupBy("date", "origin_country", "destination_id").agg(
+        *[F.sum(c).alias(c) for c in added], *[F.min(c).alias(c) for c in least])
+    return agg.select(
+        "date", "origin_country", "destination_id",
+        F.concat_ws("-", "origin_country", "destination_id").alias("route"),
+        F.col("n").cast("int").alias("flights_count"),
+        F.col("quantity").cast("double").alias("seat_capacity"),
+        ((F.lit(45) + F.col("part")).cast("double") / 100).alias("load_factor"),
+        (F.col("price_cents").cast("double") / 100 / (F.lit(100) * F.col("n"))).alias("avg_airfare"),
+        F.concat(F.lit("AL"), (F.col("l_suppkey") % 10).cast("string")).alias("airline"))
 
 
 def fact_visas_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +274,8 @@ def destinations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BUILDERS = {
     "line_facts": line_facts_raw,
-    "daily_metrics": lambda spark, sf_dir: daily_metrics_raw(spark, sf_dir, materialized(spark, sf_dir, "line_facts")),
-    "fact_flights": lambda spark, sf_dir: fact_flights_raw(spark, sf_dir, materialized(spark, sf_dir, "line_facts")),
+    "daily_metrics": daily_metrics_raw,
+    "fact_flights": fact_flights_raw,
     "fact_visas": fact_visas_raw,
     "destinations": destinations_raw,
 }
@@ -244,8 +284,7 @@ _MATERIALIZED: dict[tuple, str] = session_cache()
 
 def materialized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read the derived table ``name``; build and write it first if this session has
-    not done so yet.  The files live in the shared checkpoint folder; the line-level
-    join is written once and the daily facts are aggregated from it."""
+    not done so yet.  The files live in the shared checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _MATERIALIZED.get(key)
     if path is None:
@@ -279,14 +318,10 @@ def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def materialize_all(spark: SparkSession, sf_dir: str, threads: int = 3) -> None:
-    """Build every derived table, submitting independent jobs concurrently (the
-    scheduler interleaves their tasks): visas and destinations alongside the
-    line-level join, then the daily and flights facts that aggregate it."""
+    """Build every derived table, submitting the jobs concurrently (the scheduler
+    interleaves their tasks)."""
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        first = [pool.submit(materialized, spark, sf_dir, n) for n in ("line_facts", "fact_visas", "destinations")]
-        first[0].result()
-        second = [pool.submit(materialized, spark, sf_dir, n) for n in ("daily_metrics", "fact_flights")]
-        for f in first[1:] + second:
+        for f in [pool.submit(materialized, spark, sf_dir, n) for n in _BUILDERS]:
             f.result()

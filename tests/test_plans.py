@@ -94,3 +94,36 @@ def test_table_function_is_one_pushed_down_scan(spark):
         plan = spark.sql(sql)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == 1 and "Join" not in plan
         assert f"GreaterThanOrEqual(date,{first})" in plan and f"LessThan(date,{end})" in plan
+
+
+def test_daily_facts_neither_sort_nor_write_lines(spark):
+    """The join below the daily facts hashes the orders and sorts no side."""
+    for raw in (fx.daily_metrics_raw, fx.fact_flights_raw):
+        plan = raw(spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [l_orderkey" in plan and "SortMergeJoin" not in plan
+
+
+def test_daily_facts_of_nations_with_one_name(spark, tmp_path):
+    """Two nation keys of one name make one row, an unknown nation none, a null flag counts
+    as a booking."""
+    import datetime as dt
+
+    day, tables = dt.datetime(1998, 1, 1), str(tmp_path)
+
+    def land(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tables}/{name}.parquet")
+
+    land("region", [(0, "R")], "r_regionkey int, r_name string")
+    land("nation", [(1, "A", 0), (2, "A", 0), (3, "B", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    land("customer", [(1, 1), (2, 2), (3, 9), (4, None)], "c_custkey long, c_nationkey int")
+    land("supplier", [(1, 3), (2, 3), (3, None)], "s_suppkey long, s_nationkey int")
+    land("orders", [(k, k, day) for k in (1, 2, 3, 4)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    lines = [(1, 1, 1, 1, 2.0, 10.0, "R", day), (2, 2, 2, 2, 3.0, 20.0, None, day), (1, 1, 3, 1, 2.0, 1.0, "R", day),
+             (3, 1, 1, 1, 2.0, 1.0, "R", day), (4, 1, 1, 1, 2.0, 1.0, "R", day), (None, 1, 1, 1, 2.0, 1.0, "R", day)]
+    land("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                            "l_returnflag string, l_shipdate timestamp")
+    (r,) = fx.daily_metrics_raw(spark, tables).collect()
+    assert (r.destination_id, r.source_market, r.bookings, r.cancellations, r.search_demand) == ("B", "A", 1, 1, 5.0)
+    assert (r.room_nights, r.adr, r.lead_time_days, r.avg_length_of_stay) == (5.0, 30 / 200, 4, 2.5)
+    (f,) = fx.fact_flights_raw(spark, tables).collect()
+    assert (f.route, f.flights_count, f.seat_capacity, f.load_factor, f.airline) == ("A-B", 2, 5.0, 0.46, "AL1")
