@@ -3,14 +3,16 @@
 ``incremental_fact`` leaves two things to the engine: a reservation that lands twice counts
 twice, and a row behind the watermark vanishes.  Here
 
-* reservations have an id; ``dropDuplicatesWithinWatermark`` remembers ids by the time they
-  landed (the time of the micro-batch, which the offset log keeps, so a replay sees the same),
-  for ``remember``.  No row can be late by that clock, so the engine drops none;
+* reservations have an id; a batch keeps one row of each id that no batch before it wrote to
+  ``<out>/ids``, and adds its own ids with the time they landed (the time of the micro-batch,
+  which the offset log keeps, so a replay sees the same).  They are known for ``remember`` at
+  least, twice that at most.  One shuffle by id serves both steps, and ids lie in columns on
+  the shared storage, not as rows of a state store in the executors' heaps;
 * lateness is by the day of arrival: rows more than ``lateness`` days before the newest day of
   all earlier batches go to ``<out>/ledger`` in the same batch, with the reason, and so do rows
   without a day or a destination.  The others become sums per (day, destination) in
   ``<out>/sums``.  Fact and ledger together hold every reservation;
-* sums of batches add up, so the state holds ids only and no day is kept open;
+* sums of batches add up, so only ids are remembered and no day is kept open;
 * every batch overwrites the partitions of its own batch id: a batch replayed after a
   failure leaves the same files.  ``compact_log`` folds the sums so far into a versioned
   table, replaced in one step.
@@ -39,20 +41,16 @@ SUMS = T.StructType([T.StructField("date", T.DateType()), T.StructField("destina
                      *[T.StructField(c, T.DoubleType() if c == "adr_sum" else T.LongType()) for c in ADDED],
                      T.StructField("batch_id", T.LongType())])
 LEDGER = T.StructType([*LANDED.fields, T.StructField("reason", T.StringType()), T.StructField("batch_id", T.LongType())])
+IDS = T.StructType([T.StructField("reservation_id", T.StringType()), T.StructField("landed_at", T.TimestampType()), T.StructField("batch_id", T.LongType())])
 MARKS = T.StructType([T.StructField("newest", T.DateType()), T.StructField("batch_id", T.LongType())])
 
 
-def distinct_reservations(spark: SparkSession, landing: str, remember: str = "30 days",
-                          max_files_per_trigger: int | None = None) -> DataFrame:
-    """The stream of landed reservations, each id once while it is remembered."""
+def landed_reservations(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The stream of landed reservations with the time of their micro-batch."""
     r = spark.readStream.schema(LANDED)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    row = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    src = r.parquet(landing).select(*LANDED.names, F.when(F.col("reservation_id").isNull(), row).alias("nameless"),
-                                    F.current_timestamp().alias("landed_at"))
-    once = src.withWatermark("landed_at", remember).dropDuplicatesWithinWatermark(["reservation_id", "nameless"])
-    return once.select(*LANDED.names)
+    return r.parquet(landing).select(*LANDED.names, F.current_timestamp().alias("landed_at"))
 
 
 def daily_sums(r: DataFrame) -> DataFrame:
@@ -78,17 +76,27 @@ def _write(df: DataFrame, out: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(posixpath.join(out, name, f"batch_id={batch_id}"))
 
 
-def _writer(out: str, lateness: int):
+def _new_reservations(batch: DataFrame, out: str, batch_id: int, remember: str) -> DataFrame:
+    """One row of each id that is not known from an earlier batch, and all rows without id."""
+    until = (F.col("landed_at") + F.expr(f"2 * INTERVAL '{remember}'")).alias("until")
+    known = _read(batch.sparkSession, out, "ids", IDS).filter(F.col("batch_id") < batch_id).select(F.col("reservation_id").alias("known_id"), until)
+    named = batch.filter("reservation_id IS NOT NULL").dropDuplicates(["reservation_id"])
+    again = (F.col("reservation_id") == F.col("known_id")) & (F.col("landed_at") < F.col("until"))
+    return named.join(known.hint("merge"), again, "left_anti").unionByName(batch.filter("reservation_id IS NULL"))
+
+
+def _writer(out: str, lateness: int, remember: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = _read(spark, out, "marks", MARKS).filter(F.col("batch_id") < batch_id).agg(F.max_by("newest", "batch_id")).first()[0]
         day = F.col("arrival_date")
         late = F.lit(False) if newest is None else day < F.lit(newest - datetime.timedelta(days=lateness))
         reason = F.when(day.isNull() | F.col("destination_id").isNull(), "no key").when(late, "late")
-        judged = batch.withColumn("reason", reason).persist()  # in memory and on disk, for both writes
+        judged = _new_reservations(batch, out, batch_id, remember).withColumn("reason", reason).persist()  # in memory and on disk, for all writes
         try:
+            _write(judged.filter("reservation_id IS NOT NULL").select("reservation_id", "landed_at"), out, "ids", batch_id)
             _write(daily_sums(judged.filter("reason IS NULL")), out, "sums", batch_id)
-            _write(judged.filter("reason IS NOT NULL"), out, "ledger", batch_id)
+            _write(judged.filter("reason IS NOT NULL").drop("landed_at"), out, "ledger", batch_id)
         finally:
             judged.unpersist()
         own = _read(spark, out, "sums", SUMS).filter(F.col("batch_id") == batch_id).agg(F.max("date").alias("newest"))
@@ -101,8 +109,8 @@ def run_log(spark: SparkSession, landing: str, out: str, checkpoint: str, rememb
     """Take up everything that has landed (``availableNow``) and stop.  ``remember``: how long
     ids are known after they landed; ``lateness``: days behind the newest day that still
     count as on time."""
-    q = (distinct_reservations(spark, landing, remember, max_files_per_trigger).writeStream.outputMode("append")
-         .foreachBatch(_writer(out, lateness)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (landed_reservations(spark, landing, max_files_per_trigger).writeStream.outputMode("append")
+         .foreachBatch(_writer(out, lateness, remember)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
